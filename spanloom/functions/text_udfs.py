@@ -141,7 +141,9 @@ def _on_text(result: T.DataType, work: Callable) -> Callable[[Column], Column]:
         return pd.Series([None if t is None else work(t) for t in texts], dtype=object)
 
     def apply(c: Column) -> Column:
-        return F.pandas_udf(run, result)(c)
+        # Marked so that filters above are not rewritten in terms of the columns
+        # below: that would run the UDF again and blow up the plan.
+        return F.pandas_udf(run, result).asNondeterministic()(c)
 
     return apply
 

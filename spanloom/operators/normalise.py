@@ -148,14 +148,15 @@ def normalise_records(records: DataFrame, house_prefix: str | None = None) -> Da
         component_from_words(F.col("message"), RECORD_WORDS),
     )
     operation = first_truthy(F.col("f_operation.value"))
+    # The dict inside a message is only read for records without a thread id. The
+    # filter stays above this step, see text_udfs.
+    needs_thread = F.when(~truthy("f_thread_id.value"), F.col("message"))
     spans = (
-        fields.withColumn("component", component)
-        .withColumn("operation", operation)
+        fields.withColumns({"component": component, "operation": operation})
+        .withColumn("_dict_json", embedded_dict(needs_thread))
         .filter(F.col("component").isNotNull() | F.col("operation").isNotNull())
+        .withColumn("_dict", json_map(F.col("_dict_json")))
     )
-    # The dict inside a message is only read for records without a thread id.
-    needs_thread = F.when(~truthy("f_thread_id.value"), F.col("message"))
-    spans = spans.withColumn("_dict", json_map(embedded_dict(needs_thread)))
     message_fallback = F.when(
         F.map_contains_key("rec", "message") & (F.col("message") != ""), F.col("message")
     ).otherwise("unknown")

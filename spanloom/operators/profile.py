@@ -202,13 +202,15 @@ def correlation_keys() -> Column:
     return F.array_distinct(F.concat(*[F.col(name) for name in KEY_TYPES]))
 
 
+def _typed(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(kind).alias("value_type")))
+
+
 def correlation_values() -> Column:
     """Typed identifiers of a fact sheet."""
     parts = []
     for name, kind in {**KEY_TYPES, **NOISY_TYPES}.items():
-        parts.append(
-            F.transform(name, lambda v, kind=kind: F.struct(v.alias("value"), F.lit(kind).alias("value_type")))
-        )
+        parts.append(_typed(F.col(name), kind))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -319,10 +321,7 @@ def values_without_sheet(flat: Column) -> Column:
     )
     text = F.array_join(F.transform(fields, lambda e: e["value"]), "\n")
     by_format = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(p), F.lit(1)),
-            lambda v, kind=kind: F.struct(v.alias("value"), F.lit(kind).alias("value_type")),
-        )
+        _typed(F.regexp_extract_all(text, F.lit(p), F.lit(1)), kind)
         for kind, p in [*VALUE_FORMATS, ("lambda_request", LOGGED_REQUEST)]
     ]
     return F.array_distinct(F.concat(known, *by_format))

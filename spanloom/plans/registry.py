@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import spans
+from spanloom.plans import spans, texts
 from spanloom.session import prepare
 
-MODULES = [spans]
+MODULES = [spans, texts]
 
 
 def _prepared(query: Callable[[SparkSession, str], DataFrame]):
