@@ -16,6 +16,7 @@ from spanloom.functions.entries import (
 from spanloom.operators.ordering import rank_within, run_bucket
 from spanloom.operators.components import connected_components
 from spanloom.operators.stitch import links_between
+from spanloom.session import checkpoint
 
 
 def _texts():
@@ -33,7 +34,8 @@ def chain_entries(entries: DataFrame, max_value_frequency: int | None = None) ->
     `max_value_frequency` leaves out values used by more entries than that; it is
     off by default, since it changes the answer.
     """
-    entries = entries.withColumn("_values", _texts())
+    # Links, labels and sizes all read the entries: parse the lines once.
+    entries = checkpoint(entries.withColumn("_values", _texts()))
     if max_value_frequency is not None:
         common = (
             entries.select(F.explode("_values").alias("value"))
@@ -55,7 +57,7 @@ def chain_entries(entries: DataFrame, max_value_frequency: int | None = None) ->
             .drop("_kept")
         )
     labels = connected_components(links_between(F.col("_values"), entries)).select(
-        F.col("node").alias("_key"), F.col("component").alias("_label")
+        F.col("node").alias("_key"), F.col("label").alias("_label")
     )
     grouped = (
         entries.withColumn("_key", F.array_min("_values"))

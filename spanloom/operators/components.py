@@ -48,8 +48,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) for all nodes of `links` (src, dst): the component is named
-    by its least node. Nodes without links are not listed; they are their own.
+    """(node, label) for all nodes of `links` (src, dst): a component is labelled by
+    its least node. Nodes without links are not listed; they are their own.
 
     Rounds stop when an edge set repeats. Every round is written to reliable
     storage, so losing an executor does not restart the loop.
@@ -66,6 +66,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    labelled = edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    tops = edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
+    labelled = edges.select(F.col("src").alias("node"), F.col("dst").alias("label"))
+    tops = edges.select(F.col("dst").alias("node"), F.col("dst").alias("label")).distinct()
     return labelled.unionByName(tops)

@@ -63,11 +63,11 @@ def stitch(spans: DataFrame) -> DataFrame:
     """
     keyed = spans.withColumn("_key", F.array_min(correlation_keys(spans.columns)))
     groups = connected_components(links_between(correlation_keys(spans.columns), spans))
-    labels = groups.select(F.col("node").alias("_key"), "component")
+    labels = groups.select(F.col("node").alias("_key"), F.col("label").alias("_label"))
     return (
         keyed.join(labels, "_key", "left")
-        .withColumn("group_id", F.coalesce("component", "_key"))
-        .drop("_key", "component")
+        .withColumn("group_id", F.coalesce("_label", "_key"))
+        .drop("_key", "_label")
     )
 
 

@@ -25,7 +25,7 @@ SPANS = f"""spans AS (
     CASE WHEN event_id % 89 = 0 THEN NULL ELSE 'x-' || x END AS trace_id,
     CASE WHEN event_id % 178 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'r-' || x END AS request_id,
     CASE WHEN event_type = 'click' THEN 'a-' || user_id || '-' || p END AS agent_session_id,
-    'k' || k || '-' || (CAST(epoch(ts) AS BIGINT) // 900) AS thread_id,
+    'k' || k || '-' || (epoch_us(ts) // 900000000) AS thread_id,
     CASE WHEN event_id % 267 = 0 THEN 's-' || user_id END AS session_id,
     CASE WHEN event_type <> 'error' THEN NULL
          WHEN k % 5 = 0 THEN '{{"message": "ThrottlingException: slow down"}}'
@@ -43,7 +43,7 @@ REPEATED = """repeated AS (
 LINES = f"""parts AS (
   SELECT event_id AS seq, event_id % 7 AS style, event_type, x, k, user_id, {_COMPONENT} AS component,
     strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso,
-    (CAST(epoch(ts) AS BIGINT) // 3600 * 3600) || '.' || lpad(CAST(user_id % 1000 AS VARCHAR), 6, '0') AS slack_ts,
+    (epoch_us(ts) // 3600000000 * 3600) || '.' || lpad(CAST(user_id % 1000 AS VARCHAR), 6, '0') AS slack_ts,
     'C' || lpad(printf('%X', user_id % 97), 9, '0') AS channel,
     'U' || lpad(printf('%X', user_id), 9, '0') AS slack_user,
     lpad(printf('%x', x), 8, '0') || '-0000-4000-8000-' || lpad(printf('%x', user_id), 12, '0') AS uuid

@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import spans, texts
+from spanloom.plans import graph, spans, texts
 from spanloom.session import prepare
 
-MODULES = [spans, texts]
+MODULES = [spans, texts, graph]
 
 
 def _prepared(query: Callable[[SparkSession, str], DataFrame]):
