@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import ratio, truthy
+from spanloom.operators.ordering import rank_within, run_bucket
 
 # Error texts that mean throttling, first match decides the type.
 THROTTLE_TEXTS = [
@@ -73,22 +74,27 @@ def live_status(errors: Column, retries: Column) -> Column:
     )
 
 
+def throttle_signs() -> Column:
+    """Number of throttle signs of a span with the plain columns (error, attempt)."""
+    text = F.lower(F.when(truthy("error"), F.col("error")).otherwise(""))
+    matched = F.lit(False)
+    for word, _ in THROTTLE_TEXTS:
+        matched = matched | F.contains(text, F.lit(word))
+    storm = F.coalesce(F.col("attempt") - 1 >= RETRY_STORM, F.lit(False))
+    return matched.cast("int") + storm.cast("int") + F.contains(text, F.lit("timeout")).cast("int")
+
+
 def soak_iterations(spans: DataFrame, by: str = "iteration") -> DataFrame:
     """One row per iteration of a run: size, errors, retries, duration, status, throttles.
 
     Throttle signs are counted in the same aggregation as everything else.
     """
-    text = F.lower(F.when(truthy("error"), F.col("error")).otherwise(""))
-    matched = F.lit(False)
-    for word, _ in THROTTLE_TEXTS:
-        matched = matched | F.contains(text, F.lit(word))
     retries = F.coalesce(F.col("attempt"), F.lit(1)) - 1
-    signs = matched.cast("int") + (retries >= RETRY_STORM).cast("int") + F.contains(text, F.lit("timeout")).cast("int")
     facts = spans.groupBy(by).agg(
         F.count(F.lit(1)).alias("span_count"),
         F.count_if(truthy("error")).alias("error_count"),
         F.sum(retries).alias("retry_count"),
-        F.sum(signs).alias("throttle_events"),
+        F.sum(throttle_signs()).alias("throttle_events"),
         ((F.unix_micros(F.max("end_at")) - F.unix_micros(F.min("start_at"))) / F.lit(1000.0)).alias("duration_ms"),
     )
     status = live_status(F.col("error_count"), F.col("retry_count"))
@@ -142,17 +148,15 @@ def rate_statistics(changes: DataFrame, min_rate: float, max_rate: float) -> Dat
     )
 
 
-def observed_rate_changes(iterations: DataFrame, rate: Column, at: str = "iteration") -> DataFrame:
-    """(at, old_rate, new_rate, reason) between iterations that follow each other:
-    `throttle` if the later one was throttled, else `stability`.
-
-    The window runs over one row per iteration of a single run, not over spans.
-    """
-    order = Window.orderBy(at)
-    rated = iterations.withColumn("new_rate", rate).withColumn("old_rate", F.lag("new_rate").over(order))
-    return rated.filter(F.col("old_rate").isNotNull() & (F.col("old_rate") != F.col("new_rate"))).select(
+def observed_rate_changes(iterations: DataFrame, rate: Column, run: str = "run", at: str = "iteration") -> DataFrame:
+    """(run, at, old_rate, new_rate, reason) between iterations of a run that follow
+    each other: `throttle` if the later one was throttled, else `stability`."""
+    rated = iterations.withColumn("new_rate", rate).select(run, at, "new_rate", "throttle_events")
+    ranked = rank_within(rated, [run], run_bucket(at), [F.col(at)], previous=["new_rate"])
+    return ranked.filter(F.col("prev.new_rate") != F.col("new_rate")).select(
+        run,
         F.col(at).alias("at"),
-        "old_rate",
+        F.col("prev.new_rate").alias("old_rate"),
         "new_rate",
         F.when(F.col("throttle_events") > 0, "throttle").otherwise("stability").alias("reason"),
     )

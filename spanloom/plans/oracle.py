@@ -36,7 +36,7 @@ SPANS = f"""spans AS (
     props, ts AS logged_at, user_id, k, x, p FROM ev))"""
 
 REPEATED = """repeated AS (
-  SELECT * REPLACE (CASE WHEN seq % 19 = 0 AND seq > 0 THEN 'ev-' || (seq - 1) ELSE span_id END AS span_id)
+  SELECT * REPLACE (CASE WHEN seq % 19 = 0 AND seq % 4 > 0 THEN 'ev-' || (seq - 1) ELSE span_id END AS span_id)
   FROM spans)"""
 
 # How each log line of `raw_logs` was made, and the line itself.
@@ -71,7 +71,7 @@ lines AS (
 
 AGENT = """agent AS (
   SELECT conv_id * 1000 + turn AS seq, 'conv-' || conv_id AS session_id, 't-' || conv_id AS trace_id,
-    make_timestamp((1704067200 + conv_id * 60 + turn) * 1000000) AS at,
+    make_timestamp((1704067200 + conv_id * 60 + turn) * 1000000) AS moment,
     CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN 'action_in' WHEN role = 'assistant' AND conv_id % 3 = 0 THEN 'action_out'
          WHEN role = 'user' THEN 'model_in' WHEN role = 'assistant' THEN 'model_out' ELSE 'rationale' END AS kind,
     CASE WHEN conv_id % 3 = 0 THEN 'act-' || (conv_id % 5) END AS action_group, text AS payload
