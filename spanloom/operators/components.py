@@ -32,7 +32,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         .join(least, "src")
         .filter(F.col("far") != F.col("low"))
         .select(F.col("far").alias("src"), F.col("low").alias("dst"))
-        .distinct()
     )
 
 
