@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import truthy
-from spanloom.operators.ordering import rank_within, run_bucket
+from spanloom.operators.ordering import BUCKET_SECONDS, rank_within, run_bucket
+from spanloom.session import checkpoint
 
 PAIRS = {"model": ("model_in", "model_out"), "action": ("action_in", "action_out")}
 
@@ -59,7 +60,7 @@ def classify_events(events: DataFrame) -> DataFrame:
 
 def _slice(at: str) -> Column:
     # Events without a readable time sort first.
-    return F.coalesce(F.floor(F.unix_seconds(at) / 900), F.lit(-(1 << 40))).cast("long")
+    return F.coalesce(F.floor(F.unix_seconds(at) / BUCKET_SECONDS), F.lit(-(1 << 40))).cast("long")
 
 
 def event_pairs(events: DataFrame) -> DataFrame:
@@ -175,6 +176,13 @@ def _match_mixed(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["session", "class", "log_seq", "trace_seq"])
 
 
+def _mixed_matches(wants: DataFrame, offers: DataFrame, uneven: DataFrame, key: list[str]) -> DataFrame:
+    flags = wants.filter(~F.col("even")).select(*key, "seq", "r", "s", F.lit("log").alias("side")).unionByName(
+        offers.join(uneven, key, "left_semi").select(*key, "seq", "r", "s", F.lit("trace").alias("side"))
+    )
+    return flags.withColumn("cls", F.col("class")).groupBy(*key).applyInPandas(_match_mixed, _MATCH)
+
+
 def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
     """Fill missing requests and responses of log spans from agent trace spans of
     the same session and operation, one-to-one and in order; add the unused ones.
@@ -187,12 +195,18 @@ def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
     key = ["session", "class"]
     log_spans = log_spans.withColumn("session", F.col("agent_session_id")).withColumn("class", _operation_class())
     offers_all = trace_spans.withColumn("session", F.col("agent_session_id")).withColumn("class", _operation_class())
-    offers = offers_all.filter(truthy("session")).select(
-        *key, "seq", truthy("request").alias("r"), truthy("response").alias("s")
-    ).filter("r or s")
-    wants = log_spans.filter(truthy("session")).select(
-        *key, "seq", (~truthy("request")).alias("r"), (~truthy("response")).alias("s")
-    ).filter("r or s")
+    # Matching reads keys and flags several times; write those narrow rows once
+    # instead of computing both inputs over and over.
+    offers = checkpoint(
+        offers_all.filter(truthy("session"))
+        .select(*key, "seq", truthy("request").alias("r"), truthy("response").alias("s"))
+        .filter("r or s")
+    )
+    wants = checkpoint(
+        log_spans.filter(truthy("session"))
+        .select(*key, "seq", (~truthy("request")).alias("r"), (~truthy("response")).alias("s"))
+        .filter("r or s")
+    )
     kinds = offers.groupBy(*key).agg(
         F.bool_and("r").alias("all_r"), F.bool_or("r").alias("any_r"),
         F.bool_and("s").alias("all_s"), F.bool_or("s").alias("any_s"),
@@ -210,12 +224,11 @@ def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
         even_offers.withColumnRenamed("seq", "trace_seq"), [*key, "pos"]
     ).select(*key, "log_seq", "trace_seq")
     uneven = kinds.filter(~F.col("even")).select(*key)
-    flags = wants.filter(~F.col("even")).select(*key, "seq", "r", "s", F.lit("log").alias("side")).unionByName(
-        offers.join(uneven, key, "left_semi").select(*key, "seq", "r", "s", F.lit("trace").alias("side"))
-    ).withColumn("cls", F.col("class"))
-    mixed = flags.groupBy(*key).applyInPandas(_match_mixed, _MATCH)
-    matches = even.unionByName(mixed).select("log_seq", "trace_seq")
-
+    matches = even.select("log_seq", "trace_seq")
+    if not uneven.isEmpty():
+        mixed = _mixed_matches(wants, offers, uneven, key)
+        matches = matches.unionByName(mixed.select("log_seq", "trace_seq"))
+    matches = checkpoint(matches)
     given = offers_all.select(
         F.col("seq").alias("trace_seq"),
         F.struct("request", "response", "start_at", "end_at").alias("g"),

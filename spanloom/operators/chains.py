@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.entries import (
@@ -118,11 +118,18 @@ def primary_bridges(bridges: DataFrame) -> DataFrame:
 
 
 def chain_summary(chained: DataFrame, bridges_shown: int = 5) -> DataFrame:
-    """Facts plus the first few bridge values in text order."""
+    """Facts plus the first few bridge values in text order.
+
+    The rank filter is applied per input task before the shuffle, so a chain with
+    very many bridges sends only its first few rows.
+    """
+    order = Window.partitionBy("chain_id").orderBy("value")
     top = (
         bridge_values(chained)
+        .select("chain_id", "value", F.row_number().over(order).alias("n"))
+        .filter(F.col("n") <= bridges_shown)
         .groupBy("chain_id")
-        .agg(F.slice(F.sort_array(F.collect_list("value")), 1, bridges_shown).alias("bridges"))
+        .agg(F.sort_array(F.collect_list("value")).alias("bridges"))
     )
     return chain_facts(chained).join(top, "chain_id", "left")
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 900
+# A minute of one execution is what a single task sorts at most. Executions mostly
+# last seconds, so they fall into one or two buckets.
+BUCKET_SECONDS = 60
 BUCKET_ROWS = 100_000
 
 # Larger than any time bucket, so that rows without a time come last.

@@ -18,6 +18,7 @@ from spanloom.operators import normalise as nm
 from spanloom.operators import profile as pf
 from spanloom.operators import validate as vl
 from spanloom.plans.oracle import EV, LINES, sql
+from spanloom.session import spread
 from spanloom.sources.driver_tables import raw_logs, table
 from spanloom.sources.logs import scan_log_lines, varied_counters
 
@@ -100,7 +101,7 @@ def id_harvest(spark, d):
 
 def document_ids(spark, d):
     text = F.col("text")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id", *[F.array_join(pf.harvest(text, n), "|").alias(n) for n in ("session_ids", "slack_users", "uuids", "arns")]
     )
 
@@ -157,11 +158,11 @@ def inferred_components(spark, d):
 
 
 def redacted_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", redact_text(F.col("text")).alias("text"))
+    return spread(table(spark, d, "documents")).select("doc_id", redact_text(F.col("text")).alias("text"))
 
 
 def redaction_counts(spark, d):
-    hits = table(spark, d, "documents").select(F.explode(pattern_hits(F.col("text"))).alias("pattern", "n"))
+    hits = spread(table(spark, d, "documents")).select(F.explode(pattern_hits(F.col("text"))).alias("pattern", "n"))
     return hits.groupBy("pattern").agg(F.sum("n").cast("long").alias("matches"), F.count_if(F.col("n") > 0).alias("documents"))
 
 
@@ -170,7 +171,7 @@ ALL_ON = RedactionConfig().with_pattern("ipv4", True).with_pattern("email", Fals
 
 def redacted_payloads(spark, d):
     """A nested payload around each turn; keys and texts are hidden at any depth."""
-    turn = table(spark, d, "conversations")
+    turn = spread(table(spark, d, "conversations"))
     payload = F.to_json(
         F.struct(
             F.struct(F.lit("hunter2").alias("Password"), F.col("text").alias("note")).alias("user"),
@@ -190,7 +191,7 @@ def redacted_payloads(spark, d):
 
 
 def redacted_maps(spark, d):
-    turn = table(spark, d, "conversations")
+    turn = spread(table(spark, d, "conversations"))
     flat = F.create_map(F.lit("Token"), F.col("role"), F.lit("text"), F.col("text"))
     return turn.select("conv_id", "turn", redact_map(flat).alias("m")).select(
         "conv_id", "turn", F.col("m")["Token"].alias("secret"), F.col("m")["text"].alias("text")

@@ -174,3 +174,14 @@ def test_validation(spark):
     assert got == {
         1: {"$"}, 2: {"$", "$.span_id", "$.attempt", "$.error.code"}, 3: {"$"}, 4: {"$.attempt", "$.request"},
     }
+
+
+def test_values_by_field_name_and_format(spark):
+    from spanloom.operators.profile import values_without_sheet
+
+    flat = {"a.thread_id": "1768885845.305819", "userId": "someone", "m": f"RequestId: {UUID} in C07GVLMH5EG", "x-req": "no", "empty": " "}
+    df = spark.createDataFrame([(flat,)], "m map<string,string>")
+    got = {(v["value_type"], v["value"]) for v in df.select(values_without_sheet(F.col("m")).alias("v")).first()["v"]}
+    assert got == {
+        ("slack_ts", "1768885845.305819"), ("user", "someone"), ("uuid", UUID), ("lambda_request", UUID), ("channel", "C07GVLMH5EG"),
+    }
