@@ -38,8 +38,9 @@ def path_signatures(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     steps agree.
     """
     needed = with_times(spans).select(
-        by, "seq", "span_id", "component", "operation", "attempt", "error",
-        "ts_start", "ts_end", "start_at", "end_at",
+        by, "seq", "span_id", "component", "operation", "attempt", "start_at", "end_at",
+        truthy("error").alias("failed"),
+        unreadable_time().alias("unreadable"),
     )
     steps = path_steps(needed, by)
     step = F.concat_ws(":", "component", "operation")
@@ -51,11 +52,11 @@ def path_signatures(spans: DataFrame, by: str = "exec_id") -> DataFrame:
         F.sort_array(
             F.collect_list(F.when(F.col("pos") <= TEXT_STEPS, F.struct("pos", step.alias("step"))))
         ).alias("_first"),
-        F.bool_or(truthy("error")).alias("has_error"),
+        F.bool_or("failed").alias("has_error"),
         F.greatest(F.coalesce(F.max("attempt"), F.lit(0)) - 1, F.lit(0)).alias("retries"),
         F.min("start_at").alias("_start"),
         F.max("end_at").alias("_end"),
-        F.bool_or(unreadable_time()).alias("_unreadable"),
+        F.bool_or("unreadable").alias("_unreadable"),
     )
     text = F.concat(
         F.array_join(F.col("_first.step"), " -> "),

@@ -55,27 +55,35 @@ def detect_gaps(
 ) -> DataFrame:
     """(execution, severity, component, span_id, issue, recommendation)."""
     component, span_id = F.col("component"), F.col("span_id")
+    # Payloads only matter as present or absent; they do not go through the join.
+    slim = spans.select(
+        by, "seq", "span_id", "parent_span_id", "component",
+        F.col("ts_start").isNull().alias("no_start"),
+        F.col("request").isNull().alias("no_request"),
+        (F.col("response").isNull() & F.col("error").isNull()).alias("no_answer"),
+        first_truthy(*GAP_IDS).isNull().alias("no_ids"),
+    )
     per_span = F.array_compact(
         F.array(
             F.when(
-                F.col("ts_start").isNull(),
+                F.col("no_start"),
                 _gap("warning", component, span_id, _text("Missing ts_start timestamp"),
                      _text(ADVICE_START)),
             ),
             F.when(
-                _at_boundary() & F.col("request").isNull(),
+                _at_boundary() & F.col("no_request"),
                 _gap("critical", component, span_id, _text("Missing request payload"),
                      _text("Log request payload at ", component,
                            " boundary. Use WARN level with JSON format.")),
             ),
             F.when(
-                _at_boundary() & F.col("response").isNull() & F.col("error").isNull(),
+                _at_boundary() & F.col("no_answer"),
                 _gap("warning", component, span_id, _text("Missing response or error payload"),
                      _text("Log response/error at ", component,
                            " boundary. This enables completion detection.")),
             ),
             F.when(
-                first_truthy(*GAP_IDS).isNull(),
+                F.col("no_ids"),
                 _gap("warning", component, span_id, _text("No correlation IDs present"),
                      _text(ADVICE_IDS)),
             ),
@@ -88,7 +96,7 @@ def detect_gaps(
         )
     )
     found = (
-        with_parent(spans, by)
+        with_parent(slim, by)
         .select(by, F.explode(per_span).alias("g"))
         .select(by, "g.*")
     )

@@ -82,10 +82,17 @@ def sequence_events(spans: DataFrame, by: str = "exec_id", payload_only: bool =
     source order: pointing from the span to its parent, or with `payload_only` from
     the parent to the span.
     """
-    spans = with_times(spans)
+    # Payloads only matter as present or absent; they do not go through the joins.
+    spans = with_times(spans).select(
+        by, "seq", "span_id", "parent_span_id", "component", "operation", "attempt", "start_at", "end_at",
+        "trace_id", "request_id", "agent_session_id",
+        present("request").alias("has_request"),
+        present("response").alias("has_response"),
+        present("error").alias("has_error"),
+    )
     answered = F.col("end_at").isNotNull()
     if payload_only:
-        answered = answered & (present("response") | present("error"))
+        answered = answered & (F.col("has_response") | F.col("has_error"))
 
     def arrow(kind: str, at: Column, later: int, source: str, target: str) -> Column:
         return F.struct(
@@ -117,9 +124,7 @@ def sequence_events(spans: DataFrame, by: str = "exec_id", payload_only: bool =
         .select(
             by, "seq", "span_id", "parent_span_id", "component", "caller", "operation", "attempt",
             "start_at", "end_at", "trace_id", "request_id", "agent_session_id",
-            present("request").alias("has_request"),
-            present("response").alias("has_response"),
-            present("error").alias("has_error"),
+            "has_request", "has_response", "has_error",
             "_a.*",
         )
     )

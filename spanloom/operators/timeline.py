@@ -25,7 +25,7 @@ def timeline_positions(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     row per execution.
     """
     spans = with_times(spans).select(
-        by, "seq", "span_id", "component", "operation", "start_at", "end_at", "error"
+        by, "seq", "span_id", "component", "start_at", "end_at", truthy("error").alias("has_error")
     )
     bounds = spans.groupBy(by).agg(
         F.min(F.least("start_at", "end_at")).alias("_min"),
@@ -60,7 +60,7 @@ def timeline_positions(spans: DataFrame, by: str = "exec_id") -> DataFrame:
             duration.alias("duration_ms"),
             width.alias("range_ms"),
             component_type().alias("component_type"),
-            truthy("error").alias("has_error"),
+            "has_error",
         )
     )
 
