@@ -145,3 +145,13 @@ def test_suite(spark, make_spans):
     assert (total["passed"], total["all_passed"]) == (1, False)
     ids = spark.createDataFrame([("sqs_entry_test",), ("sqs_one",), ("api-x",), ("dir/x",), ("plain",)], "id string")
     assert [r[0] for r in ids.select(group_name(F.col("id"))).collect()] == ["Sqs Entry", "Sqs", "Api", "Dir", "Default"]
+
+
+def test_compare_two_executions(make_spans):
+    sig = cmp.path_signatures(make_spans(
+        {"exec_id": "1", "component": "a", "ts_start": T0, "ts_end": T1},
+        {"exec_id": "2", "component": "a", "ts_start": T0, "ts_end": T1, "error": '{"message": "x"}'},
+        {"exec_id": "3", "component": "z"},
+    ))
+    got = {r["signature"]: (r["is_new"], r["is_missing"]) for r in cmp.compare_executions(sig, "1", "2").collect()}
+    assert got == {"a:op": (False, True), "a:op [ERROR]": (True, False)}
