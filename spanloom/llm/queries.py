@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe
+from spanloom.llm import bpe, repeats
 from spanloom.llm.rows import prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text when strings of 200 bytes that occur again are removed."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return cut.select(
+        "row.doc_id", "n_bytes", "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text."""
     import public_tokenizers
@@ -32,6 +42,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op6_bpe": op6_bpe,
 }
 
