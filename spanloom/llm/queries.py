@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, repeats
+from spanloom.llm import bpe, nearcopies, repeats
 from spanloom.llm.rows import prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -41,9 +41,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of each document, named after its least id."""
+    found = nearcopies.near_copies(table(spark, sf_dir, "documents"), least=0.8, width=5)
+    return found.select("doc_id", "class_id", "n_class", "stays")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_repeats": op4_suffix_repeats,
     "op6_bpe": op6_bpe,
+    "op10_bagminhash": op10_bagminhash,
 }
 
 #: DuckDB text of the queries that SQL can express on whole tables.
