@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, nearcopies, repeats
+from spanloom.llm import bpe, decontaminate, nearcopies, repeats
 from spanloom.llm.rows import prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of ten words of benchmark items."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each text when strings of 200 bytes that occur again are removed."""
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
@@ -48,6 +59,7 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_winnowing": op2_winnowing,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op6_bpe": op6_bpe,
     "op10_bagminhash": op10_bagminhash,
