@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, nearcopies, repeats
-from spanloom.llm.rows import prepared
+from spanloom.llm import bpe, decontaminate, langid, nearcopies, repeats
+from spanloom.llm.rows import crc_rest, prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_ngram_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rest = crc_rest("doc_id", 3)
+    model = langid.train(docs.filter(rest != 1))
+    given = docs.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(given, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of ten words of benchmark items."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
@@ -59,6 +68,7 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_bayes": op1_ngram_bayes,
     "op2_winnowing": op2_winnowing,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op6_bpe": op6_bpe,
