@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, langid, nearcopies, repeats
+from spanloom.llm import bpe, decontaminate, langid, nearcopies, repeats, toxicity
 from spanloom.llm.rows import crc_rest, prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,18 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxic_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic each document is, learned from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_rest("doc_id", 4) != 2)
+    known = docs.select("doc_id", "text", "lang").join(labels, "doc_id")
+    model = toxicity.train(known.withColumnRenamed("doc_id", "id"))
+    given = docs.select("doc_id", F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(given, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each text when strings of 200 bytes that occur again are removed."""
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
@@ -70,6 +82,7 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_bayes": op1_ngram_bayes,
     "op2_winnowing": op2_winnowing,
+    "op3_toxic_conv": op3_toxic_conv,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op6_bpe": op6_bpe,
     "op10_bagminhash": op10_bagminhash,
