@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, langid, nearcopies, repeats, toxicity
+from spanloom.llm import bpe, decontaminate, extract, langid, nearcopies, repeats, toxicity
 from spanloom.llm.rows import crc_rest, prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    found = extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of each document, named after its least id."""
     found = nearcopies.near_copies(table(spark, sf_dir, "documents"), least=0.8, width=5)
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxic_conv": op3_toxic_conv,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op6_bpe": op6_bpe,
+    "op7_style_tree": op7_style_tree,
     "op10_bagminhash": op10_bagminhash,
 }
 
