@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, extract, langid, nearcopies, repeats, toxicity
+from spanloom.llm import bpe, decontaminate, extract, langid, nearcopies, neighbours, repeats, toxicity
 from spanloom.llm.rows import crc_rest, prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -79,6 +79,12 @@ def op7_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for each vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of each document, named after its least id."""
     found = nearcopies.near_copies(table(spark, sf_dir, "documents"), least=0.8, width=5)
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_repeats": op4_suffix_repeats,
     "op6_bpe": op6_bpe,
     "op7_style_tree": op7_style_tree,
+    "op8_cross_polytope": op8_cross_polytope,
     "op10_bagminhash": op10_bagminhash,
 }
 
