@@ -204,7 +204,7 @@ def repeated_starts(docs: DataFrame, length: int = 200, gram: int = GRAM) -> Dat
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` in ``row``, with ``n_bytes``, ``n_removed``, ``spans``
+    """All other columns of ``docs`` in ``row``, with ``n_bytes``, ``n_removed``, ``spans``
     (array of (first, end) bytes removed) and ``kept`` (binary).
 
     Removes each byte covered by a string of ``length`` bytes that also starts anywhere

@@ -28,13 +28,18 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def others(docs: DataFrame, text_col: str) -> Column:
+    """One struct ``row`` of all columns but the text."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).alias("none")]).alias("row")
+
+
 def packed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: bool = True) -> DataFrame:
-    """``text`` (null: empty), the key ``k1``, ``k2``, and ``row`` with all columns, or
-    only ``doc_id`` when ``keep`` is false."""
+    """``text`` (null: empty), the key ``k1``, ``k2``, and ``row`` with all other columns,
+    or only ``doc_id`` when ``keep`` is false."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_ = F.col(id_col)
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep else id_.alias("doc_id"),
+        others(docs, text_col) if keep else id_.alias("doc_id"),
         text.alias("text"),
         F.xxhash64(F.lit(1), id_, text).alias("k1"),
         F.xxhash64(F.lit(2), text, id_).alias("k2"),
