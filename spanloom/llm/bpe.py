@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.llm.rows import others
+
 RUN_BYTES = 4 << 20
 CACHE_WORDS = 600_000
 LONG_WORD = 64
@@ -225,17 +227,14 @@ def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` in ``row``, with ``ids`` (array<int>) and ``decoded`` (binary).
+    """All other columns of ``docs`` in ``row``, with ``ids`` (array<int>) and ``decoded`` (binary).
 
     ``path`` is a rank file that every executor has (the tokenizers are installed, not
     shipped). A null or empty text has no ids and decodes to nothing. Repeated rows
     stay repeated. Columns of any name are fine, as they are packed. The special
     tokens of a vocabulary are ordinary text.
     """
-    given = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-    )
+    given = docs.select(others(docs, text_col), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None

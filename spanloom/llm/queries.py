@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, extract, langid, nearcopies, neighbours, repeats, toxicity
+from spanloom.llm import bpe, decontaminate, extract, langid, nearcopies, neighbours, quality, repeats, tokencount, toxicity
 from spanloom.llm.rows import crc_rest, prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,15 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens the best cut of each document has."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.token_counts(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    return counted.select("row.doc_id", "n_tokens", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text."""
     import public_tokenizers
@@ -85,6 +94,16 @@ def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How good each document is, learned from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held)
+    model = quality.train(docs, labels)
+    given = docs.select("doc_id", held.alias("held_out"), "text", "lang", "source")
+    return quality.score(given, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of each document, named after its least id."""
     found = nearcopies.near_copies(table(spark, sf_dir, "documents"), least=0.8, width=5)
@@ -96,9 +115,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
     "op3_toxic_conv": op3_toxic_conv,
     "op4_suffix_repeats": op4_suffix_repeats,
+    "op5_trie_counts": op5_trie_counts,
     "op6_bpe": op6_bpe,
     "op7_style_tree": op7_style_tree,
     "op8_cross_polytope": op8_cross_polytope,
+    "op9_co_training": op9_co_training,
     "op10_bagminhash": op10_bagminhash,
 }
 
