@@ -117,7 +117,7 @@ def redact_json(text: Column, config: RedactionConfig = RedactionConfig()) -> Co
                 return None
             try:
                 return json.dumps(clean(json.loads(t)), ensure_ascii=False)
-            except ValueError:
+            except (ValueError, RecursionError):
                 return None
 
         return pd.Series([one(t) for t in texts], dtype=object)

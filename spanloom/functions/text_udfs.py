@@ -9,39 +9,35 @@ from __future__ import annotations
 import ast
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# How deep text inside text is opened.
-UNPACK_DEPTH = 5
-SEARCH_DEPTH = 10
-
 # Where a Python dict starts in free text.
 DICT_IN_TEXT = r"""\{['"][\w_]+['"]\s*:\s*.+\}"""
 BRACES_JSON = r"(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})"
 BRACES_DICT = r"""(\{['"][^{}]*(?:\{[^{}]*\}[^{}]*)*\})"""
 
 
-def _dump(value) -> str:
-    return json.dumps(value, ensure_ascii=False, default=str)
+def _guarded(read: Callable) -> Callable:
+    """Text that is broken, or nested too deeply to be read, is ordinary text."""
 
+    def run(x):
+        try:
+            return read(x)
+        except (ValueError, SyntaxError, RecursionError, MemoryError, TypeError):
+            return None
 
-def _literal(text: str):
-    try:
-        return ast.literal_eval(text)
-    except (ValueError, SyntaxError, RecursionError, MemoryError, TypeError):
-        return None
+    return run
 
 
-def _json(text: str):
-    try:
-        return json.loads(text)
-    except ValueError:
-        return None
+_dump = _guarded(lambda value: json.dumps(value, ensure_ascii=False, default=str))
+_literal = _guarded(ast.literal_eval)
+_json = _guarded(json.loads)
 
 
 def dict_in_text(text: str) -> dict | None:
@@ -51,89 +47,97 @@ def dict_in_text(text: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def unpack(value, depth: int = 0):
-    """Open JSON that is written inside strings, `UNPACK_DEPTH` levels deep."""
-    if depth > UNPACK_DEPTH:
-        return value
-    if isinstance(value, str):
-        inner = _json(value.strip()) if value.strip().startswith(("{", "[", '"')) else None
-        if isinstance(inner, list):
-            return [unpack(v, depth + 1) if isinstance(v, str) else v for v in inner]
-        return value if inner is None else unpack(inner, depth + 1)
-    if isinstance(value, dict):
-        # Strings of a dict are read at the dict's own depth, containers one below.
-        return {k: unpack(v, depth + (not isinstance(v, str))) for k, v in value.items()}
-    if isinstance(value, list):
-        return [v if isinstance(v, list) else unpack(v, depth) for v in value]
-    return value
-
-
-def _embedded(text: str, braces: str, read: Callable):
+def unpack(value):
+    """Open all JSON that is written inside strings, however deep.
+
+    Lists inside lists stay as they are, and of a list that was text itself only the
+    strings are opened.
+    """
+    top = [value]
+    todo = [(top, 0)]
+    while todo:
+        box, place = todo.pop()
+        was_text = isinstance(box[place], str)
+        while isinstance(box[place], str) and box[place].lstrip()[:1] in ("{", "[", '"'):
+            inner = _json(box[place].strip())
+            if inner is None:
+                break
+            box[place] = inner
+        here = box[place]
+        if isinstance(here, dict):
+            todo += [(here, k) for k in here]
+        elif isinstance(here, list):
+            kinds = str if was_text else (str, dict)
+            todo += [(here, i) for i, x in enumerate(here) if isinstance(x, kinds)]
+    return top[0]
+
+
+@dataclass(slots=True)
+class Met:
+    """A value met on a walk: its path, whether a key names it, the text it was opened
+    from (`json`, `repr` or none), if it lies in a list out of text, and what stands
+    before it when everything is written in one line."""
+
+    value: object
+    path: str = ""
+    keyed: bool = False
+    opened: str = ""
+    in_text_list: bool = False
+    lead: str = ""
+
+
+def _within(text: str) -> tuple[object, str]:
+    """The JSON value, or else the Python literal, inside a text, and which it was."""
     text = text.strip()
-    if not text.startswith(("{", "[")):
-        found = re.search(braces, text)
-        if not found:
-            return None
-        text = found.group(1)
-    return read(text)
-
-
-def opened(text: str):
-    """(value, kind) of JSON or a Python literal inside a text."""
-    value = _embedded(text, BRACES_JSON, _json)
-    if value is not None:
-        return value, "json"
-    return _embedded(text, BRACES_DICT, _literal), "repr"
+    whole = text[:1] in ("{", "[")
+    for kind, braces, read in (("json", BRACES_JSON, _json), ("repr", BRACES_DICT, _literal)):
+        part = text if whole else (found.group(1) if (found := re.search(braces, text)) else None)
+        value = None if part is None else read(part)
+        if value is not None:
+            return value, kind
+    return None, ""
+
+
+def walk(value) -> Iterator[Met]:
+    """Everything in a nested value in its written order, text inside of text included.
+    Each opened text is shorter than the text around it, so a walk ends."""
+    todo = [Met(value)]
+    while todo:
+        met = todo.pop()
+        yield met
+        here, hidden = met.value, met.in_text_list
+        if isinstance(here, str):
+            inner, kind = _within(here)
+            if kind:
+                todo.append(Met(inner, f"{met.path}.{kind}", False, kind, hidden or not isinstance(inner, dict), " "))
+        elif isinstance(here, dict):
+            below = [Met(v, f"{met.path}.{k}" if met.path else str(k), True, "", hidden, f" {k}=") for k, v in here.items()]
+            todo += _first_unspaced(below)
+        elif isinstance(here, (list, tuple)):
+            below = [Met(v, f"{met.path}[{i}]", False, "", hidden, " ") for i, v in enumerate(here)]
+            todo += _first_unspaced(below)
+
+
+def _first_unspaced(below: list[Met]) -> list[Met]:
+    if below:
+        below[0].lead = below[0].lead[1:]
+    return below[::-1]
+
+
+def searchable(value) -> str:
+    """`key=value` text of a nested object, embedded objects appended."""
+    return "".join(m.lead + ("" if isinstance(m.value, (dict, list, tuple)) else str(m.value)) for m in walk(value))
 
 
-def searchable(value, depth: int = 0) -> str:
-    """`key=value` text of a nested object, embedded objects appended."""
-    if depth > SEARCH_DEPTH:
-        return str(value)
-    if isinstance(value, str):
-        inner, _ = opened(value)
-        return value if inner is None else f"{value} {searchable(inner, depth + 1)}"
-    if isinstance(value, dict):
-        return " ".join(f"{k}={searchable(v, depth + 1)}" for k, v in value.items())
-    if isinstance(value, (list, tuple)):
-        return " ".join(searchable(v, depth + 1) for v in value)
-    return str(value)
-
-
-def flattened(value, path: str = "") -> dict[str, str | None]:
-    """Path to scalar for everything in a nested object, embedded objects included."""
-    out: dict[str, str | None] = {}
-    if isinstance(value, str):
-        inner, kind = opened(value)
-        if isinstance(inner, dict):
-            out.update(flattened(inner, f"{path}.{kind}"))
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            here = f"{path}.{k}" if path else str(k)
-            if not isinstance(v, (dict, list)):
-                out[here] = v if isinstance(v, str) or v is None else _dump(v)
-            out.update(flattened(v, here))
-    elif isinstance(value, (list, tuple)):
-        for i, v in enumerate(value):
-            out.update(flattened(v, f"{path}[{i}]"))
-    return out
+def flattened(value) -> dict[str, str | None]:
+    """Path to scalar of all that a key names, embedded objects included."""
+    named = [m for m in walk(value) if m.keyed and not m.in_text_list and not isinstance(m.value, (dict, list))]
+    return {m.path: m.value if m.value is None or isinstance(m.value, str) else _dump(m.value) for m in named}
 
 
 def nested_objects(value) -> list[str]:
     """JSON text of every object found inside strings, outermost first."""
-    out = []
-    if isinstance(value, str):
-        inner, _ = opened(value)
-        if isinstance(inner, dict):
-            out.append(_dump(inner))
-            out.extend(nested_objects(inner))
-    elif isinstance(value, dict):
-        for v in value.values():
-            out.extend(nested_objects(v))
-    elif isinstance(value, (list, tuple)):
-        for v in value:
-            out.extend(nested_objects(v))
-    return out
+    return [_dump(m.value) for m in walk(value) if m.opened and not m.in_text_list]
 
 
 def _on_text(result: T.DataType, work: Callable) -> Callable[[Column], Column]:
@@ -158,14 +162,10 @@ def _dict_json(text: str) -> str | None:
     return None if value is None else _dump(value)
 
 
-def _flat(text: str) -> dict:
-    return flattened(_json(text))
-
-
 _unpack_udf = _on_text(T.StringType(), _unpack_line)
 _dict_udf = _on_text(T.StringType(), _dict_json)
 searchable_text = _on_text(T.StringType(), lambda t: searchable(_json(t)))
-flat_values = _on_text(T.MapType(T.StringType(), T.StringType()), _flat)
+flat_values = _on_text(T.MapType(T.StringType(), T.StringType()), lambda t: flattened(_json(t)))
 nested_data = _on_text(T.ArrayType(T.StringType()), lambda t: nested_objects(_json(t)))
 
 # A string value that itself starts like JSON.

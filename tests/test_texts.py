@@ -185,3 +185,13 @@ def test_values_by_field_name_and_format(spark):
     assert got == {
         ("slack_ts", "1768885845.305819"), ("user", "someone"), ("uuid", UUID), ("lambda_request", UUID), ("channel", "C07GVLMH5EG"),
     }
+
+
+def test_deep_and_broken_text_is_ordinary_text(spark):
+    deep = "[" * 200_000
+    assert searchable({"m": deep}) == f"m={deep}" and flattened({"m": deep}) == {"m": deep}
+    assert one(spark, deep, redact_json) == deep
+    text = '{"id": "u"}'
+    for _ in range(9):
+        text = json.dumps({"x": text})
+    assert '"id": "u"' in json.dumps(unpack({"m": text}))
