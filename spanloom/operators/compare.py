@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from spanloom.functions.values import ratio, truthy, unreadable_time, with_times
 from spanloom.operators.ordering import rank_within, time_or_text_bucket
 
-# Steps written out in the readable text. Longer paths are compared by `path_key`
-# over all their steps and stay readable row by row in `path_steps`.
-TEXT_STEPS = 200
-
 
 def path_steps(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     """Every span with `pos`, its place on the path: by start time, else by id."""
@@ -30,12 +26,12 @@ def _digest(text: Column, first: int) -> Column:
 
 
 def path_signatures(spans: DataFrame, by: str = "exec_id") -> DataFrame:
-    """One row per execution: `path_key`, readable text, error flag, retries, latency.
+    """One row per execution: `path_key`, error flag, retries, latency.
 
     The key is built from sums of per-step digests that include the position. Sums
     can be pre-aggregated on the map side, so the steps of a long execution never
     have to meet in one task, and two paths get the same key only if all their
-    steps agree.
+    steps agree. The steps themselves are rows, see `path_texts`.
     """
     needed = with_times(spans).select(
         by, "seq", "span_id", "component", "operation", "attempt", "start_at", "end_at",
@@ -43,37 +39,23 @@ def path_signatures(spans: DataFrame, by: str = "exec_id") -> DataFrame:
         unreadable_time().alias("unreadable"),
     )
     steps = path_steps(needed, by)
-    step = F.concat_ws(":", "component", "operation")
-    stamped = F.concat_ws("|", F.col("pos").cast("string"), F.col("component"), F.col("operation"))
+    # Parts carry their length, so that no separator inside a name can shift them.
+    sized = lambda c: F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("-"))
+    stamped = F.concat_ws("|", F.col("pos").cast("string"), sized("component"), sized("operation"))
     facts = steps.groupBy(by).agg(
         F.count(F.lit(1)).alias("steps"),
         F.sum(_digest(stamped, 1)).alias("_h1"),
         F.sum(_digest(stamped, 17)).alias("_h2"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("pos") <= TEXT_STEPS, F.struct("pos", step.alias("step"))))
-        ).alias("_first"),
         F.bool_or("failed").alias("has_error"),
         F.greatest(F.coalesce(F.max("attempt"), F.lit(0)) - 1, F.lit(0)).alias("retries"),
         F.min("start_at").alias("_start"),
         F.max("end_at").alias("_end"),
         F.bool_or("unreadable").alias("_unreadable"),
     )
-    text = F.concat(
-        F.array_join(F.col("_first.step"), " -> "),
-        F.when(
-            F.col("steps") > TEXT_STEPS,
-            F.concat(F.lit(" -> ... "), F.col("steps"), F.lit(" steps")),
-        ).otherwise(""),
-        F.when(F.col("has_error"), " [ERROR]").otherwise(""),
-        F.when(
-            F.col("retries") > 0, F.concat(F.lit(" [RETRIES:"), F.col("retries"), F.lit("]"))
-        ).otherwise(""),
-    )
     latency = F.when(~F.col("_unreadable"), F.unix_micros("_end") - F.unix_micros("_start"))
     return facts.select(
         by,
         F.md5(F.concat_ws("-", "steps", "_h1", "_h2", "has_error")).alias("path_key"),
-        text.alias("signature"),
         "steps",
         "has_error",
         "retries",
@@ -82,15 +64,22 @@ def path_signatures(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     )
 
 
-def _label(by: str) -> Column:
-    # The text shown for a path comes from its earliest execution.
-    return F.min_by("signature", F.struct(F.coalesce(F.unix_micros("started_at"), F.lit(1 << 62)), F.col(by)))
+def _example(by: str) -> Column:
+    # A path is shown by its earliest execution.
+    return F.min_by(by, F.struct(F.coalesce(F.unix_micros("started_at"), F.lit(1 << 62)), F.col(by)))
+
+
+def path_texts(spans: DataFrame, signatures: DataFrame, by: str = "exec_id") -> DataFrame:
+    """(path_key, pos, step): every step of each path, read off its earliest execution."""
+    shown = signatures.groupBy("path_key").agg(_example(by).alias(by))
+    step = F.concat_ws(":", "component", "operation")
+    return path_steps(spans, by).join(shown, by).select("path_key", "pos", step.alias("step"))
 
 
 def path_stats(signatures: DataFrame, by: str = "exec_id") -> DataFrame:
     """Count, latency and errors per path; sums are whole microseconds, hence exact."""
     return signatures.groupBy("path_key").agg(
-        _label(by).alias("signature"),
+        _example(by).alias("example"),
         F.count(F.lit(1)).alias("executions"),
         (F.sum("latency_us") / F.lit(1000.0)).alias("total_latency_ms"),
         (F.min("latency_us") / F.lit(1000.0)).alias("min_latency_ms"),
@@ -108,7 +97,7 @@ def compare_by(signatures: DataFrame, is_baseline: str, by: str = "exec_id") ->
     """
     base = F.col(is_baseline)
     sums = signatures.groupBy("path_key").agg(
-        _label(by).alias("signature"),
+        _example(by).alias("example"),
         F.count_if(base).alias("baseline_count"),
         F.count_if(~base).alias("current_count"),
         F.coalesce(F.sum(F.when(base, F.col("latency_us"))), F.lit(0)).alias("_bl"),

@@ -151,7 +151,8 @@ def ancestors(tree: SpanTree, seeds: DataFrame) -> DataFrame:
         step = found.join(tree.jumps[k], [by, "node"]).select(
             by, "seed", F.col("anc").alias("node"), (F.col("distance") + (1 << k)).alias("distance")
         )
-        found = found.unionByName(step)
+        # Written, since the next step uses it twice and the plan would double.
+        found = checkpoint(found.unionByName(step))
     dangling = (
         tree.nodes.filter((F.col("top") == F.col("node")) & F.col("parent").isNotNull())
         .select(by, "node", F.col("parent").alias("named"))
@@ -174,7 +175,7 @@ def descendants(tree: SpanTree, seeds: DataFrame) -> DataFrame:
         step = found.join(tree.jumps[k], [by, "anc"]).select(
             by, "seed", F.col("node").alias("anc"), (F.col("distance") + (1 << k)).alias("distance")
         )
-        found = found.unionByName(step)
+        found = checkpoint(found.unionByName(step))
     return found.filter("distance > 0").select(by, "seed", F.col("anc").alias("span_id"), "distance")
 
 
@@ -199,11 +200,11 @@ def critical_path(tree: SpanTree, strict: bool = True) -> DataFrame:
         .filter((F.col("sum_us") == F.col("best")) & (F.col("least_us").isNull() | (F.col("least_us") > 0)))
         .select(by, "node")
     )
+    ends = checkpoint(ends)
     marked = ends
     for k in reversed(range(len(tree.jumps))):
         step = marked.join(tree.jumps[k], [by, "node"]).select(by, F.col("anc").alias("node"))
-        marked = marked.unionByName(step)
-    marked = marked.distinct()
+        marked = checkpoint(marked.unionByName(step).distinct())
     on_way = checkpoint(
         attached.join(marked, [by, "node"], "left_semi").select(by, "node", "parent", "start_us", "seq", "depth")
     )
@@ -219,7 +220,7 @@ def critical_path(tree: SpanTree, strict: bool = True) -> DataFrame:
     for k in range(len(tree.jumps)):
         above = state.select(by, F.col("node").alias("anc"), F.col("ok").alias("_ok"))
         linked = tree.jumps[k].join(above, [by, "anc"]).select(by, "node", "_ok")
-        state = (
+        state = checkpoint(
             state.join(linked, [by, "node"], "left")
             .select(by, "node", "depth", (F.col("ok") & F.coalesce("_ok", F.lit(True))).alias("ok"))
         )

@@ -174,10 +174,15 @@ def path_steps(spark, d):
 
 def path_signatures(spark, d):
     return _signatures(spark, d).select(
-        "exec_id", "path_key", "signature", "steps", "has_error", "retries", "latency_us"
+        "exec_id", "path_key", "steps", "has_error", "retries", "latency_us"
     )
 
 
+def path_texts(spark, d):
+    s = spans(spark, d)
+    return cmp.path_texts(s, cmp.path_signatures(s)).select("path_key", F.col("pos").cast("long").alias("pos"), "step")
+
+
 def path_stats(spark, d):
     return rounded(
         cmp.path_stats(_signatures(spark, d)),
@@ -242,7 +247,7 @@ QUERIES = {
         run_statistics, trace_order, span_latency, timeline_positions, timeline_statistics, participants,
         retry_groups, sequence_events, sequence_text, caller_edges, span_tree, span_ancestors,
         span_descendants, critical_path, orphan_spans, invariants_long, invariants_summary,
-        invariant_violations, required_components, logging_gaps, gap_rollup, path_steps, path_signatures,
+        invariant_violations, required_components, logging_gaps, gap_rollup, path_steps, path_texts, path_signatures,
         path_stats, compare_deltas, compare_verdict, window_scan, id_filter_scan, search_spans,
         filtered_spans, span_payloads,
     )
@@ -375,19 +380,17 @@ _STEPS = """steps AS (
   FROM spans)"""
 _SIGS = _STEPS + f""", sums AS (
   SELECT exec_id, count(*) AS steps,
-    sum(('0x' || substr(md5(pos || '|' || component || '|' || operation), 1, 15))::BIGINT) AS h1,
-    sum(('0x' || substr(md5(pos || '|' || component || '|' || operation), 17, 15))::BIGINT) AS h2,
-    string_agg(component || ':' || operation, ' -> ' ORDER BY pos) AS way,
+    sum(('0x' || substr(md5(pos || '|' || length(component) || ':' || component || '|' || length(operation) || ':' || operation), 1, 15))::BIGINT) AS h1,
+    sum(('0x' || substr(md5(pos || '|' || length(component) || ':' || component || '|' || length(operation) || ':' || operation), 17, 15))::BIGINT) AS h2,
     bool_or({sql_truthy('error')}) AS has_error, greatest(coalesce(max(attempt), 0) - 1, 0) AS retries,
     min(start_at) AS started_at, coalesce(epoch_us(max(end_at)) - epoch_us(min(start_at)), 0) AS latency_us
   FROM steps GROUP BY exec_id),
 sigs AS (
   SELECT exec_id, md5(steps || '-' || h1 || '-' || h2 || '-' || has_error) AS path_key,
-    way || CASE WHEN has_error THEN ' [ERROR]' ELSE '' END || CASE WHEN retries > 0 THEN ' [RETRIES:' || retries || ']' ELSE '' END AS signature,
     steps, has_error, retries, started_at, latency_us FROM sums)"""
-_FIRST = "arg_min(signature, {'a': coalesce(epoch_us(started_at), 4611686018427387904), 'b': exec_id})"
+_FIRST = "arg_min(exec_id, {'a': coalesce(epoch_us(started_at), 4611686018427387904), 'b': exec_id})"
 _DELTAS = _SIGS + f""", sides AS (
-  SELECT path_key, {_FIRST} AS signature,
+  SELECT path_key, {_FIRST} AS example,
     count(*) FILTER (b) AS baseline_count, count(*) FILTER (NOT b) AS current_count,
     count(*) FILTER (b AND has_error) AS baseline_errors, count(*) FILTER (NOT b AND has_error) AS current_errors,
     coalesce(sum(latency_us) FILTER (b), 0) / 1000.0 AS bl, coalesce(sum(latency_us) FILTER (NOT b), 0) / 1000.0 AS cl
@@ -478,15 +481,18 @@ ORACLES = {
     "logging_gaps": on_spans("SELECT * FROM gaps", _GAPS),
     "gap_rollup": on_spans("SELECT severity, component, count(*) AS gaps FROM gaps GROUP BY ALL", _GAPS),
     "path_steps": on_spans("SELECT exec_id, pos, component, operation FROM steps", _STEPS),
+    "path_texts": on_spans(
+        f"""SELECT path_key, pos, component || ':' || operation AS step
+        FROM steps JOIN (SELECT path_key, {_FIRST} AS exec_id FROM sigs GROUP BY path_key) USING (exec_id)""", _SIGS),
     "path_signatures": on_spans(
-        "SELECT exec_id, path_key, signature, steps, has_error, retries, latency_us FROM sigs", _SIGS),
+        "SELECT exec_id, path_key, steps, has_error, retries, latency_us FROM sigs", _SIGS),
     "path_stats": on_spans(
-        f"""SELECT path_key, {_FIRST} AS signature, count(*) AS executions, round(sum(latency_us) / 1000.0, 6) AS total_latency_ms,
+        f"""SELECT path_key, {_FIRST} AS example, count(*) AS executions, round(sum(latency_us) / 1000.0, 6) AS total_latency_ms,
           round(min(latency_us) / 1000.0, 6) AS min_latency_ms, round(max(latency_us) / 1000.0, 6) AS max_latency_ms,
           round(sum(latency_us) / 1000.0 / count(*), 6) AS avg_latency_ms, count(*) FILTER (has_error) AS errors
         FROM sigs GROUP BY path_key""", _SIGS),
     "compare_deltas": on_spans(
-        """SELECT path_key, signature, baseline_count, current_count, baseline_errors, current_errors, is_new, is_missing,
+        """SELECT path_key, example, baseline_count, current_count, baseline_errors, current_errors, is_new, is_missing,
           round(baseline_avg_ms, 6) AS baseline_avg_ms, round(current_avg_ms, 6) AS current_avg_ms, round(delta, 6) AS latency_delta_ms,
           round(pct, 6) AS latency_delta_pct, round(baseline_error_rate, 6) AS baseline_error_rate,
           round(current_error_rate, 6) AS current_error_rate, round(error_rate_delta, 6) AS error_rate_delta FROM deltas""", _DELTAS),

@@ -249,9 +249,6 @@ def window_scan(
     return ordered.limit(limit) if limit else ordered
 
 
-ID_LIST_IN_FILTER = 500
-
-
 def spans_by_id(
     spans: DataFrame,
     trace_ids: list[str] | DataFrame | None = None,
@@ -261,25 +258,22 @@ def spans_by_id(
 ) -> DataFrame:
     """Spans carrying any of the ids (session ids are agent session ids), by time.
 
-    Short lists become a filter. A table of ids (one column) becomes a semi-join,
-    whose strategy is left to Spark.
+    Ids become a table with one row each, whose join marks the rows themselves; how
+    it is joined is left to Spark.
     """
     wanted = {"trace_id": trace_ids, "request_id": request_ids, "agent_session_id": session_ids}
-    wanted = {c: ids for c, ids in wanted.items() if ids is not None}
-    if any(isinstance(ids, DataFrame) or len(ids) > ID_LIST_IN_FILTER for ids in wanted.values()):
-        hits = None
-        for c, ids in wanted.items():
-            if not isinstance(ids, DataFrame):
-                ids = spans.sparkSession.createDataFrame([(i,) for i in ids], f"{c} string")
-            ids = ids.select(F.col(ids.columns[0]).alias(c)).distinct()
-            part = spans.join(ids, c, "left_semi").select("seq")
-            hits = part if hits is None else hits.unionByName(part)
-        spans = spans.join(hits.distinct(), "seq", "left_semi")
-    elif wanted:
-        match = F.lit(False)
-        for c, ids in wanted.items():
-            match = match | F.coalesce(F.col(c).isin(list(ids)), F.lit(False))
-        spans = spans.filter(match)
+    columns = spans.columns
+    marks = []
+    for c, ids in wanted.items():
+        if ids is None:
+            continue
+        if not isinstance(ids, DataFrame):
+            ids = spans.sparkSession.createDataFrame([(i,) for i in ids], f"{c} string")
+        marks.append(f"_with_{c}")
+        ids = ids.select(F.col(ids.columns[0]).alias(c)).distinct().withColumn(marks[-1], F.lit(True))
+        spans = spans.join(ids, c, "left")
+    if marks:
+        spans = spans.filter(F.coalesce(*marks, F.lit(False))).select(*columns)
     if also is not None:
         spans = spans.filter(also)
     return spans.orderBy(F.col("start_at").asc_nulls_last(), "seq")

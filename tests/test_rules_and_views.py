@@ -6,6 +6,7 @@ from spanloom.operators.sequence import messages, retry_groups, sequence_text
 from spanloom.operators.soak import throttle_events
 from spanloom.operators.suite import case_results, group_name, suite_summary
 from spanloom.operators.timeline import timeline_positions
+from spanloom.sources import logs
 from pyspark.sql import functions as F
 
 T0, T1, T2 = "2024-01-01T00:00:00Z", "2024-01-01T00:00:00.250Z", "2024-01-01T00:00:01Z"
@@ -75,9 +76,9 @@ def test_compare_new_missing_and_regressed(make_spans):
     base = sigs({"exec_id": "1", "component": "a", "ts_start": T0, "ts_end": T1}, {"exec_id": "2", "component": "gone"})
     cur = sigs({"exec_id": "3", "component": "a", "ts_start": T0, "ts_end": T2}, {"exec_id": "4", "component": "new"})
     deltas = cmp.compare(base, cur)
-    by_text = {r["signature"]: r for r in deltas.collect()}
-    assert by_text["gone:op"]["is_missing"] and by_text["new:op"]["is_new"]
-    assert by_text["a:op"]["latency_delta_ms"] == 750.0 and by_text["a:op"]["latency_delta_pct"] == 300.0
+    shown = {r["example"]: r for r in deltas.collect()}
+    assert shown["2"]["is_missing"] and shown["4"]["is_new"]
+    assert shown["1"]["latency_delta_ms"] == 750.0 and shown["1"]["latency_delta_pct"] == 300.0
     v = cmp.verdict(deltas).first()
     assert (v["new_paths"], v["missing_paths"], v["latency_changes"], v["has_regressions"]) == (1, 1, 1, True)
 
@@ -153,5 +154,26 @@ def test_compare_two_executions(make_spans):
         {"exec_id": "2", "component": "a", "ts_start": T0, "ts_end": T1, "error": '{"message": "x"}'},
         {"exec_id": "3", "component": "z"},
     ))
-    got = {r["signature"]: (r["is_new"], r["is_missing"]) for r in cmp.compare_executions(sig, "1", "2").collect()}
-    assert got == {"a:op": (False, True), "a:op [ERROR]": (True, False)}
+    got = {r["example"]: (r["is_new"], r["is_missing"]) for r in cmp.compare_executions(sig, "1", "2").collect()}
+    assert got == {"1": (False, True), "2": (True, False)}
+
+
+def test_long_paths_are_whole_and_names_cannot_shift(make_spans):
+    rows = [{"exec_id": e, "component": f"c{i % 7}", "operation": f"o{i}" if i < 999 else last, "ts_start": f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}Z"}
+            for e, last in (("1", "x"), ("2", "x"), ("3", "y")) for i in range(1000)]
+    spans = make_spans(*[dict(r, span_id=f"{r['exec_id']}-{i}") for i, r in enumerate(rows)])
+    sig = cmp.path_signatures(spans)
+    keys = {r["exec_id"]: r["path_key"] for r in sig.collect()}
+    assert keys["1"] == keys["2"] != keys["3"]
+    texts = cmp.path_texts(spans, sig).collect()
+    assert len(texts) == 2000 and {r["step"] for r in texts if r["pos"] == 1000} == {"c5:x", "c5:y"}
+    odd = [{"exec_id": "1", "component": "x|y", "operation": "z"}, {"exec_id": "2", "component": "x", "operation": "y|z"}]
+    assert len({r["path_key"] for r in cmp.path_signatures(make_spans(*odd)).collect()}) == 2
+
+
+def test_ids_are_found_alike_in_short_and_long_lists(make_spans):
+    spans = make_spans({"trace_id": "p"}, {"trace_id": "q"}, {"trace_id": None, "request_id": "p"}).withColumn("seq", F.lit(5).cast("long"))
+    for more in ([], [f"n{i}" for i in range(600)]):
+        got = logs.spans_by_id(spans, trace_ids=["p", *more], request_ids=["p"]).collect()
+        assert sorted(r["span_id"] for r in got) == ["s0", "s2"]
+        assert [r["span_id"] for r in logs.spans_by_id(spans, trace_ids=["p", *more]).collect()] == ["s0"]
