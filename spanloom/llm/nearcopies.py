@@ -9,10 +9,13 @@ entry is the first arrival. Since a text's total weight says how early its entri
 fill, most shingles are dismissed by their first arrival alone.
 
 Texts with equal bags are one class from the start. Classes that share a band are
-compared with a leader of the band first. What these comparisons leave apart is
-compared with more leaders in further rounds, each with eight times as many, and only
-across the components found so far, until every band has been compared in full or lies
-in one component. Nothing is left out and no band is gathered in one place.
+compared with a leader of the band first. Bands that this leaves in several components
+go on. There, shingles that only one class has bound what the class can share with any
+other, and a class that cannot reach the similarity with any bag of the band leaves it.
+The others are compared with the band's classes that have the fewest such shingles, in
+rounds with eight times as many of them each, and only across the components found so
+far, until every band has been compared in full or lies in one component. No link is
+left out and no band is gathered in one place.
 """
 
 from __future__ import annotations
@@ -160,6 +163,41 @@ def _links(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     ).select("a", "b")
 
 
+def _heads(rows: DataFrame, leaders: int) -> DataFrame:
+    """(band, a, a_n, a_label, a_order): the first ``leaders`` classes of each band."""
+    if leaders == 1:
+        first = F.min(F.struct("order", "node", "n", "label")).alias("h")
+        heads = rows.groupBy("band").agg(first).select("band", "h.*")
+    else:
+        place = F.row_number().over(Window.partitionBy("band").orderBy("order", "node")).alias("place")
+        heads = rows.select("*", place).filter(F.col("place") <= leaders)
+    return heads.select("band", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "label", "order")])
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows of bands that have several components."""
+    apart = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("apart")).filter("apart")
+    return rows.join(apart.select("band"), "band")
+
+
+def _within_reach(rows: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Rows of classes that could be similar enough to some class of their band, those
+    with the fewest shingles of their own first.
+
+    Two bags have at most as much in common as the smaller number of shingles that
+    either shares with anything; the smallest bag of a band bounds the sizes.
+    """
+    nodes = rows.select("node").distinct()
+    each = bags.select(F.struct(*KEY).alias("node"), "bag").join(nodes, "node").select("node", F.explode("bag").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("classes")).filter("classes > 1").select("shingle")
+    shared = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+    smallest = rows.groupBy("band").agg(F.min("n").alias("smallest"))
+    reach = rows.join(smallest, "band").join(shared, "node").filter(
+        F.col("shared") >= F.lit(least) * (F.col("n") + F.greatest("shared", "smallest") - F.col("shared")) - F.lit(1e-9)
+    )
+    return reach.select("band", "node", "n", "label", (F.col("n") - F.col("shared")).alias("order"))
+
+
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, its key ``k1, k2``, the key of its class
     ``c1, c2``, ``class_id`` (the least id in it), ``n_class`` (rows in it) and ``stays``
@@ -186,20 +224,14 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: s
     # Repeated rows have one bag.
     bags = stored(_bags(texts, width).groupBy(*KEY).agg(F.first("bag").alias("bag")), "shingles")
 
-    order = F.xxhash64("node")
-    leaders, links, label = 1, [], None
+    # At first one leader for each band, the same order everywhere.
+    rows = rows.select("band", "node", "n", F.col("node").alias("label"), F.xxhash64("node").alias("order"))
+    leaders, links = 1, []
     while True:
-        best = Window.partitionBy("band").orderBy(order, "node")
-        if leaders == 1:
-            heads = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n", "label") if label is not None else F.struct(order.alias("o"), "node", "n", F.col("node").alias("label"))).alias("h")).select("band", "h.*")
-        else:
-            heads = rows.select("band", "node", "n", "label", order.alias("o"), F.row_number().over(best).alias("r")).filter(F.col("r") <= leaders).drop("r")
-        heads = heads.select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("o").alias("a_o"))
-        now = rows if label is not None else rows.withColumn("label", F.col("node"))
+        heads = _heads(rows, leaders)
         pairs = (
-            now.withColumn("o", order)
-            .join(heads, "band")
-            .filter((F.col("label") != F.col("a_label")) & (F.struct("a_o", "a") < F.struct("o", "node")))
+            rows.join(heads, "band")
+            .filter((F.col("label") != F.col("a_label")) & (F.struct("a_order", "a") < F.struct("order", "node")))
             .filter(F.least("n", "a_n") >= F.lit(least) * F.greatest("n", "a_n") - F.lit(1e-9))
             .select("a", F.col("node").alias("b"))
             .distinct()
@@ -208,12 +240,15 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: s
         edges = reduce(DataFrame.unionByName, links)
         label = stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
         # Leaders have met all others of their band. A band in one component is done.
-        rest = now.drop("label").join(heads.select("band", F.col("a").alias("node"), F.lit(True).alias("met")), ["band", "node"], "left").filter("met IS NULL").drop("met")
-        rest = rest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = rest.groupBy("band").agg((F.min("label") != F.max("label")).alias("apart")).filter("apart")
-        rows = stored(rest.join(apart.select("band"), "band"), "rest")
+        met = heads.select("band", F.col("a").alias("node"))
+        rest = rows.drop("label").join(met, ["band", "node"], "left_anti").join(label, "node", "left")
+        rows = stored(_apart(rest.withColumn("label", F.coalesce("label", "node"))), "rest")
         if rows.isEmpty():
             break
+        if leaders == 1:
+            rows = stored(_apart(_within_reach(rows, bags, least)), "reach")
+            if rows.isEmpty():
+                break
         leaders *= 8
 
     of_class = classes.select("s1", "s2", "node").join(label, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("class"))
