@@ -145,7 +145,7 @@ def agent_spans(events: DataFrame) -> DataFrame:
         F.to_json(F.struct("session_id")).alias("request"),
         F.to_json(F.struct(F.col("_trace").alias("trace_id"))).alias("response"),
     )
-    return roots.unionByName(children)
+    return roots.unionByName(children).withColumn("agent_session_id", F.col("session_id"))
 
 
 def _operation_class() -> Column:
@@ -153,32 +153,40 @@ def _operation_class() -> Column:
     return F.when(F.contains("operation", F.lit("Model")), "Model").otherwise(F.col("operation"))
 
 
-_MATCH = "session string, class string, log_seq long, trace_seq long"
+_MATCH = "session string, class string, log_id struct<seq:long,row:long>, trace_id struct<seq:long,row:long>"
+
+
+def _identity(df: DataFrame) -> Column:
+    """Names a row: its place and all that it holds. Inputs that were put together may
+    repeat a place."""
+    return F.struct("seq", F.xxhash64(*[F.col(c) for c in df.columns]).alias("row"))
 
 
 def _match_mixed(group: pd.DataFrame) -> pd.DataFrame:
     """First-fit matching for one (session, operation) whose trace spans differ in
     what they offer; rows carry flags only, no payload."""
-    offers = group[group.side == "trace"].sort_values("seq")
+    group = group.assign(id=[(i["seq"], i["row"]) for i in group.id])
+    offers = group[group.side == "trace"].sort_values("id")
     queues = {
-        (r, s): list(reversed(offers[(offers.r == r) & (offers.s == s)].seq.tolist()))
+        (r, s): list(reversed(offers[(offers.r == r) & (offers.s == s)].id.tolist()))
         for r in (True, False)
         for s in (True, False)
     }
     out = []
-    for want in group[group.side == "log"].sort_values("seq").itertuples():
+    for want in group[group.side == "log"].sort_values("id").itertuples():
         usable = [
             q for (r, s), q in queues.items() if q and ((want.r and r) or (want.s and s))
         ]
         if usable:
             best = min(usable, key=lambda q: q[-1])
-            out.append((want.session, getattr(want, "cls"), want.seq, best.pop()))
-    return pd.DataFrame(out, columns=["session", "class", "log_seq", "trace_seq"])
+            seq, row = best.pop()
+            out.append((want.session, want.cls, {"seq": want.id[0], "row": want.id[1]}, {"seq": seq, "row": row}))
+    return pd.DataFrame(out, columns=["session", "class", "log_id", "trace_id"])
 
 
 def _mixed_matches(wants: DataFrame, offers: DataFrame, uneven: DataFrame, key: list[str]) -> DataFrame:
-    flags = wants.filter(~F.col("even")).select(*key, "seq", "r", "s", F.lit("log").alias("side")).unionByName(
-        offers.join(uneven, key, "left_semi").select(*key, "seq", "r", "s", F.lit("trace").alias("side"))
+    flags = wants.filter(~F.col("even")).select(*key, "id", "r", "s", F.lit("log").alias("side")).unionByName(
+        offers.join(uneven, key, "left_semi").select(*key, "id", "r", "s", F.lit("trace").alias("side"))
     )
     return flags.withColumn("cls", F.col("class")).groupBy(*key).applyInPandas(_match_mixed, _MATCH)
 
@@ -189,22 +197,24 @@ def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
 
     Within a (session, operation) group whose trace spans all offer the same fields
     the n-th span in need gets the n-th offer: two rankings and a join on unique
-    keys. Groups with differing offers follow first-fit order row by row, on flags
+    keys. A row is known by its place and contents; rows alike in both are one. Groups with differing offers follow first-fit order row by row, on flags
     only. An enriched span keeps neither thread nor session id.
     """
     key = ["session", "class"]
+    log_spans = log_spans.withColumn("_id", _identity(log_spans))
     log_spans = log_spans.withColumn("session", F.col("agent_session_id")).withColumn("class", _operation_class())
-    offers_all = trace_spans.withColumn("session", F.col("agent_session_id")).withColumn("class", _operation_class())
+    offers_all = trace_spans.withColumn("_id", _identity(trace_spans))
+    offers_all = offers_all.withColumn("session", F.col("agent_session_id")).withColumn("class", _operation_class())
     # Matching reads keys and flags several times; write those narrow rows once
     # instead of computing both inputs over and over.
     offers = checkpoint(
         offers_all.filter(truthy("session"))
-        .select(*key, "seq", truthy("request").alias("r"), truthy("response").alias("s"))
+        .select(*key, F.col("_id").alias("id"), truthy("request").alias("r"), truthy("response").alias("s"))
         .filter("r or s")
     )
     wants = checkpoint(
         log_spans.filter(truthy("session"))
-        .select(*key, "seq", (~truthy("request")).alias("r"), (~truthy("response")).alias("s"))
+        .select(*key, F.col("_id").alias("id"), (~truthy("request")).alias("r"), (~truthy("response")).alias("s"))
         .filter("r or s")
     )
     kinds = offers.groupBy(*key).agg(
@@ -212,36 +222,35 @@ def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
         F.bool_and("s").alias("all_s"), F.bool_or("s").alias("any_s"),
     ).withColumn("even", (F.col("all_r") == F.col("any_r")) & (F.col("all_s") == F.col("any_s")))
     wants = wants.join(kinds, key)
+    in_order = [F.col("id")]
     even_wants = rank_within(
-        wants.filter(F.col("even") & ((F.col("r") & F.col("all_r")) | (F.col("s") & F.col("all_s")))).select(*key, "seq"),
-        key, run_bucket("seq"), [F.col("seq")],
+        wants.filter(F.col("even") & ((F.col("r") & F.col("all_r")) | (F.col("s") & F.col("all_s")))).select(*key, "id"),
+        key, run_bucket("id.seq"), in_order,
     )
     even_offers = rank_within(
-        offers.join(kinds.filter("even").select(*key), key, "left_semi").select(*key, "seq"),
-        key, run_bucket("seq"), [F.col("seq")],
+        offers.join(kinds.filter("even").select(*key), key, "left_semi").select(*key, "id"),
+        key, run_bucket("id.seq"), in_order,
     )
-    even = even_wants.withColumnRenamed("seq", "log_seq").join(
-        even_offers.withColumnRenamed("seq", "trace_seq"), [*key, "pos"]
-    ).select(*key, "log_seq", "trace_seq")
+    even = even_wants.withColumnRenamed("id", "log_id").join(
+        even_offers.withColumnRenamed("id", "trace_id"), [*key, "pos"]
+    ).select(*key, "log_id", "trace_id")
     uneven = kinds.filter(~F.col("even")).select(*key)
-    matches = even.select("log_seq", "trace_seq")
+    matches = even.select("log_id", "trace_id")
     if not uneven.isEmpty():
         mixed = _mixed_matches(wants, offers, uneven, key)
-        matches = matches.unionByName(mixed.select("log_seq", "trace_seq"))
+        matches = matches.unionByName(mixed.select("log_id", "trace_id"))
     matches = checkpoint(matches)
     given = offers_all.select(
-        F.col("seq").alias("trace_seq"),
+        F.col("_id").alias("trace_id"),
         F.struct("request", "response", "start_at", "end_at").alias("g"),
     )
-    merged = log_spans.join(
-        matches.join(given, "trace_seq").select(F.col("log_seq").alias("seq"), "g"), "seq", "left"
-    )
+    merged = log_spans.join(matches.join(given, "trace_id").select(F.col("log_id").alias("_id"), "g"), "_id", "left")
     hit = F.col("g").isNotNull()
 
     def filled(name: str) -> Column:
         return F.when(hit & ~truthy(name), F.col(f"g.{name}")).otherwise(F.col(name)).alias(name)
 
-    out_columns = [c for c in log_spans.columns if c not in ("session", "class")]
+    out_columns = [c for c in log_spans.columns if c not in ("session", "class", "_id")]
     special = {
         "request": filled("request"),
         "response": filled("response"),
@@ -252,6 +261,6 @@ def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
     }
     enriched = merged.select(*[special.get(c, F.col(c)) for c in out_columns])
     unused = offers_all.filter(truthy("session")).join(
-        matches.select(F.col("trace_seq").alias("seq")), "seq", "left_anti"
+        matches.select(F.col("trace_id").alias("_id")), "_id", "left_anti"
     ).select(*[c for c in out_columns if c in trace_spans.columns])
     return enriched.unionByName(unused, allowMissingColumns=True)

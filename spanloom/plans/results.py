@@ -127,21 +127,30 @@ def agent_spans(spark, d):
 
 
 def enriched_spans(spark, d):
-    """Log spans made of user turns lack responses (and every fourth its request);
-    agent spans of the same conversation fill them in."""
+    """Log spans made of turns lack responses (and every fourth its request), and one
+    for the whole session lacks both; agent spans of the same conversation fill them in."""
     events = agent_events(spark, d)
-    found = ag.agent_spans(events).withColumn("agent_session_id", F.col("session_id"))
-    logged = events.filter(F.col("kind").isin("model_in", "action_in")).select(
+    found = ag.agent_spans(events)
+    none = F.lit(None)
+    logged = events.filter(F.col("kind").isin("model_in", "action_in", "rationale")).select(
         "seq",
         F.concat(F.lit("log-"), "seq").alias("span_id"),
-        F.when(F.col("kind") == "model_in", "CallModel").otherwise("InvokeActionGroup").alias("operation"),
+        F.when(F.col("kind") == "model_in", "CallModel").when(F.col("kind") == "rationale", "Rationale").otherwise("InvokeActionGroup").alias("operation"),
         F.when(F.col("seq") % 4 != 0, F.col("payload")).alias("request"),
-        F.lit(None).cast("string").alias("response"),
+        none.cast("string").alias("response"),
         F.col("at").alias("start_at"),
-        F.lit(None).cast("timestamp").alias("end_at"),
+        none.cast("timestamp").alias("end_at"),
         F.col("session_id").alias("agent_session_id"),
         F.col("session_id").alias("thread_id"),
     )
+    # In the place of the session's first turn.
+    whole = events.groupBy("session_id").agg(F.min("seq").alias("seq")).select(
+        "seq", F.concat(F.lit("agent-"), "session_id").alias("span_id"), F.lit("InvokeAgent").alias("operation"),
+        none.cast("string").alias("request"), none.cast("string").alias("response"),
+        none.cast("timestamp").alias("start_at"), none.cast("timestamp").alias("end_at"),
+        F.col("session_id").alias("agent_session_id"), F.col("session_id").alias("thread_id"),
+    )
+    logged = logged.unionByName(whole)
     return ag.enrich(logged, found).select("span_id", "operation", "request", "response", "agent_session_id", "thread_id")
 
 
@@ -215,14 +224,18 @@ _ENRICH = _AGENT_SPANS + """, logged AS (
   SELECT seq, 'log-' || seq AS span_id, CASE WHEN kind = 'model_in' THEN 'CallModel' ELSE 'InvokeActionGroup' END AS operation,
     CASE WHEN kind = 'model_in' THEN 'Model' ELSE 'InvokeActionGroup' END AS class,
     CASE WHEN seq % 4 <> 0 THEN payload END AS request, session_id,
-    row_number() OVER (PARTITION BY session_id, kind ORDER BY seq) AS n FROM agent WHERE kind IN ('model_in', 'action_in')),
+    row_number() OVER (PARTITION BY session_id, kind ORDER BY seq) AS n FROM agent WHERE kind IN ('model_in', 'action_in')
+  UNION ALL SELECT min(seq), 'agent-' || session_id, 'InvokeAgent', 'InvokeAgent', NULL, session_id, 1 FROM agent GROUP BY session_id
+  UNION ALL SELECT seq, 'log-' || seq, 'Rationale', 'Rationale', request, session_id,
+    CASE WHEN request IS NULL THEN row_number() OVER (PARTITION BY session_id, request IS NULL ORDER BY seq) END
+  FROM (SELECT seq, session_id, CASE WHEN seq % 4 <> 0 THEN payload END AS request FROM agent WHERE kind = 'rationale')),
 offered AS (
   SELECT *, row_number() OVER (PARTITION BY session_id, class ORDER BY seq) AS n
   FROM (SELECT *, CASE WHEN contains(operation, 'Model') THEN 'Model' ELSE operation END AS class FROM agent_span)),
 matched AS (
   SELECT l.*, o.span_id AS used, o.request AS req, o.response AS res FROM logged l LEFT JOIN offered o USING (session_id, class, n))"""
 
-_SPAN_COLUMNS = "session_id, span_id, parent_span_id, component, operation, start_at, end_at, request, response"
+_SPAN_COLUMNS = "session_id, session_id AS agent_session_id, span_id, parent_span_id, component, operation, start_at, end_at, request, response"
 
 ORACLES = {
     "throttle_events": on_spans("SELECT * FROM throttle", _THROTTLE),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    return shipped(spark)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Give the workers this package, once for each context, from wherever they run."""
+    context = spark.sparkContext
+    if not getattr(context, "_spanloom_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        # Spark copies the file to its own file server.
+        path = os.path.join(tempfile.mkdtemp(prefix="spanloom-"), "spanloom.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(path)
+        context._spanloom_shipped = True
     return spark
 
 
@@ -45,17 +65,12 @@ def build_session(app: str = "spanloom", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local-mode session may fall back to a temporary folder.
-    """
+    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset,
+    one below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spanloom-checkpoints-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_spanloom"
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -69,19 +84,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A file scan with at least one partition per core, for costly per-row work.
-
-    Small inputs come in fewer splits than there are cores; their rows are dealt out
-    once. An input with enough splits, the normal case at scale, is left alone.
-    """
-    if scan.isStreaming:
-        return scan
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan.repartition(cores) if splits < cores else scan
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables written between jobs."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

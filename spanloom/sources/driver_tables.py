@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.session import spread
 
 EVENTS_PER_EXECUTION = 4
 
@@ -144,7 +143,7 @@ REQUEST_UUID = (
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, timestamp, message): one log line per event."""
-    return log_lines_of(numbered_events(spread(table(spark, sf_dir, "events"))))
+    return log_lines_of(numbered_events(table(spark, sf_dir, "events")))
 
 
 def log_lines_of(ev: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent trace events out of `conversations`: a user turn opens a call, an
     assistant turn closes it, a system turn is a rationale. Every third
     conversation calls an action instead of the model."""
-    turn = spread(table(spark, sf_dir, "conversations"))
+    turn = table(spark, sf_dir, "conversations")
     action = F.col("conv_id") % 3 == 0
     return turn.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),

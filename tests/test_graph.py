@@ -117,3 +117,15 @@ def test_enrich_is_first_fit(spark):
         assert g["request"] == (r[3] or (hit and hit[3])) and g["response"] == (r[4] or (hit and hit[4]))
         assert g["thread_id"] == (None if hit else "th")
     assert {s for s in got if s.startswith("t")} == {f"t{s}" for s in by_seq if s not in want.values()}
+
+
+def test_enrich_tells_rows_of_one_place_apart(spark):
+    schema = "seq long, span_id string, operation string, request string, response string, agent_session_id string, thread_id string, session_id string, start_at timestamp, end_at timestamp"
+    logs = [(1, "log-1", "InvokeAgent", None, None, "s", "th", None, None, None)]
+    traces = [
+        (1, "root", "InvokeAgent", "rq", "rs", "s", None, None, None, None),
+        (1, "why", "Rationale", "because", None, "s", None, None, None, None),
+        (2, "model", "InvokeModel", "in", "out", "s", None, None, None, None),
+    ]
+    got = ag.enrich(spark.createDataFrame(logs, schema), spark.createDataFrame(traces, schema)).collect()
+    assert sorted((r["span_id"], r["request"], r["response"]) for r in got) == [("log-1", "rq", "rs"), ("model", "in", "out"), ("why", "because", None)]
