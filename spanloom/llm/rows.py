@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.session import shipped
+
 KEY = ["k1", "k2"]
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
@@ -25,7 +27,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Batches small enough that many long texts fit into a task's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return spark
+    return shipped(spark)
 
 
 def others(docs: DataFrame, text_col: str) -> Column:
