@@ -24,12 +24,12 @@ COMPONENT_WORDS = {
     "step_functions": ["stepfunctions", "states", "execution", "statemachine"],
     "sns": ["sns", "topic", "subscription", "publish"],
 }
+# Levels, words and fields that say what a record is about.
 ERROR_LEVELS = ["ERROR", "CRITICAL", "FATAL", "SEVERE"]
 ERROR_WORDS = ["exception", "traceback", "failed", "failure", "error:"]
 RESPONSE_WORDS = ["response", "replied", "posted", "returned", "result"]
 RETRY_WORDS = ["retry", "retrying", "attempt", "retried", "backoff"]
 INPUT_FIELDS = ["text", "userMessage", "inputText", "query", "prompt"]
-MESSAGE_LENGTH = 500
 
 
 def _record(c: str | Column) -> Column:
@@ -88,7 +88,7 @@ def input_data(record: str | Column, embedded: str | Column) -> Column:
         F.map_filter(rec, lambda k, _: k.isin(INPUT_FIELDS)),
         F.create_map(
             F.lit("_log_level"), F.coalesce(rec["level"], F.lit("INFO")),
-            F.lit("_log_message"), F.substring(F.coalesce(rec["message"], F.lit("")), 1, MESSAGE_LENGTH),
+            F.lit("_log_message"), F.coalesce(rec["message"], F.lit("")),
         ),
         F.map_filter(
             F.create_map(F.lit("_logger"), rec["logger_name"], F.lit("_appname"), rec["appname"]),
@@ -105,7 +105,7 @@ def input_data(record: str | Column, embedded: str | Column) -> Column:
 def response_data(record: str | Column, embedded: str | Column) -> Column:
     rec, embedded = _record(record), _record(embedded)
     text = message_text(rec)
-    said = F.to_json(F.struct(F.substring(text, 1, MESSAGE_LENGTH).alias("_response_message")))
+    said = F.to_json(F.struct(text.alias("_response_message")))
     return F.coalesce(
         first_truthy(rec["response"], rec["output"], rec["result"]),
         F.when(contains_any(F.lower(text), RESPONSE_WORDS), F.coalesce(first_truthy(embedded), said)),
@@ -118,17 +118,17 @@ def detect_error(record: str | Column, embedded: str | Column) -> Column:
     level = F.upper(F.coalesce(rec["level"], F.lit("")))
     explicit = first_truthy(rec["error"])
     is_object = F.startswith(F.trim(explicit), F.lit("{"))
-    short = F.substring(text, 1, MESSAGE_LENGTH).alias("message")
+    said = text.alias("message")
     return F.coalesce(
         F.when(is_object, explicit),
         F.when(explicit.isNotNull(), F.to_json(F.struct(explicit.alias("message")))),
         F.when(
             level.isin(ERROR_LEVELS),
-            F.to_json(F.struct(level.alias("level"), short, first_truthy(embedded).alias("details"))),
+            F.to_json(F.struct(level.alias("level"), said, first_truthy(embedded).alias("details"))),
         ),
         F.when(
             contains_any(F.lower(text), ERROR_WORDS),
-            F.to_json(F.struct(F.coalesce(F.nullif(level, F.lit("")), F.lit("UNKNOWN")).alias("level"), short)),
+            F.to_json(F.struct(F.coalesce(F.nullif(level, F.lit("")), F.lit("UNKNOWN")).alias("level"), said)),
         ),
     )
 

@@ -23,39 +23,17 @@ def _texts():
     return F.array_distinct(F.transform("correlation_values", lambda v: v["value"]))
 
 
-def chain_entries(entries: DataFrame, max_value_frequency: int | None = None) -> DataFrame:
-    """Entries of chains with two or more members, plus `chain_id` and `first_index`.
+def chain_entries(entries: DataFrame) -> DataFrame:
+    """(idx, component, correlation_values, chain_id, first_index) of the entries of
+    chains with two or more members.
 
     `entries` has idx, component and correlation_values (see
     `spanloom.operators.profile.log_entries`). A chain is called after its first
-    entry, so names sort by time and no global numbering is needed.
-
-    A value that all logs share (say, a channel) makes one giant chain.
-    `max_value_frequency` leaves out values used by more entries than that; it is
-    off by default, since it changes the answer.
+    entry, so names sort by time and no global numbering is needed. What else an entry
+    holds stays out of the loop, see `with_payload`.
     """
-    # Links, labels and sizes all read the entries: parse the lines once.
-    entries = checkpoint(entries.withColumn("_values", _texts()))
-    if max_value_frequency is not None:
-        common = (
-            entries.select(F.explode("_values").alias("value"))
-            .groupBy("value")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > max_value_frequency)
-            .select("value", F.lit(True).alias("_common"))
-        )
-        kept = (
-            entries.select("idx", F.explode("_values").alias("value"))
-            .join(common, "value", "left")
-            .filter(F.col("_common").isNull())
-            .groupBy("idx")
-            .agg(F.collect_set("value").alias("_kept"))
-        )
-        entries = (
-            entries.join(kept, "idx", "left")
-            .withColumn("_values", F.coalesce("_kept", F.array().cast("array<string>")))
-            .drop("_kept")
-        )
+    # Links, labels and sizes all read these: parse the lines once, write little.
+    entries = checkpoint(entries.select("idx", "component", "correlation_values", _texts().alias("_values")))
     labels = connected_components(links_between(F.col("_values"), entries)).select(
         F.col("node").alias("_key"), F.col("label").alias("_label")
     )
@@ -77,6 +55,11 @@ def chain_entries(entries: DataFrame, max_value_frequency: int | None = None) ->
     )
 
 
+def with_payload(chained: DataFrame, entries: DataFrame) -> DataFrame:
+    """Chained entries with their records again."""
+    return chained.join(entries.select("idx", "record", "embedded"), "idx")
+
+
 def chain_facts(chained: DataFrame) -> DataFrame:
     """Per chain: entries, components in order of appearance, their number, the flow."""
     per_component = chained.groupBy("chain_id", "first_index", "component").agg(
@@ -117,8 +100,8 @@ def primary_bridges(bridges: DataFrame) -> DataFrame:
     return ranked.select("chain_id", "b.bridge")
 
 
-def chain_summary(chained: DataFrame, bridges_shown: int = 5) -> DataFrame:
-    """Facts plus the first few bridge values in text order.
+def chain_summary(chained: DataFrame, bridges_shown: int | None = None) -> DataFrame:
+    """Facts plus the bridge values in text order, all or the first few.
 
     The rank filter is applied per input task before the shuffle, so a chain with
     very many bridges sends only its first few rows.
@@ -127,14 +110,14 @@ def chain_summary(chained: DataFrame, bridges_shown: int = 5) -> DataFrame:
     top = (
         bridge_values(chained)
         .select("chain_id", "value", F.row_number().over(order).alias("n"))
-        .filter(F.col("n") <= bridges_shown)
+        .filter(F.lit(True) if bridges_shown is None else F.col("n") <= bridges_shown)
         .groupBy("chain_id")
         .agg(F.sort_array(F.collect_list("value")).alias("bridges"))
     )
     return chain_facts(chained).join(top, "chain_id", "left")
 
 
-def value_frequency(entries: DataFrame, top: int | None = 20) -> DataFrame:
+def value_frequency(entries: DataFrame, top: int | None = None) -> DataFrame:
     """Values found in two or more entries, most frequent first."""
     counts = (
         entries.select(F.explode(_texts()).alias("value"))
@@ -151,7 +134,7 @@ def component_counts(entries: DataFrame) -> DataFrame:
 
 
 def chain_spans(chained: DataFrame) -> DataFrame:
-    """Chains as spans: each entry's parent is the entry before it."""
+    """Chains as spans: each entry's parent is the entry before it. Needs the payload."""
     bridges = primary_bridges(bridge_values(chained))
     ranked = rank_within(chained, ["chain_id"], run_bucket("idx"), [F.col("idx").asc()])
     chat = F.filter("correlation_values", lambda v: v["value_type"] == "slack_ts")

@@ -48,7 +48,7 @@ def cases_from_executions(spans: DataFrame, entrypoint_type: str, by: str = "exe
         else F.coalesce(first_truthy(request), F.lit("{}"))
     )
     return first.select(
-        F.concat(F.lit("derived-"), F.substring(by, 1, 12)).alias("case_id"),
+        F.concat(F.lit("derived-"), F.col(by)).alias("case_id"),
         F.concat(F.lit("Derived from "), F.concat_ws(":", "f.component", "f.operation")).alias("name"),
         F.lit(entrypoint_type).alias("entrypoint_type"),
         payload.alias("payload"),
@@ -61,7 +61,7 @@ def cases_from_executions(spans: DataFrame, entrypoint_type: str, by: str = "exe
 def cases_from_chains(chained: DataFrame, facts: DataFrame, bridges: DataFrame) -> DataFrame:
     """One case per chain: entry point, first payload, rules by the components seen.
 
-    `chained` from `chain_entries`, `facts` from `chain_facts`, `bridges` from
+    `chained` from `chain_entries` with its payload, `facts` from `chain_facts`, `bridges` from
     `primary_bridges`.
     """
     rec = F.col("record")

@@ -161,8 +161,8 @@ def messages(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     )
 
 
-def _short(name: str, c: str) -> Column:
-    return F.when(truthy(c), F.concat(F.lit(name + ":"), F.substring(F.col(c), 1, 8)))
+def _noted(name: str, c: str) -> Column:
+    return F.when(truthy(c), F.concat(F.lit(name + ":"), F.col(c)))
 
 
 def sequence_text(spans: DataFrame, by: str = "exec_id", trace_label: str = "trace") -> DataFrame:
@@ -193,7 +193,7 @@ def sequence_text(spans: DataFrame, by: str = "exec_id", trace_label: str = "tra
     err_note = F.when(
         F.col("has_error"), F.concat(F.lit("err=payloads/"), "span_id", F.lit(".error.json"))
     )
-    ids = [_short(trace_label, "trace_id"), _short("λ", "request_id"), _short("br", "agent_session_id")]
+    ids = [_noted(trace_label, "trace_id"), _noted("λ", "request_id"), _noted("br", "agent_session_id")]
 
     def line(*parts: str | Column) -> Column:
         return F.concat(F.lit("    "), *[F.lit(p) if isinstance(p, str) else p for p in parts])

@@ -17,7 +17,6 @@ THROTTLE_TEXTS = [
     ("request limit exceeded", "rate_limit"),
 ]
 RETRY_STORM = 3
-DETAIL_LENGTH = 200
 PASS_RATE = 0.9
 
 
@@ -46,7 +45,7 @@ def throttle_events(spans: DataFrame) -> DataFrame:
     ).otherwise(
         F.array_compact(
             F.array(
-                F.when(matched.isNotNull(), sign(matched, F.substring(text, 1, DETAIL_LENGTH))),
+                F.when(matched.isNotNull(), sign(matched, text)),
                 F.when(
                     retries >= RETRY_STORM,
                     sign(F.lit("retry_storm"), F.concat(F.lit("High retry count: "), retries)),

@@ -51,7 +51,7 @@ def component_counts(spark, d):
 
 
 def shared_values(spark, d):
-    return ch.value_frequency(_entries(spark, d))
+    return ch.value_frequency(_entries(spark, d), top=20)
 
 
 def chains(spark, d):
@@ -59,32 +59,29 @@ def chains(spark, d):
     return ch.with_min_components(facts).select("chain_id", "first_index", "entries", "component_count", "flow")
 
 
-def chains_of_rare_values(spark, d):
-    facts = ch.chain_facts(ch.chain_entries(_entries(spark, d), max_value_frequency=3))
-    return facts.select("chain_id", "entries", "component_count", "flow")
-
-
 def bridge_values(spark, d):
     b = ch.bridge_values(ch.chain_entries(_entries(spark, d)))
     return b.select("chain_id", "value", F.array_join("components", ",").alias("components"))
 
 
 def chain_summary(spark, d):
-    s = ch.chain_summary(ch.chain_entries(_entries(spark, d)))
+    s = ch.chain_summary(ch.chain_entries(_entries(spark, d)), bridges_shown=5)
     return s.select("chain_id", "entries", "component_count", "flow", F.array_join("bridges", ",").alias("bridges"))
 
 
 def chain_spans(spark, d):
-    return ch.chain_spans(ch.chain_entries(_entries(spark, d))).select(
+    entries = _entries(spark, d)
+    return ch.chain_spans(ch.with_payload(ch.chain_entries(entries), entries)).select(
         "seq", "span_id", "parent_span_id", "component", "operation", "attempt", "trace_id", "thread_id",
         F.col("error").isNotNull().alias("failed"), F.col("response").isNotNull().alias("answered"),
     )
 
 
 def derived_chain_cases(spark, d):
-    chained = ch.chain_entries(_entries(spark, d))
+    entries = _entries(spark, d)
+    chained = ch.chain_entries(entries)
     facts = ch.with_min_components(ch.chain_facts(chained))
-    cases = dv.cases_from_chains(chained, facts, ch.primary_bridges(ch.bridge_values(chained)))
+    cases = dv.cases_from_chains(ch.with_payload(chained, entries), facts, ch.primary_bridges(ch.bridge_values(chained)))
     rules = F.array_join(F.transform("invariants", lambda r: r["name"]), ",")
     return cases.select(
         "case_id", "name", "entrypoint_type", "payload", rules.alias("rules"), "primary_correlation_id",
@@ -96,7 +93,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         key_index, stitch_groups, stitched_spans, seeded_stitch, log_entries, component_counts, shared_values,
-        chains, chains_of_rare_values, bridge_values, chain_summary, chain_spans, derived_chain_cases,
+        chains, bridge_values, chain_summary, chain_spans, derived_chain_cases,
     )
 }
 
@@ -158,9 +155,6 @@ bridges AS (
 bridge AS (SELECT chain_id, arg_min(value, {{'k': -n, 'v': value}}) AS bridge FROM bridges GROUP BY chain_id)"""
 
 
-_RARE = """rare AS (SELECT * FROM plain WHERE value IN (SELECT value FROM plain GROUP BY value HAVING count(*) <= 3))"""
-
-
 def on_entries(select: str, *more: str) -> str:
     return sql(EV, LINES, _SEARCH, _UNWRAPPED, _SHEETS, _ENTRY, *more, select=select)
 
@@ -193,8 +187,6 @@ ORACLES = {
         "SELECT value, count(*) AS entries FROM plain GROUP BY value HAVING count(*) > 1 ORDER BY entries DESC, value LIMIT 20"),
     "chains": on_entries(
         "SELECT chain_id, first_index, entries, component_count, flow FROM facts WHERE component_count > 1", _chains()),
-    "chains_of_rare_values": on_entries(
-        "SELECT chain_id, entries, component_count, flow FROM facts", _RARE, _chains("rare")),
     "bridge_values": on_entries("SELECT chain_id, value, components FROM bridges", _chains()),
     "chain_summary": on_entries(
         """SELECT chain_id, entries, component_count, flow, array_to_string(b, ',') AS bridges FROM facts

@@ -70,7 +70,7 @@ lines AS (
   END AS message FROM parts)"""
 
 AGENT = """agent AS (
-  SELECT conv_id * 1000 + turn AS seq, 'conv-' || conv_id AS session_id, 't-' || conv_id AS trace_id,
+  SELECT conv_id * 4294967296 + turn AS seq, 'conv-' || conv_id AS session_id, 't-' || conv_id AS trace_id,
     make_timestamp((1704067200 + conv_id * 60 + turn) * 1000000) AS moment,
     CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN 'action_in' WHEN role = 'assistant' AND conv_id % 3 = 0 THEN 'action_out'
          WHEN role = 'user' THEN 'model_in' WHEN role = 'assistant' THEN 'model_out' ELSE 'rationale' END AS kind,

@@ -275,7 +275,7 @@ ORACLES = {
           count(*) FILTER (status = 'failed') > 0 AS has_failures FROM cases GROUP BY head, o""", _CASES),
     "failing_cases": on_spans("SELECT case_id, retry_count FROM cases WHERE status = 'failed'", _CASES),
     "derived_cases": on_spans(
-        f"""SELECT 'derived-' || e[:12] AS case_id, 'Derived from ' || arg_min(component, seq) || ':' || arg_min(operation, seq) AS name,
+        f"""SELECT 'derived-' || e AS case_id, 'Derived from ' || arg_min(component, seq) || ':' || arg_min(operation, seq) AS name,
           'lambda_invoke' AS entrypoint_type, coalesce(min_by(r, seq)[1], '{{}}') AS payload, e AS derived_from, count(*) AS span_count
         FROM (SELECT *, [request] AS r, coalesce(trace_id, request_id, agent_session_id) AS e FROM spans) WHERE e IS NOT NULL GROUP BY e"""),
     "component_coverage": on_spans("SELECT * FROM coverage", _COVER),

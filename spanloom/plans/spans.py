@@ -333,7 +333,7 @@ body AS (
       '    ' || src || '->>' || dst || ': ' || operation || CASE WHEN attempt > 1 THEN ' [attempt ' || attempt || ']' ELSE '' END,
       CASE WHEN concat_ws(', ', CASE WHEN request IS NOT NULL THEN 'q' END, trace_id, request_id, agent_session_id) <> '' THEN
         '    Note over ' || src || ',' || dst || ': ' || concat_ws(', ', CASE WHEN request IS NOT NULL THEN 'req=payloads/' || span_id || '.request.json' END,
-           'trace:' || trace_id[:8], 'λ:' || request_id[:8], 'br:' || agent_session_id[:8]) END, '']
+           'trace:' || trace_id, 'λ:' || request_id, 'br:' || agent_session_id) END, '']
     ELSE [
       '    ' || src || '-->>' || dst || ': ' || operation || ' response' || CASE WHEN error IS NOT NULL THEN ' [ERROR]' ELSE '' END,
       '    Note over ' || dst || ',' || src || ': ' || concat_ws(', ', CASE WHEN response IS NOT NULL THEN 'res=payloads/' || span_id || '.response.json' END,

@@ -169,7 +169,7 @@ def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = table(spark, sf_dir, "conversations")
     action = F.col("conv_id") % 3 == 0
     return turn.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        (F.shiftleft("conv_id", 32) + F.col("turn")).alias("seq"),
         F.concat(F.lit("conv-"), F.col("conv_id")).alias("session_id"),
         F.concat(F.lit("t-"), F.col("conv_id")).alias("trace_id"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")).alias("at"),

@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from spanloom.operators import agent_trace as ag
-from spanloom.operators.chains import bridge_values, chain_entries, chain_facts, chain_spans
+from spanloom.operators.chains import bridge_values, chain_entries, chain_facts, chain_spans, with_payload
 from spanloom.operators.components import connected_components
 from spanloom.operators.profile import log_entries
 from spanloom.operators.stitch import expand_from, stitch
@@ -66,21 +66,21 @@ CHAT = (
 
 
 def test_chain_through_a_chat_time(spark):
-    chained = chain_entries(_entries(spark, *CHAT))
+    entries = _entries(spark, *CHAT)
+    chained = chain_entries(entries)
     facts = chain_facts(chained).collect()
     assert [(r["chain_id"], r["entries"], r["flow"]) for r in facts] == [("chain-0", 2, "lambda → bedrock")]
     assert [(r["value"], r["components"]) for r in bridge_values(chained).collect()] == [("1768927632.159269", ["bedrock", "lambda"])]
-    a, b = chain_spans(chained).orderBy("seq").collect()
+    a, b = chain_spans(with_payload(chained, entries)).orderBy("seq").collect()
     assert a["parent_span_id"] is None and b["parent_span_id"] == "chain-0-0"
     assert a["thread_id"] == b["thread_id"] == "1768927632.159269"
     assert '"channel": "C07GVLMH5EG"' in a["request"]
     assert b["attempt"] == 3 and '"level":"ERROR"' in b["error"] and b["ts_start"].startswith("2025-06-20T17:27:12.268")
 
 
-def test_chain_value_limit_is_off_by_default(spark):
+def test_a_value_of_all_entries_makes_one_chain(spark):
     texts = [f'{{"component": "c{i % 2}", "message": "trace id: shared", "session_id": "pair-{i // 2}"}}' for i in range(6)]
     assert chain_facts(chain_entries(_entries(spark, *texts))).count() == 1
-    assert chain_facts(chain_entries(_entries(spark, *texts), max_value_frequency=3)).count() == 3
 
 
 def _greedy(logs, traces):
