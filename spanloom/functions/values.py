@@ -35,8 +35,10 @@ def contains_any(c: str | Column, words: list[str]) -> Column:
 
 
 def parse_time(c: str | Column) -> Column:
-    """ISO text to TIMESTAMP; zone-less text is UTC, unreadable text is null."""
-    return F.try_to_timestamp(F.nullif(F.trim(col(c)), F.lit("")))
+    """ISO text to TIMESTAMP; zone-less text is UTC, unreadable text is null. A text
+    that does not begin with a whole date (a time of day, a year) is unreadable."""
+    text = F.trim(col(c))
+    return F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text))
 
 
 def with_times(spans: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.values import first_truthy, present, ratio, unreadable_time, with_times
+from spanloom.functions.values import first_truthy, present, ratio, truthy, unreadable_time, with_times
 
 # Order in which ids name an execution.
 VIEW_IDS = ["trace_id", "agent_session_id", "session_id", "request_id", "xray_id"]
@@ -96,7 +96,7 @@ def view_totals(spans: DataFrame) -> DataFrame:
 def run_statistics(spans: DataFrame) -> DataFrame:
     """Spans, distinct components and operations, error spans of a whole run."""
     pairs = spans.groupBy("component", "operation").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(present("error")).alias("e")
+        F.count(F.lit(1)).alias("n"), F.count_if(truthy("error")).alias("e")
     )
     return pairs.agg(
         F.sum("n").alias("span_count"),

@@ -20,15 +20,11 @@ RETRY_STORM = 3
 PASS_RATE = 0.9
 
 
-def throttle_events(spans: DataFrame) -> DataFrame:
-    """Rows of `spans` with (throttle_type, details), several per span if several
-    signs show; status 429 hides the others.
-
-    Optional columns: status_code, target, retry_count (else attempt - 1), timed_out.
-    """
+def _signs(columns: list[str]) -> Column:
+    """Throttle signs of a span as an array of (throttle_type, details)."""
 
     def given(name: str, otherwise: Column) -> Column:
-        return F.coalesce(F.col(name), otherwise) if name in spans.columns else otherwise
+        return F.coalesce(F.col(name), otherwise) if name in columns else otherwise
 
     text = F.when(truthy("error"), F.col("error")).otherwise("")
     low = F.lower(text)
@@ -39,7 +35,7 @@ def throttle_events(spans: DataFrame) -> DataFrame:
     def sign(kind: Column, details: Column) -> Column:
         return F.struct(kind.alias("throttle_type"), details.alias("details"))
 
-    signs = F.when(
+    return F.when(
         limited,
         F.array(sign(F.lit("http_429"), F.concat(F.lit("HTTP 429 from "), given("target", F.lit("unknown"))))),
     ).otherwise(
@@ -57,7 +53,15 @@ def throttle_events(spans: DataFrame) -> DataFrame:
             )
         )
     )
-    return spans.select("*", F.explode(signs).alias("_s")).select(*spans.columns, "_s.*")
+
+
+def throttle_events(spans: DataFrame) -> DataFrame:
+    """Rows of `spans` with (throttle_type, details), several per span if several
+    signs show; status 429 hides the others.
+
+    Optional columns: status_code, target, retry_count (else attempt - 1), timed_out.
+    """
+    return spans.select("*", F.explode(_signs(spans.columns)).alias("_s")).select(*spans.columns, "_s.*")
 
 
 def throttles_by_type(throttles: DataFrame) -> DataFrame:
@@ -73,14 +77,9 @@ def live_status(errors: Column, retries: Column) -> Column:
     )
 
 
-def throttle_signs() -> Column:
-    """Number of throttle signs of a span with the plain columns (error, attempt)."""
-    text = F.lower(F.when(truthy("error"), F.col("error")).otherwise(""))
-    matched = F.lit(False)
-    for word, _ in THROTTLE_TEXTS:
-        matched = matched | F.contains(text, F.lit(word))
-    storm = F.coalesce(F.col("attempt") - 1 >= RETRY_STORM, F.lit(False))
-    return matched.cast("int") + storm.cast("int") + F.contains(text, F.lit("timeout")).cast("int")
+def throttle_signs(columns: list[str]) -> Column:
+    """Number of throttle signs of a span with these columns."""
+    return F.size(_signs(columns))
 
 
 def soak_iterations(spans: DataFrame, by: str = "iteration") -> DataFrame:
@@ -93,7 +92,7 @@ def soak_iterations(spans: DataFrame, by: str = "iteration") -> DataFrame:
         F.count(F.lit(1)).alias("span_count"),
         F.count_if(truthy("error")).alias("error_count"),
         F.sum(retries).alias("retry_count"),
-        F.sum(throttle_signs()).alias("throttle_events"),
+        F.sum(throttle_signs(spans.columns)).alias("throttle_events"),
         ((F.unix_micros(F.max("end_at")) - F.unix_micros(F.min("start_at"))) / F.lit(1000.0)).alias("duration_ms"),
     )
     status = live_status(F.col("error_count"), F.col("retry_count"))

@@ -9,7 +9,7 @@ from spanloom.functions.values import ratio, truthy
 from spanloom.operators.invariants import InvariantConfig, run_invariants
 
 
-def case_results(spans: DataFrame, by: str = "exec_id", config: InvariantConfig = InvariantConfig()) -> DataFrame:
+def case_results(spans: DataFrame, by: str = "exec_id", config: InvariantConfig = InvariantConfig(check_errors=True)) -> DataFrame:
     """One row per case: status, sizes, duration, names of failed rules."""
     failed = (
         run_invariants(spans, config, by)

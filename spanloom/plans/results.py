@@ -92,7 +92,7 @@ def derived_cases(spark, d):
 def _coverage(spark, d) -> DataFrame:
     # Detected: all components. Covered: those of executions that passed.
     s = ex.assign_executions(spans(spark, d))
-    passed = ex.filter_executions(ex.execution_summary(s), "passed").filter(F.col("span_count") == 4)
+    passed = ex.filter_executions(ex.execution_summary(s), "passed")
     covered = passed.select(F.explode("components").alias("component"))
     extra = s.filter("attempt = 7").select(F.concat("component", F.lit("-retry")).alias("component"))
     return dv.component_coverage(s, covered.unionByName(extra))
@@ -195,7 +195,7 @@ cases AS (
       coalesce((epoch_us(max(end_at)) - epoch_us(min(start_at))) / 1000.0, 0.0) AS duration_ms, arg_min(component, seq) AS c, arg_min(operation, seq) AS o
     FROM spans GROUP BY exec_id) LEFT JOIN broken USING (exec_id))"""
 _COVER = _EXECS + """, good AS (
-  SELECT e FROM execs WHERE e IS NOT NULL GROUP BY e HAVING count(error) = 0 AND count(*) FILTER (attempt > 1) = 0 AND count(*) = 4),
+  SELECT e FROM execs WHERE e IS NOT NULL GROUP BY e HAVING count(error) = 0 AND count(*) FILTER (attempt > 1) = 0),
 detected AS (SELECT DISTINCT component FROM spans),
 covered AS (SELECT DISTINCT component FROM execs JOIN good USING (e) UNION SELECT DISTINCT component || '-retry' FROM spans WHERE attempt = 7),
 coverage AS (

@@ -24,7 +24,7 @@ from spanloom.sources.sinks import payload_rows
 
 SPLIT_DAY = datetime(2024, 1, 16)
 REQUIRED = ["entrypoint:web", "model:pay"]
-RULES = inv.InvariantConfig(required_components=REQUIRED)
+RULES = inv.InvariantConfig(required_components=REQUIRED, check_errors=True)
 
 
 def ntz(c: str) -> Column:
@@ -419,7 +419,7 @@ ORACLES = {
     "orphan_execution_spans": on_spans("SELECT span_id, component, operation FROM execs WHERE e IS NULL", _EXECS),
     "run_statistics": on_spans(
         """SELECT count(*) AS span_count, count(DISTINCT component) AS components, count(DISTINCT operation) AS operations,
-          count(error) AS error_spans FROM spans"""),
+          count(*) FILTER (""" + sql_truthy("error") + """) AS error_spans FROM spans"""),
     "trace_order": on_spans(
         """SELECT exec_id, span_id, row_number() OVER (PARTITION BY exec_id ORDER BY start_at NULLS LAST, seq) AS pos FROM spans"""),
     "span_latency": on_spans(

@@ -89,7 +89,7 @@ def rolling_rates(
         .groupBy(window.alias("w"))
         .agg(
             F.count(F.lit(1)).alias("spans"),
-            F.sum(throttle_signs()).alias("throttle_events"),
+            F.sum(throttle_signs(spans.columns)).alias("throttle_events"),
             F.count_if(~truthy("error")).alias("passed"),
         )
     )
