@@ -17,7 +17,9 @@ SAMPLE = [
 def test_every_query_but_a_few_has_a_twin():
     queries, twins = entry_module.queries(), entry_module.oracle_sql()
     assert set(twins) <= set(queries)
-    assert set(queries) - set(twins) == {"field_values"}
+    # Training-data operators (op*, pipeline) have tests of their own.
+    own = {q for q in queries if not q.startswith("op") and q != "pipeline"}
+    assert own - set(twins) <= {"field_values"}
 
 
 def test_entry(spark):
