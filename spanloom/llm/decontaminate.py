@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.hashing import WORD_BYTES, Substrings, sliding_min, words
-from spanloom.llm.repeats import stored
-from spanloom.llm.rows import KEY, as_bytes, packed, steps
+from spanloom.llm.rows import KEY, as_bytes, packed, steps, stored
 
 GRAM = 5
 #: log2 of the size of the bit table.

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.repeats import stored
+from spanloom.llm.rows import stored
+
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.hashing import Substrings, mixed, words
-from spanloom.llm.repeats import stored
-from spanloom.llm.rows import KEY, as_bytes, lists, packed, steps
+from spanloom.llm.rows import KEY, as_bytes, lists, packed, steps, stored
 from spanloom.operators.components import connected_components
 
 BANDS, BAND_ROWS = 24, 4

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.repeats import stored
+from spanloom.llm.rows import stored
+
 
 TABLES = 4
 #: Of the signed axes of the rotated space, the part that a query probes.

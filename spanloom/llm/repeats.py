@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.hashing import Substrings, sliding_min
-from spanloom.llm.rows import KEY, as_bytes, lists, packed, steps
-from spanloom.session import scratch_path
+from spanloom.llm.rows import KEY, as_bytes, packed, steps, stored
 
 GRAM = 41
 BLOCKS = (16, 4, 1)
@@ -42,13 +41,6 @@ _PLACE_BITS = 23
 SEGMENT = 1 << 21
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def anchors_of(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text number, anchor, first and last string start, gram hash, run hash), places
     counted from the start of ``data``; the runs of all anchors are all strings of

@@ -9,13 +9,14 @@ recognises a document by two 64-bit hashes of id and text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.session import shipped
+from spanloom.session import scratch_path, shipped
 
 KEY = ["k1", "k2"]
 
@@ -30,6 +31,36 @@ def prepared(spark: SparkSession) -> SparkSession:
     return shipped(spark)
 
 
+#: Where tables are noted that somebody will drop; the last one notes.
+_NOTES: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again, which cuts the lineage."""
+    path = scratch_path(df.sparkSession, name)
+    for notes in _NOTES[-1:]:
+        notes.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of tables that are stored meanwhile."""
+    _NOTES.append([])
+    try:
+        yield _NOTES[-1]
+    finally:
+        _NOTES.pop()
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def others(docs: DataFrame, text_col: str) -> Column:
     """One struct ``row`` of all columns but the text."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).alias("none")]).alias("row")
