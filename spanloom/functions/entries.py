@@ -43,6 +43,17 @@ def message_text(record: str | Column) -> Column:
     return F.when(F.coalesce(nested, F.lit(False)), "").otherwise(F.coalesce(message, F.lit("")))
 
 
+def written_message(json: str | Column, record: str | Column) -> Column:
+    """The message of a record's JSON text if it is a string, whatever is written in it;
+    a message that is an object, list or number counts as an empty text."""
+    message = _record(record)["message"]
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(_record(json)), "$.message", "variant"))
+    # Only these could be anything but a string.
+    unsure = message.rlike(r"^\s*([\{\[]|-?[0-9.eE+]+\s*$|true\s*$|false\s*$)")
+    kept = F.when(~unsure | (kind == "STRING"), message)
+    return F.coalesce(kept, F.lit(""))
+
+
 def words_score(text: Column) -> Column:
     """Component whose words occur most often in a lower-case text, else null."""
     scored = [
@@ -102,9 +113,8 @@ def input_data(record: str | Column, embedded: str | Column) -> Column:
     )
 
 
-def response_data(record: str | Column, embedded: str | Column) -> Column:
-    rec, embedded = _record(record), _record(embedded)
-    text = message_text(rec)
+def response_data(record: str | Column, embedded: str | Column, text: str | Column) -> Column:
+    rec, embedded, text = _record(record), _record(embedded), _record(text)
     said = F.to_json(F.struct(text.alias("_response_message")))
     return F.coalesce(
         first_truthy(rec["response"], rec["output"], rec["result"]),
@@ -112,9 +122,8 @@ def response_data(record: str | Column, embedded: str | Column) -> Column:
     )
 
 
-def detect_error(record: str | Column, embedded: str | Column) -> Column:
-    rec, embedded = _record(record), _record(embedded)
-    text = message_text(rec)
+def detect_error(record: str | Column, embedded: str | Column, text: str | Column) -> Column:
+    rec, embedded, text = _record(record), _record(embedded), _record(text)
     level = F.upper(F.coalesce(rec["level"], F.lit("")))
     explicit = first_truthy(rec["error"])
     is_object = F.startswith(F.trim(explicit), F.lit("{"))
@@ -133,9 +142,9 @@ def detect_error(record: str | Column, embedded: str | Column) -> Column:
     )
 
 
-def detect_attempt(record: str | Column) -> Column:
+def detect_attempt(record: str | Column, text: str | Column) -> Column:
     rec = _record(record)
-    text = F.lower(message_text(rec))
+    text = F.lower(_record(text))
     number = F.nullif(F.regexp_extract(text, r"(?:attempt|retry)[:\s]*(\d+)", 1), F.lit(""))
     return F.coalesce(
         rec["attempt"].try_cast("int"),
@@ -145,9 +154,9 @@ def detect_attempt(record: str | Column) -> Column:
     )
 
 
-def infer_operation(record: str | Column) -> Column:
+def infer_operation(record: str | Column, text: str | Column) -> Column:
     rec = _record(record)
-    text = F.lower(message_text(rec))
+    text = F.lower(_record(text))
     named = F.coalesce(
         *[
             F.when(F.map_contains_key(rec, name), F.coalesce(rec[name], F.lit("None")))

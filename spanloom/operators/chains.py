@@ -57,7 +57,7 @@ def chain_entries(entries: DataFrame) -> DataFrame:
 
 def with_payload(chained: DataFrame, entries: DataFrame) -> DataFrame:
     """Chained entries with their records again."""
-    return chained.join(entries.select("idx", "record", "embedded"), "idx")
+    return chained.join(entries.select("idx", "record", "embedded", "said"), "idx")
 
 
 def chain_facts(chained: DataFrame) -> DataFrame:
@@ -147,14 +147,14 @@ def chain_spans(chained: DataFrame) -> DataFrame:
         F.concat_ws("-", "chain_id", number.cast("string")).alias("span_id"),
         F.when(number > 0, F.concat_ws("-", "chain_id", (number - 1).cast("string"))).alias("parent_span_id"),
         "component",
-        infer_operation("record").alias("operation"),
+        infer_operation("record", "said").alias("operation"),
         at.alias("ts_start"),
         at.alias("ts_end"),
-        detect_attempt("record").alias("attempt"),
+        detect_attempt("record", "said").alias("attempt"),
         F.col("chain_id").alias("trace_id"),
         thread.alias("thread_id"),
         thread.alias("session_id"),
         input_data("record", "embedded").alias("request"),
-        response_data("record", "embedded").alias("response"),
-        detect_error("record", "embedded").alias("error"),
+        response_data("record", "embedded", "said").alias("response"),
+        detect_error("record", "embedded", "said").alias("error"),
     )

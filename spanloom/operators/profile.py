@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.entries import detect_component
+from spanloom.functions.entries import detect_component, written_message
 from spanloom.functions.text_udfs import embedded_dict, flat_values, nested_data, searchable_text
 from spanloom.functions.values import first_truthy, parse_time
 from spanloom.operators.normalise import json_map
@@ -134,7 +134,8 @@ def read_records(records: DataFrame) -> DataFrame:
     """(idx, record, json, embedded) out of (seq, json): envelopes removed, and the
     Python dict inside the message as JSON text."""
     base = records.select(F.col("seq").alias("idx"), "json", json_map(F.col("json")).alias("outer"))
-    message = F.col("outer")["message"]
+    # A message that is an object itself is no envelope.
+    message = F.nullif(written_message("json", "outer"), F.lit(""))
     base = base.withColumn("_dict", embedded_dict(message))
     # Merging would put the text of nested values through a string map; the JSON
     # text of an unwrapped record is rebuilt only where something was unwrapped.
@@ -215,14 +216,15 @@ def correlation_values() -> Column:
 
 
 def log_entries(records: DataFrame) -> DataFrame:
-    """(idx, record, embedded, component, timestamp, correlation_values): what
-    chains are built from. `records` has (seq, json)."""
+    """(idx, record, embedded, said, component, timestamp, correlation_values): what
+    chains are built from. `records` has (seq, json); `said` is the message if it is text."""
     sheets = fact_sheets(read_records(records))
     rec = F.col("record")
     return sheets.select(
         "idx",
         "record",
         "embedded",
+        written_message("json", "record").alias("said"),
         detect_component(rec, F.col("component"), F.col("json")).alias("component"),
         first_truthy(rec["timestamp"], rec["time"], rec["@timestamp"]).alias("timestamp"),
         correlation_values().alias("correlation_values"),

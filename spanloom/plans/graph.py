@@ -161,7 +161,7 @@ def on_entries(select: str, *more: str) -> str:
 
 _SPAN_ROWS = """SELECT seq, chain_id || '-' || (pos - 1) AS span_id, CASE WHEN pos > 1 THEN chain_id || '-' || (pos - 2) END AS parent_span_id,
     component,
-    CASE WHEN style = 0 THEN event_type WHEN style = 1 THEN event_type WHEN style = 3 THEN 'log' ELSE
+    CASE WHEN style = 0 THEN event_type WHEN style = 1 THEN event_type WHEN style = 3 THEN CASE event_type WHEN 'error' THEN 'error' ELSE 'log' END ELSE
       CASE WHEN contains(m, 'received') THEN 'receive' WHEN contains(m, 'sending') OR contains(m, 'sent') THEN 'send'
            WHEN contains(m, 'invoking') OR contains(m, 'invoked') THEN 'invoke' WHEN contains(m, 'response') THEN 'response'
            WHEN contains(m, 'error') THEN 'error' ELSE 'log' END END AS operation,

@@ -129,3 +129,16 @@ def test_enrich_tells_rows_of_one_place_apart(spark):
     ]
     got = ag.enrich(spark.createDataFrame(logs, schema), spark.createDataFrame(traces, schema)).collect()
     assert sorted((r["span_id"], r["request"], r["response"]) for r in got) == [("log-1", "rq", "rs"), ("model", "in", "out"), ("why", "because", None)]
+
+
+def test_json_written_in_a_message_is_text_and_objects_are_not(spark):
+    texts = [
+        '{"level": "WARN", "message": "{\\"event\\": \\"error\\", \\"x\\": \\"failed\\"}", "session_id": "s-77777777"}',
+        '{"level": "WARN", "message": {"event": "error", "x": "failed"}, "session_id": "s-77777777", "component": "c"}',
+        '{"timestamp": 1, "message": {"a": 1, "traceId": "x-1"}, "session_id": "s-77777777"}',
+    ]
+    entries = _entries(spark, *texts)
+    assert entries.filter("idx = 2").first()["record"]["message"].startswith("{")
+    a, b, _ = chain_spans(with_payload(chain_entries(entries), entries)).orderBy("seq").collect()
+    assert a["operation"] == "error" and '"level":"WARN"' in a["error"]
+    assert b["operation"] == "log" and b["error"] is None
