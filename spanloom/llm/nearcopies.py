@@ -13,7 +13,7 @@ compared with a leader of the band first. Bands that this leaves in several comp
 go on. There, shingles that only one class has bound what the class can share with any
 other, and a class that cannot reach the similarity with any bag of the band leaves it.
 The others are compared with the band's classes that have the fewest such shingles, in
-rounds with eight times as many of them each, and only across the components found so
+rounds with 32 times as many of them each, and only across the components found so
 far, until every band has been compared in full or lies in one component. No link is
 left out and no band is gathered in one place.
 """
@@ -225,7 +225,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: s
 
     # At first one leader for each band, the same order everywhere.
     rows = rows.select("band", "node", "n", F.col("node").alias("label"), F.xxhash64("node").alias("order"))
-    leaders, links = 1, []
+    leaders, links, label = 1, [], None
     while True:
         heads = _heads(rows, leaders)
         pairs = (
@@ -237,18 +237,22 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: s
         )
         links.append(stored(_links(pairs, bags, least), "links"))
         edges = reduce(DataFrame.unionByName, links)
-        label = stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+        if leaders == 1:
+            # A leader's name is label enough to see who is together; one each.
+            label = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+        else:
+            label = stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
         # Leaders have met all others of their band. A band in one component is done.
         met = heads.select("band", F.col("a").alias("node"))
         rest = rows.drop("label").join(met, ["band", "node"], "left_anti").join(label, "node", "left")
         rows = stored(_apart(rest.withColumn("label", F.coalesce("label", "node"))), "rest")
+        if leaders == 1 and not rows.isEmpty():
+            rows = stored(_apart(_within_reach(rows, bags, least)), "reach")
         if rows.isEmpty():
             break
-        if leaders == 1:
-            rows = stored(_apart(_within_reach(rows, bags, least)), "reach")
-            if rows.isEmpty():
-                break
-        leaders *= 8
+        leaders *= 32
+    if leaders == 1:
+        label = stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
 
     of_class = classes.select("s1", "s2", "node").join(label, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("class"))
     own = F.struct(*KEY)
