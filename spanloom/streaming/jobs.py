@@ -107,12 +107,17 @@ def without_repeats(spans: DataFrame, at: str = "logged_at", lateness: str = "1
     return _watermarked(spans, at, lateness).dropDuplicatesWithinWatermark(["span_id"])
 
 
-def run_available(stream: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Process what is there, through a Parquet sink in the shared folder, and return
-    the written table. Progress lives there too, so a rerun of the query resumes."""
+def run_available(
+    stream: DataFrame, name: str, partition_by: list[str] | None = None, folder: str | None = None
+) -> DataFrame:
+    """Process what is there, through a Parquet sink, and return the written table.
+
+    Table and progress live in `folder`: a rerun with the same folder resumes and reads
+    only what is new. Without one, each run begins anew in the shared folder.
+    """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    root = scratch_path(spark, f"stream-{name}")
+    root = folder.rstrip("/") if folder else scratch_path(spark, f"stream-{name}")
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")

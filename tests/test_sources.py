@@ -97,3 +97,17 @@ def test_sinks_redact_and_split(spark, make_spans, tmp_path):
     assert back["s1"]["trace_id"] == "t2"
     sinks.write_payloads(s, str(tmp_path / "payloads"))
     assert spark.read.json(str(tmp_path / "payloads")).count() == 2
+
+
+def test_a_stream_resumes_in_its_folder(spark, tmp_path):
+    from spanloom.streaming import jobs
+
+    source, home = tmp_path / "in", str(tmp_path / "home")
+    rows = lambda *ids: spark.createDataFrame([(i, f"mail a{i}@b.org") for i in ids], "id long, text string")
+    run = lambda: jobs.run_available(jobs.redact_stream(jobs.read_folder(spark, str(source), rows(1).schema), "text"), "t", folder=home)
+    rows(1, 2).write.parquet(str(source))
+    assert sorted(r["id"] for r in run().collect()) == [1, 2]
+    rows(3).write.mode("append").parquet(str(source))
+    got = run().collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 3] and "@" not in got[0]["text"]
+    assert sorted(r["id"] for r in run().collect()) == [1, 2, 3]
