@@ -12,10 +12,10 @@ Texts with equal bags are one class from the start. Classes that share a band ar
 compared with a leader of the band first. Bands that this leaves in several components
 go on. There, shingles that only one class has bound what the class can share with any
 other, and a class that cannot reach the similarity with any bag of the band leaves it.
-The others are compared with the band's classes that have the fewest such shingles, in
-rounds with 32 times as many of them each, and only across the components found so
-far, until every band has been compared in full or lies in one component. No link is
-left out and no band is gathered in one place.
+The others are compared with the band's class that has the fewest such shingles. From
+then on leaders come out of a band's smallest components, in rounds with 32 times as
+many each, and only across components, until every band has been compared in full or
+lies in one component. No link is left out and no band is gathered in one place.
 """
 
 from __future__ import annotations
@@ -237,7 +237,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: s
         )
         links.append(stored(_links(pairs, bags, least), "links"))
         edges = reduce(DataFrame.unionByName, links)
-        if leaders == 1:
+        if len(links) == 1:
             # A leader's name is label enough to see who is together; one each.
             label = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
         else:
@@ -246,12 +246,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: s
         met = heads.select("band", F.col("a").alias("node"))
         rest = rows.drop("label").join(met, ["band", "node"], "left_anti").join(label, "node", "left")
         rows = stored(_apart(rest.withColumn("label", F.coalesce("label", "node"))), "rest")
-        if leaders == 1 and not rows.isEmpty():
+        if len(links) == 1 and not rows.isEmpty():
             rows = stored(_apart(_within_reach(rows, bags, least)), "reach")
         if rows.isEmpty():
             break
-        leaders *= 32
-    if leaders == 1:
+        if len(links) > 1:
+            # Any two components have a member outside of the largest one.
+            size = rows.groupBy("band", "label").agg(F.count("*").alias("order"))
+            rows = rows.drop("order").join(size, ["band", "label"])
+            leaders *= 32
+    if len(links) == 1:
         label = stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
 
     of_class = classes.select("s1", "s2", "node").join(label, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("class"))
