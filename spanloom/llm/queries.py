@@ -42,8 +42,8 @@ def op3_toxic_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How toxic each document is, learned from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_rest("doc_id", 4) != 2)
-    known = docs.select("doc_id", "text", "lang").join(labels, "doc_id")
-    model = toxicity.train(known.withColumnRenamed("doc_id", "id"))
+    by_id = docs.select(F.col("doc_id").alias("id"), "text", "lang")
+    model = toxicity.train(by_id, labels.select(F.col("doc_id").alias("id"), "toxic"))
     given = docs.select("doc_id", F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
     return toxicity.score(given, model).select(
         "doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
