@@ -12,7 +12,7 @@ Texts with equal bags are one class from the start. Classes that share a band ar
 compared with a leader of the band first. Bands that this leaves in several components
 go on. There, shingles that only one class has bound what the class can share with any
 other, and a class that cannot reach the similarity with any bag of the band leaves it.
-The others are compared with the band's class that has the fewest such shingles. From
+The others are compared with the band's class that has the most common shingles. From
 then on leaders come out of a band's smallest components, in rounds with 32 times as
 many each, and only across components, until every band has been compared in full or
 lies in one component. No link is left out and no band is gathered in one place.
@@ -181,20 +181,20 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 def _within_reach(rows: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """Rows of classes that could be similar enough to some class of their band, those
-    with the fewest shingles of their own first.
+    whose shingles are the most common ones first.
 
     Two bags have at most as much in common as the smaller number of shingles that
     either shares with anything; the smallest bag of a band bounds the sizes.
     """
     nodes = rows.select("node").distinct()
     each = bags.select(F.struct(*KEY).alias("node"), "bag").join(nodes, "node").select("node", F.explode("bag").alias("shingle"))
-    common = each.groupBy("shingle").agg(F.count("*").alias("classes")).filter("classes > 1").select("shingle")
-    shared = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("classes")).filter("classes > 1")
+    shared = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"), F.sum("classes").alias("met"))
     smallest = rows.groupBy("band").agg(F.min("n").alias("smallest"))
     reach = rows.join(smallest, "band").join(shared, "node").filter(
         F.col("shared") >= F.lit(least) * (F.col("n") + F.greatest("shared", "smallest") - F.col("shared")) - F.lit(1e-9)
     )
-    return reach.select("band", "node", "n", "label", (F.col("n") - F.col("shared")).alias("order"))
+    return reach.select("band", "node", "n", "label", (-F.col("met") / F.col("n")).alias("order"))
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
