@@ -13,6 +13,9 @@ queries have not.
 Tables, axes and parts of at most ``BLOCK`` vectors make the groups that tasks rank, so
 a bucket with a third of all vectors is many groups; queries go to each part. Best
 lists are merged by query, where each group sends at most as many as are asked for.
+
+Queries that are left with fewer than were asked for, although there are more candidates
+of their dimension, are compared with every vector: they probe all axes of one table.
 """
 
 from __future__ import annotations
@@ -119,7 +122,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     A query's own id is no candidate of it. Vectors that are null, empty, zero or have
     null or non-finite components take no part, nor have rows without id; vectors of
     different dimensions are never neighbours. Of repeated ids one row counts (that with
-    the greatest vector).
+    the greatest vector). A query has fewer than ``k`` rows only if it has fewer
+    candidates, and then it has them all.
     """
     one = lambda df: _usable(df, id_col, vector_col).groupBy("id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
     data, asked = stored(one(vectors), "vectors"), stored(one(queries), "queries")
@@ -128,7 +132,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     parts = placed.groupBy("dim", "place").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     placed = stored(placed.join(parts, ["dim", "place"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts"), "placed")
     probed = _hashed(asked, probes, tables).select("id", "dim", F.explode("places").alias("place"))
-    probed = probed.join(parts, ["dim", "place"]).select("id", "dim", "place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    probed = probed.join(parts, ["dim", "place"])
     group = ["dim", "place", "part"]
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -145,10 +149,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         q, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
-    blocks = placed.join(data.select("id", "v"), "id").groupBy(*group)
-    asking = probed.join(asked.select("id", "v"), "id").groupBy(*group)
-    found = blocks.cogroup(asking).applyInPandas(rank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    # At most k for each table, probe and part.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def ranked(placed: DataFrame, probed: DataFrame) -> DataFrame:
+        """The ``k`` best of the buckets that each query probes."""
+        probed = probed.select("id", "dim", "place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        blocks = placed.join(data.select("id", "v"), "id").groupBy(*group)
+        asking = probed.join(asked.select("id", "v"), "id").groupBy(*group)
+        found = blocks.cogroup(asking).applyInPandas(rank, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        # At most k for each table, probe and part.
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    found = stored(ranked(placed, probed), "found")
+    # One row for each dimension, and one for each of its axes.
+    sizes = F.broadcast(data.groupBy("dim").agg(F.count("*").alias("size")))
+    own = data.select("id", "dim", F.lit(1).alias("own"))
+    had = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("had"))
+    counted = asked.select("id", "dim").join(sizes, "dim").join(own, ["id", "dim"], "left").join(had, "id", "left")
+    short = counted.filter(F.coalesce("had", F.lit(0)) < F.least(F.lit(k), F.col("size") - F.coalesce("own", F.lit(0))))
+    short = stored(short.select("id", "dim"), "short")
+    if short.isEmpty():
+        return found
+    # Each vector is in one bucket of the first table.
+    first = F.col("place") < F.lit(1 << 32)
+    whole = ranked(placed.filter(first), short.join(F.broadcast(parts.filter(first)), "dim"))
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(whole)

@@ -51,3 +51,32 @@ def test_odd_vectors(spark):
     assert got == [(0, 1, 20, 2.0), (0, 2, 1, 1.0), (20, 1, 0, 2.0), (20, 2, 1, 2.0)]
     none = df.limit(0)
     assert neighbours.nearest(none, none).collect() == []
+
+
+def full_lists(spark, x, k=20):
+    """Ranks and ids found for each query, all ids being queries."""
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {i: [] for i in range(len(x))}
+    for r in sorted(neighbours.nearest(df, df, k=k).collect()):
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    return got
+
+
+def test_few_vectors_are_all_found(spark):
+    x = np.random.default_rng(3).normal(size=(15, 64))
+    got = full_lists(spark, x)
+    print("rows of each query", sorted(len(v) for v in got.values()))
+    want = brute(list(range(15)), x, range(15), 20)
+    assert got == {q: [(n + 1, i) for n, (i, _) in enumerate(list_)] for q, list_ in want.items()}
+
+
+def test_lone_queries_beside_a_large_group(spark):
+    rng = np.random.default_rng(4)
+    lone, centre = rng.normal(size=(10, 64)), rng.normal(size=64)
+    x = np.concatenate([lone, centre + 1e-3 * rng.normal(size=(5000, 64))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {i: [] for i in range(10)}
+    for r in sorted(neighbours.nearest(df, df.filter("vec_id < 10"), k=20).collect()):
+        got[r["query_id"]].append(r["rank"])
+    print("rows of each query", sorted(map(len, got.values())))
+    assert all(ranks == list(range(1, 21)) for ranks in got.values())
