@@ -7,18 +7,30 @@ pair of any word is in the table. Decoding joins the ids with the vocabulary and
 the bytes together by an ordered aggregation. Documents are then made of their words.
 
 Memory is bounded by the run of documents and by ``CACHE_WORDS`` known words, which
-only save work. Long words go through the same query with all non-overlapping
+only save work. DuckDB gets words in slices of bounded size, however many are new.
+Long words go through the same query with all non-overlapping
 occurrences of the minimum pair contracted at once, and a bounded number of rounds for
 each query, so that a text without spaces needs neither as many rounds as it has bytes
 nor all the rounds in memory. Contracting several occurrences of one pair at once is
 the same as one after the other, since each token of these vocabularies is what its
 own bytes merge into (tested).
+
+Words longer than ``PART`` are coded in parts that overlap. Under the same condition
+tokens in a row are the code of their bytes if each two neighbours are the code of
+theirs, so two parts are put together where both have a token end and the two tokens
+there stay apart. Where there is no such place, the next part is coded again from a
+token end before, the further back the more often that fails; only then can a query
+get more than a slice, and DuckDB may spill to the worker's temp folder.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import os
+import tempfile
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import duckdb
@@ -35,6 +47,10 @@ RUN_BYTES = 4 << 20
 CACHE_WORDS = 600_000
 LONG_WORD = 64
 ROUNDS = 48
+#: Bytes of short words, and of long ones (whose rounds are all in memory), for a query.
+SLICE, LONG_SLICE = 256 << 10, 64 << 10
+#: Longer words are cut into parts of so many bytes, each with the first of the next one.
+PART, OVERLAP = 256, 64
 
 #: Each round contracts the leftmost pair of minimum rank of every word: the smallest
 #: (rank, place) in one number. A word without a pair in the table is done.
@@ -90,7 +106,7 @@ class Coder:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.edge = regex.compile(r"^\s|\s$|^$").search
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")})
         pairs = [
             (a, b, rank)
             for token, rank in ranks.items()
@@ -100,6 +116,9 @@ class Coder:
         l, r, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self._table("merges", l=l, r=r, merged=merged)
         self._table("vocabulary", tok=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks], pa.string()))
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(self.token)] = [len(t) for t in self.token.values()]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         #: Each known piece's ids and decoded bytes; ``old`` has those of the generation before.
         self.ids: dict[str, bytes] = {}
@@ -130,27 +149,89 @@ class Coder:
         order = np.argsort(g, kind="stable")
         return w[order].astype(np.int32), tok[order].astype(np.int32)
 
+    def merged(self, words: list[bytes], query: str) -> list[np.ndarray]:
+        """The tokens of each word, in slices."""
+        out = []
+        for first, end in _runs(words, SLICE if query == SHORT else LONG_SLICE):
+            w, tok = self.merge(words[first:end], query)
+            out += np.split(tok, np.cumsum(np.bincount(w, minlength=end - first))[:-1])
+        return out
+
     def encode(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each of these distinct pre-tokens."""
         raw = [x.encode("utf-8", "surrogatepass") for x in words]
         out = [np.array([r], np.int32) if (r := self.ranks.get(x)) is not None else None for x in raw]
         for query, rest in (
             (SHORT, [i for i, x in enumerate(raw) if out[i] is None and len(x) <= LONG_WORD]),
-            (LONG, [i for i, x in enumerate(raw) if out[i] is None and len(x) > LONG_WORD]),
+            (LONG, [i for i, x in enumerate(raw) if out[i] is None and LONG_WORD < len(x) <= PART]),
         ):
-            w, tok = self.merge([raw[i] for i in rest], query) if rest else (np.zeros(0, np.int32),) * 2
-            ends = np.cumsum(np.bincount(w, minlength=len(rest)))
-            for i, part in zip(rest, np.split(tok, ends[:-1]) if rest else [], strict=True):
-                out[i] = part
+            for i, tok in zip(rest, self.merged([raw[i] for i in rest], query), strict=True):
+                out[i] = tok
+        for i, x in enumerate(raw):
+            if out[i] is None:
+                out[i] = self.in_parts(x)
         return out
 
+    def in_parts(self, word: bytes) -> np.ndarray:
+        """The ids of a word of any length."""
+        parts = self.merged([word[a : a + PART + OVERLAP] for a in range(0, len(word), PART)], LONG)
+        ends = [a + self.size[x].cumsum() for a, x in zip(range(0, len(word), PART), parts, strict=True)]
+        apart: dict[tuple[int, int], bool] = {}
+
+        def places(end: Sequence[int], tok: Sequence[int], i: int) -> list[tuple[int, tuple[int, int]]]:
+            """Where both the tokens so far and part ``i`` have an end, the middle first,
+            with the tokens there."""
+            before = bisect_right(end, i * PART)
+            both, a, b = np.intersect1d(np.asarray(end[before:]), ends[i][:-1], True, return_indices=True)
+            found = [(int(p), (int(tok[before + x]), int(parts[i][y + 1]))) for p, x, y in zip(both, a, b, strict=True)]
+            return sorted(found, key=lambda x: abs(x[0] - i * PART - OVERLAP // 2))
+
+        def learn(pairs: Sequence[tuple[int, int]]) -> None:
+            """Which pairs of tokens stay apart."""
+            pairs = [x for x in dict.fromkeys(pairs) if x not in apart]
+            for x, got in zip(pairs, self.merged([self.token[a] + self.token[b] for a, b in pairs], SHORT), strict=True):
+                apart[x] = got.tolist() == list(x)
+
+        def stays(pair: tuple[int, int]) -> bool:
+            learn([pair])
+            return apart[pair]
+
+        learn([pair for i in range(1, len(parts)) for _, pair in places(ends[i - 1], parts[i - 1], i)[:4]])
+        tok, end = array("i", parts[0].tolist()), array("q", ends[0].tolist())
+        for i in range(1, len(parts)):
+            if end[-1] == len(word):
+                break
+            more = parts[i]
+            at = next((p for p, pair in places(end, tok, i) if stays(pair)), None)
+            back = 2 * OVERLAP
+            while at is None:
+                n = bisect_right(end, end[-1] - back)
+                begin = end[n - 1] if n else 0
+                (more,) = self.merged([word[begin : (i + 1) * PART + OVERLAP]], LONG)
+                if not n or stays((tok[n - 1], int(more[0]))):
+                    at = begin
+                back *= 2
+            n = bisect_right(end, at)
+            del tok[n:], end[n:]
+            more_end = min(len(word), (i + 1) * PART + OVERLAP) - self.size[more][::-1].cumsum()[::-1] + self.size[more]
+            new = more_end > at
+            tok.extend(more[new].tolist())
+            end.extend(more_end[new].tolist())
+        return np.array(tok, np.int32)
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-        self._table("ids", g=np.arange(len(flat), dtype=np.int32), w=np.repeat(np.arange(len(ids), dtype=np.int32), n), tok=flat)
-        got = dict(self.db.execute(DECODE).fetchall())
-        return [bytes.fromhex(got.get(i, "")) for i in range(len(ids))]
+        cut = [(i, x[a : a + SLICE]) for i, x in enumerate(ids) for a in range(0, len(x), SLICE)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        for first, end in _runs([x for _, x in cut], SLICE):
+            some = [x for _, x in cut[first:end]]
+            flat = np.concatenate(some).astype(np.int32)
+            n = np.fromiter(map(len, some), np.int64, len(some))
+            self._table("ids", g=np.arange(len(flat), dtype=np.int32), w=np.repeat(np.arange(len(some), dtype=np.int32), n), tok=flat)
+            got = dict(self.db.execute(DECODE).fetchall())
+            for k, (i, _) in enumerate(cut[first:end]):
+                out[i].append(bytes.fromhex(got.get(k, "")))
+        return [b"".join(x) for x in out]
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text that the pattern never matches across.
@@ -215,10 +296,10 @@ def _coder(path: str, pattern: str) -> Coder:
     return Coder(read_ranks(path), pattern)
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _runs(texts: Sequence, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, x in enumerate(texts):
-        if size and size + len(x) > RUN_BYTES:
+        if size and size + len(x) > most:
             yield first, i
             first, size = i, 0
         size += len(x)

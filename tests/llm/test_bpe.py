@@ -44,6 +44,32 @@ def test_long_words_and_small_caches(monkeypatch):
         assert [ids(x) for x in CODER.code(some)[0]] == [TWIN.encode_ordinary(t) for t in some]
 
 
+def test_more_new_words_than_memory_holds():
+    rnd = random.Random(3)
+    text = " ".join("".join(map(chr, rnd.choices(range(0x4E00, 0x9000), k=8))) for _ in range(260_000))
+    (coded,), (decoded,) = bpe.Coder(RANKS, public_tokenizers.PATTERN).code([text])
+    assert ids(coded) == TWIN.encode_ordinary(text)
+    assert decoded == text.encode()
+
+
+def test_a_word_of_any_length():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("etaoinshr", k=40_000)), "".join(map(chr, rnd.choices(range(0x4E00, 0x9000), k=9000))), "a" * 90_001, "abc" * 9001, "日本語テキスト" * 900, "=-" * 5001]
+    coded, decoded = bpe.Coder(RANKS, public_tokenizers.PATTERN).code(texts)
+    assert [ids(x) for x in coded] == [TWIN.encode_ordinary(t) for t in texts]
+    assert decoded == [t.encode() for t in texts]
+
+
+def test_parts_of_any_word(monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 12)
+    monkeypatch.setattr(bpe, "OVERLAP", 6)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices(some, k=rnd.randrange(70, 200))) for some in ("ab", "aehnrt", "=-", "日本語é") for _ in range(30)]
+    words += ["".join(rnd.choices("aehnrst", k=rnd.randrange(1, 9))) * 40 for _ in range(30)]
+    for word in words:
+        assert CODER.in_parts(word.encode()).tolist() == TWIN.encode_ordinary(word)
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (None, "two words", "c"), (None, "two words", "c")], "doc_id long, text string, ids string")
     got = bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect()
