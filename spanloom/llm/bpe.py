@@ -238,8 +238,8 @@ class Coder:
 
         A single space between two other characters always begins a match, and no
         match reaches over it, so a text without other white space at the ends of
-        its parts falls apart at its spaces. Any other text stays one part for each
-        match.
+        its parts falls apart at its spaces. Other parts are put together with their
+        neighbours (``grouped``).
         """
         parts = text.split(" ")
         parts[1:] = [" " + x for x in parts[1:]]
@@ -258,14 +258,12 @@ class Coder:
         if len(self.ids) > CACHE_WORDS // 2:
             self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
         words = [self.pieces(x) for x in texts]
-        fresh = self.unknown(words)
         edge = self.edge
-        odd = {x for x in fresh if not (x[-1:].isalnum() and x[1:2].isalnum()) and edge(x.removeprefix(" "))}
+        # Known pieces too: that ' ' is known says nothing of a text with three in a row.
+        odd = {x for x in set().union(*words) if not (x[-1:].isalnum() and x[1:2].isalnum()) and edge(x.removeprefix(" "))}
         if odd:
-            for i, part in enumerate(words):
-                if not odd.isdisjoint(part):
-                    words[i] = self.split(texts[i])
-            fresh = self.unknown(words)
+            words = [part if odd.isdisjoint(part) else grouped(part, odd) for part in words]
+        fresh = self.unknown(words)
         if fresh:
             parts = {x: self.split(x) for x in fresh}
             tokens = list({p for part in parts.values() for p in part})
@@ -296,6 +294,20 @@ def _coder(path: str, pattern: str) -> Coder:
     return Coder(read_ranks(path), pattern)
 
 
+def grouped(parts: list[str], odd: set[str]) -> list[str]:
+    """Parts of a text, where those with white space at an edge, and empty ones, are one
+    part with those before and after."""
+    out, held, last = [], [], False
+    for x in parts:
+        bad = x in odd
+        if held and not bad and not last:
+            out.append("".join(held))
+            held = []
+        held.append(x)
+        last = bad
+    return [*out, "".join(held)]
+
+
 def _runs(texts: Sequence, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, x in enumerate(texts):

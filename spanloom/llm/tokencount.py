@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.bpe import _runs, read_ranks
+from spanloom.llm.bpe import _runs, grouped, read_ranks
 from spanloom.llm.rows import others
 
 CACHE_WORDS = 600_000
@@ -80,11 +80,11 @@ class Counter:
             part = x.split(" ")
             part[1:] = [" " + p for p in part[1:]]
             pieces.append(part)
-        fresh = self._fresh(pieces)
-        odd = {x for x in fresh if not (x[-1:].isalnum() and x[1:2].isalnum()) and self.edge(x.removeprefix(" "))}
+        # Known pieces too: that ' ' is known says nothing of a text with three in a row.
+        odd = {x for x in set().union(*pieces) if not (x[-1:].isalnum() and x[1:2].isalnum()) and self.edge(x.removeprefix(" "))}
         if odd:
-            pieces = [self.split(t) if not odd.isdisjoint(p) else p for t, p in zip(texts, pieces, strict=True)]
-            fresh = self._fresh(pieces)
+            pieces = [p if odd.isdisjoint(p) else grouped(p, odd) for p in pieces]
+        fresh = self._fresh(pieces)
         cut = {x: [p.encode("utf-8", "surrogatepass") for p in self.split(x)] for x in fresh}
         done = self.terminals([p for part in cut.values() for p in part])
         for x, part in cut.items():

@@ -70,6 +70,14 @@ def test_parts_of_any_word(monkeypatch):
         assert CODER.in_parts(word.encode()).tolist() == TWIN.encode_ordinary(word)
 
 
+def test_runs_of_spaces_whatever_was_seen_before():
+    ranks = {bytes([i]): i for i in range(256)} | {b"  ": 256}
+    twin = tiktoken.Encoding("spaces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.Coder(ranks, public_tokenizers.PATTERN)
+    for text in ("a  b", "a   b", " c", "   c", "a b"):
+        assert ids(coder.code([text])[0][0]) == twin.encode_ordinary(text)
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (None, "two words", "c"), (None, "two words", "c")], "doc_id long, text string, ids string")
     got = bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect()
