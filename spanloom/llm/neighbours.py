@@ -10,8 +10,9 @@ For inner products of vectors of different length: vectors are scaled within ban
 nearly equal length, and what is missing to one becomes an additional component that
 queries have not.
 
-Tables, axes and parts of at most ``BLOCK`` vectors make the groups that tasks rank, so
-a bucket with a third of all vectors is many groups; queries go to each part. Best
+The vectors of a bucket are dealt into parts of about ``BLOCK``, and so are the queries
+that probe it. Each part of vectors with each part of queries is a group that a task
+ranks, so groups are bounded however large a bucket is or however often it is probed. Best
 lists are merged by query, where each group sends at most as many as are asked for.
 
 Queries that are left with fewer than were asked for, although there are more candidates
@@ -133,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     placed = stored(placed.join(parts, ["dim", "place"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts"), "placed")
     probed = _hashed(asked, probes, tables).select("id", "dim", F.explode("places").alias("place"))
     probed = probed.join(parts, ["dim", "place"])
-    group = ["dim", "place", "part"]
+    group = ["dim", "place", "part", "ask"]
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -151,9 +152,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
 
     def ranked(placed: DataFrame, probed: DataFrame) -> DataFrame:
         """The ``k`` best of the buckets that each query probes."""
-        probed = probed.select("id", "dim", "place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        blocks = placed.join(data.select("id", "v"), "id").groupBy(*group)
-        asking = probed.join(asked.select("id", "v"), "id").groupBy(*group)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asks = probed.groupBy("dim", "place").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("asks"))
+        blocks = placed.join(asks, ["dim", "place"]).join(data.select("id", "v"), "id").withColumn("ask", each("asks")).drop("asks").groupBy(*group)
+        dealt = probed.join(asks, ["dim", "place"]).withColumn("ask", F.pmod(F.xxhash64("id"), F.col("asks")).cast("int"))
+        asking = dealt.join(asked.select("id", "v"), "id").withColumn("part", each("parts")).drop("parts", "asks").groupBy(*group)
         found = blocks.cogroup(asking).applyInPandas(rank, "query_id long, vec_id long, score double")
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         # At most k for each table, probe and part.

@@ -80,3 +80,24 @@ def test_lone_queries_beside_a_large_group(spark):
         got[r["query_id"]].append(r["rank"])
     print("rows of each query", sorted(map(len, got.values())))
     assert all(ranks == list(range(1, 21)) for ranks in got.values())
+
+
+def test_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(400, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = lambda: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(df, df, k=10).collect())
+    want = rows()
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    grouped = type(df).groupBy
+    sizes = []
+
+    def counted(df, *cols):
+        if any(isinstance(c, str) and c == "part" for c in cols):
+            sizes.append(max([r["count"] for r in grouped(df, *cols).count().collect()], default=0))
+        return grouped(df, *cols)
+
+    monkeypatch.setattr(type(df), "groupBy", counted)
+    got = rows()
+    print("largest groups", sizes)
+    assert got == want
+    assert len(sizes) >= 2 and max(sizes) <= 48
