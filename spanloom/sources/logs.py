@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import first_truthy, parse_time, with_times
@@ -78,7 +78,8 @@ def scan_json_records(spark: SparkSession, path: str, form: str = "auto") -> Dat
 
     `lines` and `array` state the form. `auto` looks at the first character of each
     file, on the driver, which suits up to some thousand files. Array elements and
-    lines that are no object are dropped. A file with an array has no line structure
+    lines that are no object are dropped. Array elements are numbered on from file to
+    file, in the order of the paths, so arrays are of any size and number. A file with an array has no line structure
     and is read as one document.
     """
     if form == "auto":
@@ -97,13 +98,16 @@ def scan_json_records(spark: SparkSession, path: str, form: str = "auto") -> Dat
         )
     if arrays:
         whole = spark.read.text(arrays, wholetext=True).select(
-            F.monotonically_increasing_id().alias("file_no"), F.trim("value").alias("text")
+            F.col("_metadata.file_path").alias("file"), F.from_json(F.trim("value"), "array<string>").alias("items")
         )
-        items = whole.select("file_no", F.posexplode(F.from_json("text", "array<string>")).alias("i", "json"))
+        # One row for each file: how many elements the files before it have.
+        sizes = whole.select("file", F.coalesce(F.greatest(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+        before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+        items = whole.join(F.broadcast(before), "file").select("before", F.posexplode("items").alias("i", "json"))
         parts.append(
             items.filter(json_map(F.col("json")).isNotNull()).select(
                 # After all lines: those ids stay below 2^61.
-                (F.lit(1 << 61) + F.col("file_no") * F.lit(1 << 20) + F.col("i")).alias("seq"), "json"
+                (F.lit(1 << 61) + F.col("before") + F.col("i")).alias("seq"), "json"
             )
         )
     out = parts[0]

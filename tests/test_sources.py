@@ -38,6 +38,21 @@ def test_arrays_and_lines(spark, tmp_path):
     assert got == [{"c": 3}, {"a": 1}, {"b": 2}]
 
 
+def test_large_arrays_keep_their_numbers_apart(spark, tmp_path):
+    n = (1 << 20) + 5
+    (tmp_path / "a.json").write_text("[" + ",".join(['{"a":1}'] * n) + "]")
+    (tmp_path / "b.json").write_text("[" + ",".join(['{"b":1}'] * 9) + "]")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = logs.scan_json_records(spark, str(tmp_path)).groupBy(F.col("json").contains("b").alias("b"))
+        got = got.agg(F.count("*").alias("n"), F.count_distinct("seq").alias("ids"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+        a, b = got.orderBy("b").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert (a["n"], a["ids"], b["n"], b["ids"]) == (n, n, 9, 9)
+    assert a["last"] < b["first"]
+
+
 def test_agent_trace_file(spark, lines):
     def event(t, **orch):
         return {"sessionId": "s", "traceId": "t", "eventTime": t, "trace": {"orchestrationTrace": orch}}
