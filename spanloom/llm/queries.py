@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, extract, langid, nearcopies, neighbours, quality, repeats, tokencount, toxicity
+from spanloom.llm import (
+    bpe, centroids, covers, decontaminate, extract, langid, nearcopies, neighbours, quality, repeats, spelling, tokencount, toxicity,
+)
 from spanloom.llm.rows import crc_rest, prepared
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -110,6 +112,25 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_class", "stays")
 
 
+def op11_gram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, with the more frequent word each is a variant of."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), least_letters=5, least_count=3, noise=97)
+    return spelling.variants(words, ratio=2).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_pca_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector after three rounds from sixteen centroids."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return found.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_cover_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text when passages of an earlier document are removed."""
+    cut = covers.remove_later(table(spark, sf_dir, "documents"), span=13)
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_bayes": op1_ngram_bayes,
     "op2_winnowing": op2_winnowing,
@@ -121,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_co_training": op9_co_training,
     "op10_bagminhash": op10_bagminhash,
+    "op11_gram_variants": op11_gram_variants,
+    "op12_pca_centroids": op12_pca_centroids,
+    "op13_cover_passages": op13_cover_passages,
 }
 
 #: DuckDB text of the queries that SQL can express on whole tables.
