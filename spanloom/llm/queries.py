@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import (
-    bpe, centroids, covers, decontaminate, extract, langid, nearcopies, neighbours, quality, repeats, spelling, tokencount, toxicity,
+    bpe, centroids, covers, decontaminate, extract, langid, nearcopies, neighbours, quality, repeats, spelling, tokencount, toxicity, twins,
 )
 from spanloom.llm.rows import crc_rest, prepared
 
@@ -148,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB text of the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = twins.ORACLES
