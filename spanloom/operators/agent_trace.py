@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import truthy
-from spanloom.operators.ordering import BUCKET_SECONDS, rank_within, run_bucket
+from spanloom.operators.ordering import rank_within
 from spanloom.session import checkpoint
 
 PAIRS = {"model": ("model_in", "model_out"), "action": ("action_in", "action_out")}
@@ -58,11 +58,6 @@ def classify_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _slice(at: str) -> Column:
-    # Events without a readable time sort first.
-    return F.coalesce(F.floor(F.unix_seconds(at) / BUCKET_SECONDS), F.lit(-(1 << 40))).cast("long")
-
-
 def event_pairs(events: DataFrame) -> DataFrame:
     """(session, call, opened and closed event): an output belongs to the input of
     its kind right before it, among inputs and outputs of that kind."""
@@ -70,12 +65,11 @@ def event_pairs(events: DataFrame) -> DataFrame:
         F.col("kind").isin(*PAIRS["action"]), "action"
     )
     ends = events.withColumn("call", call).filter("call is not null")
-    ends = ends.withColumn("_slice", _slice("at"))
     ranked = rank_within(
         ends,
         ["session_id", "call"],
-        F.col("_slice"),
-        [F.col("at"), F.col("seq")],
+        # Events without a readable time come first.
+        [F.col("at").asc_nulls_first(), F.col("seq").asc()],
         previous=["kind", "seq", "at", "action_group", "payload"],
     )
     return ranked.filter(F.endswith("kind", F.lit("_out")) & F.endswith(F.col("prev.kind"), F.lit("_in"))).select(
@@ -120,10 +114,9 @@ def agent_spans(events: DataFrame) -> DataFrame:
         F.col("at").alias("_at"),
     )
     children = rank_within(
-        pairs.unionByName(rationales).withColumn("_slice", _slice("_at")),
+        pairs.unionByName(rationales),
         ["session_id"],
-        F.col("_slice"),
-        [F.col("_at"), F.col("seq")],
+        [F.col("_at").asc_nulls_first(), F.col("seq").asc()],
     ).select(
         "seq", "session_id",
         F.concat(F.lit("bedrock-"), "kind", F.lit("-"), F.lpad(F.col("pos").cast("string"), 3, "0")).alias("span_id"),
@@ -225,11 +218,11 @@ def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
     in_order = [F.col("id")]
     even_wants = rank_within(
         wants.filter(F.col("even") & ((F.col("r") & F.col("all_r")) | (F.col("s") & F.col("all_s")))).select(*key, "id"),
-        key, run_bucket("id.seq"), in_order,
+        key, in_order,
     )
     even_offers = rank_within(
         offers.join(kinds.filter("even").select(*key), key, "left_semi").select(*key, "id"),
-        key, run_bucket("id.seq"), in_order,
+        key, in_order,
     )
     even = even_wants.withColumnRenamed("id", "log_id").join(
         even_offers.withColumnRenamed("id", "trace_id"), [*key, "pos"]

@@ -1,9 +1,11 @@
-"""Positions inside a group, without putting a whole group into one task.
-
-A plain ``row_number() over (partition by trace order by time)`` sorts every row
-of a trace in one task. Here each group is cut into buckets that follow the order
-(time slices, id prefixes, runs of positions). Rows are numbered inside a bucket,
-and the bucket sizes, a far smaller table, give the offsets.
+"""Positions and running totals along an order, without any task seeing a whole group.
+
+A plain ``row_number() over (partition by trace order by time)`` sorts every row of a
+trace in one task. Here all rows are dealt into ranges of the whole order (group, then
+order within it), cut at sampled bounds, so that ranges are of about the same size
+however many rows one group, or one moment of it, has. The ranges are written once;
+rows are numbered within each range, and the rows a group has in earlier ranges, a far
+smaller table, are added.
 """
 
 from __future__ import annotations
@@ -11,79 +13,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A minute of one execution is what a single task sorts at most. Executions mostly
-# last seconds, so they fall into one or two buckets.
-BUCKET_SECONDS = 60
-BUCKET_ROWS = 100_000
-
-# Larger than any time bucket, so that rows without a time come last.
-_AFTER_TIMES = 1 << 40
-
+from spanloom.session import stored
 
-def time_bucket(at: str, seq: str = "seq", seconds: int = BUCKET_SECONDS) -> Column:
-    """Time slice of `at`; rows without a time follow, in runs of `seq`."""
-    return F.coalesce(
-        F.floor(F.unix_seconds(F.col(at)) / seconds),
-        F.lit(_AFTER_TIMES) + F.floor(F.col(seq) / BUCKET_ROWS),
-    ).cast("long")
 
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with ``_part``, the number of their range of ``order``, written to the shared
+    folder: bounds are sampled anew each time a plan runs, so later steps read what was
+    dealt once."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    return stored(dealt, "ranges")
 
-def time_or_text_bucket(at: str, text: str, seconds: int = BUCKET_SECONDS) -> Column:
-    """Time slice of `at`; rows without a time follow, by the first bytes of `text`."""
-    prefix = F.rpad(F.substring(F.hex(F.encode(F.col(text), "UTF-8")), 1, 14), 14, "0")
-    return F.coalesce(
-        F.floor(F.unix_seconds(F.col(at)) / seconds),
-        F.lit(_AFTER_TIMES) + F.conv(prefix, 16, 10).cast("long"),
-    ).cast("long")
 
-
-def run_bucket(seq: str, rows: int = BUCKET_ROWS) -> Column:
-    return F.floor(F.col(seq) / rows).cast("long")
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 def rank_within(
     df: DataFrame,
     by: list[str],
-    bucket: Column,
     order: list[Column],
     pos: str = "pos",
     previous: list[str] | None = None,
 ) -> DataFrame:
     """Add `pos`, the 1-based position of each row in its group.
 
-    `bucket` must never fall while `order` rises, and `by` must not be null. With
-    `previous`, also adds a struct `prev` of those columns of the row before.
+    `by` must not be null. With `previous`, also adds a struct `prev` of those columns
+    of the row before.
     """
-    inner = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    local = df.withColumn("_bucket", bucket).withColumn("_n", F.row_number().over(inner))
-    sizes = [F.count(F.lit(1)).alias("_size")]
+    columns = df.columns
+    dealt = in_ranges(df, [F.col(c).asc() for c in by] + order)
+    inner = Window.partitionBy(*by, "_part").orderBy(*order)
+    local = dealt.withColumn("_n", F.row_number().over(inner))
+    # One row for each group and range it is in.
     if previous:
         local = local.withColumn("_prev", F.lag(F.struct(*previous)).over(inner))
-        sizes.append(F.max(F.struct(_sort_struct(order).alias("k"), F.struct(*previous).alias("v")))["v"].alias("_last"))
-    outer = Window.partitionBy(*by).orderBy("_bucket")
-    offsets = (
-        df.withColumn("_bucket", bucket)
-        .groupBy(*by, "_bucket")
-        .agg(*sizes)
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_size").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-    )
-    keep = [*by, "_bucket", "_before"]
+        ends = local.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*by, "_part"))).filter("_n = _size")
+        sizes = ends.select(*by, "_part", F.col("_size"), F.struct(*previous).alias("_last"))
+    else:
+        sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    outer = Window.partitionBy(*by).orderBy("_part")
+    before = F.coalesce(F.sum("_size").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("_before", before)
+    keep = [*by, "_part", "_before"]
     if previous:
         offsets = offsets.withColumn("_carried", F.lag("_last").over(outer))
         keep.append("_carried")
-    joined = local.join(offsets.select(*keep), [*by, "_bucket"])
-    out = joined.withColumn(pos, F.col("_n") + F.col("_before"))
+    out = local.join(offsets.select(*keep), [*by, "_part"]).withColumn(pos, F.col("_n") + F.col("_before"))
     if previous:
         out = out.withColumn("prev", F.coalesce("_prev", "_carried"))
-    return out.select(*df.columns, pos, *(["prev"] if previous else []))
-
-
-def _sort_struct(order: list[Column]) -> Column:
-    # Used only inside one bucket, for picking its last row; callers that ask for
-    # `previous` order by plain ascending columns.
-    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    return out.select(*columns, pos, *(["prev"] if previous else []))
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """Add `name`, the sum of `value` over all rows earlier in `order`."""
+    columns = df.columns
+    dealt = in_ranges(df, [F.col(c).asc() for c in order])
+    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range.
+    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    outer = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_before"))
+    local = dealt.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return local.join(totals, "_part").select(*columns, (F.col("_before") + F.col("_local")).alias(name))

@@ -15,7 +15,7 @@ from spanloom.functions.values import (
     with_times,
 )
 from spanloom.operators.lookups import with_callers
-from spanloom.operators.ordering import rank_within, time_bucket
+from spanloom.operators.ordering import rank_within
 
 RETRY_KEY = ["component", "operation", "parent_span_id"]
 
@@ -25,7 +25,6 @@ def trace_order(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     return rank_within(
         with_times(spans),
         [by],
-        time_bucket("start_at"),
         [F.col("start_at").asc_nulls_last(), F.col("seq").asc()],
     )
 
@@ -131,7 +130,6 @@ def sequence_events(spans: DataFrame, by: str = "exec_id", payload_only: bool =
     return rank_within(
         rows,
         [by],
-        time_bucket("at"),
         [
             F.col("at").asc_nulls_last(),
             F.col("later").asc(),

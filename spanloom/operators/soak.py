@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import ratio, truthy
-from spanloom.operators.ordering import rank_within, run_bucket
+from spanloom.operators.ordering import rank_within
 
 # Error texts that mean throttling, first match decides the type.
 THROTTLE_TEXTS = [
@@ -150,7 +150,7 @@ def observed_rate_changes(iterations: DataFrame, rate: Column, run: str = "run",
     """(run, at, old_rate, new_rate, reason) between iterations of a run that follow
     each other: `throttle` if the later one was throttled, else `stability`."""
     rated = iterations.withColumn("new_rate", rate).select(run, at, "new_rate", "throttle_events")
-    ranked = rank_within(rated, [run], run_bucket(at), [F.col(at)], previous=["new_rate"])
+    ranked = rank_within(rated, [run], [F.col(at)], previous=["new_rate"])
     return ranked.filter(F.col("prev.new_rate") != F.col("new_rate")).select(
         run,
         F.col(at).alias("at"),

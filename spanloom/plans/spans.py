@@ -147,7 +147,7 @@ def invariants_summary(spark, d):
 
 
 def invariant_violations(spark, d):
-    return inv.invariant_violations(repeated_spans(spark, d))
+    return inv.invariant_violations(repeated_spans(spark, d), RULES)
 
 
 def required_components(spark, d):

@@ -5,29 +5,25 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import first_truthy, parse_time, with_times
 from spanloom.operators.normalise import RUNTIME_LINE_IN_FILE, is_json, json_map, normalise_records
 from spanloom.schema import SPAN_COLUMNS, SPAN_FILE_NAMES, TRACE_EVENT_SCHEMA
+from spanloom.sources.arrays import array_elements
+from spanloom.sources.positions import numbered_lines
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(seq, file, line) of all non-blank lines.
+    """(seq, file, number, line) of all non-blank lines.
 
-    `seq` rises with the position of a line inside its file: the high bits come from
-    the input split, so no global numbering pass is needed.
+    `number` is the line's number in its file and `seq` its place over all files, in the
+    order of their paths (blank lines count); both are the same into however many
+    blocks the files are cut.
     """
-    return (
-        spark.read.text(path)
-        .select(
-            F.monotonically_increasing_id().alias("seq"),
-            F.col("_metadata.file_path").alias("file"),
-            F.trim("value").alias("line"),
-        )
-        .filter(F.col("line") != "")
-    )
+    lines = numbered_lines(spark, path).withColumn("line", F.trim("value"))
+    return lines.filter(F.col("line") != "").select("seq", "file", "number", "line")
 
 
 def scan_log_lines(lines: DataFrame) -> DataFrame:
@@ -78,9 +74,8 @@ def scan_json_records(spark: SparkSession, path: str, form: str = "auto") -> Dat
 
     `lines` and `array` state the form. `auto` looks at the first character of each
     file, on the driver, which suits up to some thousand files. Array elements and
-    lines that are no object are dropped. Array elements are numbered on from file to
-    file, in the order of the paths, so arrays are of any size and number. A file with an array has no line structure
-    and is read as one document.
+    lines that are no object are dropped. Lines are numbered on from file to file in
+    the order of the paths, then array elements; see `array_elements`.
     """
     if form == "auto":
         firsts = _first_characters(spark, path)
@@ -97,19 +92,9 @@ def scan_json_records(spark: SparkSession, path: str, form: str = "auto") -> Dat
             )
         )
     if arrays:
-        whole = spark.read.text(arrays, wholetext=True).select(
-            F.col("_metadata.file_path").alias("file"), F.from_json(F.trim("value"), "array<string>").alias("items")
-        )
-        # One row for each file: how many elements the files before it have.
-        sizes = whole.select("file", F.coalesce(F.greatest(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
-        before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-        items = whole.join(F.broadcast(before), "file").select("before", F.posexplode("items").alias("i", "json"))
-        parts.append(
-            items.filter(json_map(F.col("json")).isNotNull()).select(
-                # After all lines: those ids stay below 2^61.
-                (F.lit(1 << 61) + F.col("before") + F.col("i")).alias("seq"), "json"
-            )
-        )
+        items = array_elements(spark, arrays).filter(json_map(F.col("json")).isNotNull())
+        # After all lines.
+        parts.append(items.select((F.lit(1 << 61) + F.col("seq")).alias("seq"), "json"))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

@@ -1,10 +1,11 @@
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import tree as tr
 from spanloom.operators.compare import path_signatures, path_texts
-from spanloom.operators.ordering import rank_within, time_bucket
+from spanloom.operators.ordering import in_ranges, rank_within, running_total
 from spanloom.operators.sequence import trace_order
 
 
@@ -17,7 +18,7 @@ def test_positions_across_many_buckets(spark):
     rows = [("hot", i, rnd.randrange(0, 10**6)) for i in range(400)] + [("cold", 1000 + i, i) for i in range(5)]
     df = spark.createDataFrame(rows, "g string, seq long, t long").withColumn("at", F.timestamp_seconds("t"))
     ranked = rank_within(
-        df, ["g"], time_bucket("at", seconds=1000), [F.col("t"), F.col("seq")], previous=["seq"]
+        df, ["g"], [F.col("at").asc(), F.col("seq").asc()], previous=["seq"]
     ).collect()
     for g in ("hot", "cold"):
         want = sorted((t, s) for gg, s, t in rows if gg == g)
@@ -27,6 +28,32 @@ def test_positions_across_many_buckets(spark):
         assert [p for *_, p in got] == [None] + [s for _, s in want[:-1]]
 
 
+def test_a_busy_minute_is_shared_by_all_tasks(spark):
+    n = 200_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("x"), F.col("id") % 700)).otherwise("hot").alias("g"),
+        F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 7919 % 60_000_000).alias("at"),
+    )
+    dealt = in_ranges(df, [F.col("g").asc(), F.col("at").asc(), F.col("seq").asc()])
+    sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.3 * n / 4
+    ranked = rank_within(df, ["g"], [F.col("at").asc(), F.col("seq").asc()])
+    plain = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("at", "seq")))
+    assert ranked.join(plain.select("seq", "want"), "seq").filter("pos <> want").isEmpty() and ranked.count() == n
+
+
+def test_running_total(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(1000), i, rnd.randrange(10)) for i in range(500)]
+    got = running_total(spark.createDataFrame(rows, "a int, b int, n long"), ["a", "b"], "n").collect()
+    total, want = 0, {}
+    for a, b, n in sorted(rows):
+        want[a, b] = total
+        total += n
+    assert {(r["a"], r["b"]): r["before"] for r in got} == want
+    assert running_total(spark.createDataFrame([], "a int, n long"), ["a"], "n").collect() == []
+
+
 def test_trace_order_puts_spans_without_start_last(make_spans):
     s = make_spans({"ts_start": None}, {"ts_start": stamp(5)}, {"ts_start": stamp(1)}, {"ts_start": None})
     got = {r["span_id"]: r["pos"] for r in trace_order(s).collect()}

@@ -43,7 +43,7 @@ def test_invariants(spark, make_spans):
         {"exec_id": "good", "component": "api"},
     )
     wanted = spark.createDataFrame([("bad",), ("good",), ("none",)], "exec_id string")
-    rows = run_invariants(s, InvariantConfig(required_components=["api"]), executions=wanted).collect()
+    rows = run_invariants(s, InvariantConfig(required_components=["api"], check_errors=True), executions=wanted).collect()
     failed = {(r["exec_id"], r["invariant"]) for r in rows if not r["passed"]}
     assert {i for e, i in failed if e == "bad"} == {
         "no_duplicate_span_ids", "has_entrypoint", "no_orphan_spans", "valid_timestamps",
@@ -53,6 +53,8 @@ def test_invariants(spark, make_spans):
     assert ("none", "has_spans") in failed
     orphans = [r["violations"] for r in rows if (r["exec_id"], r["invariant"]) == ("bad", "no_orphan_spans")]
     assert orphans == [2]
+    plain = run_invariants(s).collect()
+    assert "no_error_spans" not in {r["invariant"] for r in plain}
 
 
 def test_gaps(make_spans):
@@ -105,7 +107,7 @@ def test_messages_and_text_with_times(make_spans):
         "",
         "    loop Retries (up to 2 attempts)",
         "    entrypoint_web->>lambda_f_1: op [attempt 2]",
-        "    Note over entrypoint_web,lambda_f_1: trace:trace-12",
+        "    Note over entrypoint_web,lambda_f_1: trace:trace-123456",
         "",
         "    entrypoint_web-->>entrypoint_web: op response",
         "    Note over entrypoint_web,entrypoint_web: res=payloads/s0.response.json",
