@@ -28,15 +28,22 @@ def _plain_times(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def stream_executions(spark, d):
-    out = jobs.run_available(jobs.finished_executions(_span_stream(spark, d)), "executions")
+    parts = jobs.run_available(jobs.execution_parts(_span_stream(spark, d)), "executions")
+    out = jobs.executions_of(parts)
     return _plain_times(out, "window_start", "window_end").withColumn("duration_ms", F.round("duration_ms", 6))
 
 
 def stream_throttle(spark, d):
-    out = jobs.run_available(jobs.rolling_rates(_span_stream(spark, d)), "throttle")
+    out = jobs.rates_of(jobs.run_available(jobs.rate_parts(_span_stream(spark, d)), "throttle"))
     return _plain_times(out, "window_start", "window_end").withColumn("pass_rate", F.round("pass_rate", 6))
 
 
+def stream_repeats(spark, d):
+    spans = repeat_some_ids(_span_stream(spark, d)).select("span_id", "logged_at")
+    out = jobs.run_available(jobs.repeats_sorted_out(spans), "repeats")
+    return out.groupBy("span_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("first", "repeat", "late")])
+
+
 def stream_dedup(spark, d):
     once = jobs.without_repeats(repeat_some_ids(_span_stream(spark, d))).select("exec_id", "span_id")
     return jobs.run_available(once, "dedup")
@@ -53,27 +60,30 @@ def stream_normalise(spark, d):
     return out.select("seq", "span_id", "component", "ts_start", "attempt", "trace_id", "request_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_executions, stream_throttle, stream_dedup, stream_redact, stream_normalise)}
+QUERIES = {f.__name__: f for f in (stream_executions, stream_throttle, stream_repeats, stream_dedup, stream_redact, stream_normalise)}
 
-# --- DuckDB twins: a window is written once the watermark has passed its end ---
+# --- DuckDB twins: a window is open until the watermark has passed its end ---
 
-_LIMIT = "(SELECT max(logged_at) - INTERVAL 10 MINUTE FROM spans)"
+_LIMIT = "(SELECT date_trunc('milliseconds', max(logged_at)) - INTERVAL 10 MINUTE FROM spans)"
 
 ORACLES = {
     "stream_executions": on_spans(
         f"""SELECT exec_id, min(logged_at) AS window_start, max(logged_at) + INTERVAL 30 MINUTE AS window_end, count(*) AS span_count,
           count(error) AS error_count, count(*) FILTER (attempt > 1) AS retry_count,
           CASE WHEN count(error) > 0 THEN 'error' WHEN count(*) FILTER (attempt > 1) > 0 THEN 'warning' ELSE 'passed' END AS status,
-          round(coalesce((epoch_us(max(end_at)) - epoch_us(min(start_at))) / 1000.0, 0.0), 6) AS duration_ms
+          round(coalesce((epoch_us(max(end_at)) - epoch_us(min(start_at))) / 1000.0, 0.0), 6) AS duration_ms,
+          max(logged_at) + INTERVAL 30 MINUTE > {_LIMIT} AS open
         FROM (SELECT *, sum(fresh) OVER (PARTITION BY exec_id ORDER BY logged_at) AS part
-          FROM (SELECT *, coalesce(logged_at - lag(logged_at) OVER (PARTITION BY exec_id ORDER BY logged_at) > INTERVAL 30 MINUTE, true)::INT AS fresh FROM spans))
-        GROUP BY exec_id, part HAVING max(logged_at) + INTERVAL 30 MINUTE <= {_LIMIT}"""),
+          FROM (SELECT *, coalesce(logged_at - lag(logged_at) OVER (PARTITION BY exec_id ORDER BY logged_at) >= INTERVAL 30 MINUTE, true)::INT AS fresh FROM spans))
+        GROUP BY exec_id, part"""),
     "stream_throttle": on_spans(
         f"""SELECT date_trunc('hour', logged_at) AS window_start, date_trunc('hour', logged_at) + INTERVAL 1 HOUR AS window_end, count(*) AS spans,
           CAST(sum((contains({_ERR}, 'throttlingexception') OR contains({_ERR}, 'rate exceeded'))::INT
             + coalesce(attempt - 1 >= 3, false)::INT + contains({_ERR}, 'timeout')::INT) AS BIGINT) AS throttle_events,
-          round(count(*) FILTER (NOT {sql_truthy('error')}) / count(*), 6) AS pass_rate
-        FROM spans GROUP BY 1, 2 HAVING date_trunc('hour', any_value(logged_at)) + INTERVAL 1 HOUR <= {_LIMIT}"""),
+          round(count(*) FILTER (NOT {sql_truthy('error')}) / count(*), 6) AS pass_rate,
+          date_trunc('hour', any_value(logged_at)) + INTERVAL 1 HOUR > {_LIMIT} AS open
+        FROM spans GROUP BY 1, 2"""),
+    "stream_repeats": on_spans("SELECT span_id, 1 AS first, count(*) - 1 AS repeat, 0 AS late FROM repeated GROUP BY span_id", REPEATED),
     "stream_dedup": on_spans("SELECT any_value(exec_id) AS exec_id, span_id FROM repeated GROUP BY span_id", REPEATED),
     "stream_redact": f"SELECT doc_id, {_redact('text')} AS text FROM documents",
     "stream_normalise": sql(

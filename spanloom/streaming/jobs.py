@@ -13,6 +13,7 @@ from spanloom.operators.normalise import parse_events
 from spanloom.operators.soak import throttle_signs
 from spanloom.session import scratch_path
 from spanloom.sources.sinks import redact_spans
+from spanloom.streaming.states import parts_of, sorted_out, whole
 
 SESSION_GAP = "30 minutes"
 LATENESS = "10 minutes"
@@ -42,63 +43,94 @@ def redact_stream(texts: DataFrame, column: str, config: RedactionConfig = Redac
     return texts.withColumn(column, redact_text(F.col(column), config))
 
 
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+def duration_us(text: str) -> int:
+    """`30 minutes` and the like in microseconds."""
+    number, unit = text.split()
+    return int(number) * _UNITS[unit.rstrip("s")] * 1_000_000
+
+
 def _watermarked(spans: DataFrame, at: str, lateness: str) -> DataFrame:
     return spans.withWatermark(at, lateness)
 
 
-def finished_executions(
+def execution_parts(
     spans: DataFrame, by: str = "exec_id", at: str = "logged_at", gap: str = SESSION_GAP, lateness: str = LATENESS
 ) -> DataFrame:
-    """One row per execution once nothing came for `gap`; for append mode.
-
-    Sums and sets are merged per session on the map side; state is one row per open
-    execution, however many spans it has.
-    """
-    facts = (
-        _watermarked(spans, at, lateness)
-        .groupBy(F.session_window(at, gap).alias("w"), by)
-        .agg(
-            F.count(F.lit(1)).alias("span_count"),
-            F.count_if(present("error")).alias("error_count"),
-            F.count_if(F.col("attempt") > 1).alias("retry_count"),
-            F.min("start_at").alias("started_at"),
-            F.max("end_at").alias("ended_at"),
-        )
+    """Executions of a stream as parts that are open, closed (nothing came for `gap`) or
+    late; `executions_of` puts the written table together. Rows without a time are left
+    out."""
+    timed = _watermarked(spans, at, lateness).filter(F.col(at).isNotNull())
+    one = lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    rows = timed.select(
+        F.col(by).cast("string").alias("key"),
+        F.unix_micros(at).alias("start"),
+        F.unix_micros(at).alias("last"),
+        F.array(F.lit(1).cast("long"), one(present("error")), one(F.col("attempt") > 1)).alias("sums"),
+        F.unix_micros("start_at").alias("low"),
+        F.unix_micros("end_at").alias("high"),
     )
-    return facts.select(
-        by,
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
-        "span_count",
-        "error_count",
-        "retry_count",
-        execution_status(F.col("error_count"), F.col("retry_count")).alias("status"),
-        F.coalesce((F.unix_micros("ended_at") - F.unix_micros("started_at")) / F.lit(1000.0), F.lit(0.0)).alias(
-            "duration_ms"
-        ),
+    return parts_of(rows, duration_us(gap))
+
+
+def executions_of(parts: DataFrame, by: str = "exec_id", gap: str = SESSION_GAP) -> DataFrame:
+    """One row per execution out of `execution_parts`, those still open included (`open`)
+    and late rows counted in."""
+    reach = duration_us(gap)
+    n = F.col("sums")
+    return whole(parts, reach).select(
+        F.col("key").alias(by),
+        F.timestamp_micros("start").alias("window_start"),
+        F.timestamp_micros(F.col("last") + reach).alias("window_end"),
+        n[0].alias("span_count"),
+        n[1].alias("error_count"),
+        n[2].alias("retry_count"),
+        execution_status(n[1], n[2]).alias("status"),
+        F.coalesce((F.col("high") - F.col("low")) / F.lit(1000.0), F.lit(0.0)).alias("duration_ms"),
+        "open",
     )
 
 
-def rolling_rates(
+def rate_parts(
     spans: DataFrame, at: str = "logged_at", width: str = "1 hour", slide: str | None = None, lateness: str = LATENESS
 ) -> DataFrame:
-    """Spans, throttle signs and the share of spans without error per time window."""
-    window = F.window(at, width, slide) if slide else F.window(at, width)
-    facts = (
-        _watermarked(spans, at, lateness)
-        .groupBy(window.alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("spans"),
-            F.sum(throttle_signs(spans.columns)).alias("throttle_events"),
-            F.count_if(~truthy("error")).alias("passed"),
-        )
+    """Spans, throttle signs and spans without error per time window, as parts that are
+    open, closed or late; `rates_of` puts the written table together."""
+    window = F.window("at", width, slide) if slide else F.window("at", width)
+    one = lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    facts = _watermarked(spans, at, lateness).select(
+        F.timestamp_micros(F.unix_micros(at)).alias("at"), throttle_signs(spans.columns).alias("signs"), (~truthy("error")).alias("passed")
     )
-    return facts.select(
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
-        "spans",
-        "throttle_events",
-        (F.col("passed") / F.col("spans")).alias("pass_rate"),
+    rows = facts.filter("at IS NOT NULL").select(window.alias("w"), "signs", "passed").select(
+        F.unix_micros("w.start").cast("string").alias("key"),
+        F.unix_micros("w.start").alias("start"),
+        F.unix_micros("w.end").alias("last"),
+        F.array(F.lit(1).cast("long"), one(F.col("signs")), one(F.col("passed"))).alias("sums"),
+        F.lit(None).cast("long").alias("low"),
+        F.lit(None).cast("long").alias("high"),
+    )
+    return parts_of(rows, 0)
+
+
+def rates_of(parts: DataFrame) -> DataFrame:
+    """One row per window out of `rate_parts`, those still open included (`open`)."""
+    n = F.col("sums")
+    return whole(parts, 0).select(
+        F.timestamp_micros("start").alias("window_start"),
+        F.timestamp_micros("last").alias("window_end"),
+        n[0].alias("spans"),
+        n[1].alias("throttle_events"),
+        (n[2] / n[0]).alias("pass_rate"),
+        "open",
+    )
+
+
+def late_parts(parts: DataFrame) -> DataFrame:
+    """(key, start, last, rows): what came after its time had been closed."""
+    return parts.filter("kind = 'late'").select(
+        "key", F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), F.col("sums")[0].alias("rows")
     )
 
 
@@ -107,6 +139,12 @@ def without_repeats(spans: DataFrame, at: str = "logged_at", lateness: str = "1
     return _watermarked(spans, at, lateness).dropDuplicatesWithinWatermark(["span_id"])
 
 
+def repeats_sorted_out(spans: DataFrame, at: str = "logged_at", lateness: str = "1 day") -> DataFrame:
+    """All spans with `kind`: the `first` of its id within `lateness`, a `repeat` of
+    one, or `late`."""
+    return sorted_out(_watermarked(spans, at, lateness), "span_id", at, duration_us(lateness) // 1000)
+
+
 def run_available(
     stream: DataFrame, name: str, partition_by: list[str] | None = None, folder: str | None = None
 ) -> DataFrame:
