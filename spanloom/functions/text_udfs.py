@@ -164,9 +164,43 @@ def _dict_json(text: str) -> str | None:
 
 _unpack_udf = _on_text(T.StringType(), _unpack_line)
 _dict_udf = _on_text(T.StringType(), _dict_json)
-searchable_text = _on_text(T.StringType(), lambda t: searchable(_json(t)))
-flat_values = _on_text(T.MapType(T.StringType(), T.StringType()), lambda t: flattened(_json(t)))
-nested_data = _on_text(T.ArrayType(T.StringType()), lambda t: nested_objects(_json(t)))
+_searchable_udf = _on_text(T.StringType(), lambda t: searchable(_json(t)))
+_flat_udf = _on_text(T.MapType(T.StringType(), T.StringType()), lambda t: flattened(_json(t)))
+_nested_udf = _on_text(T.ArrayType(T.StringType()), lambda t: nested_objects(_json(t)))
+
+# An object of strings and whole numbers, without a bracket or an escaped one anywhere:
+# nothing is nested, and text shows values as written.
+_FLAT = r"""^\s*\{\s*("(?:[^"\\{}\[\]]++|\\[^u])*+"\s*:\s*("(?:[^"\\{}\[\]]++|\\[^u])*+"|-?(0|[1-9][0-9]{0,17}))\s*(,\s*(?=")|(?=\})))+\}\s*$"""
+
+# The pattern calls itself for each key and each escape; longer records go to Python.
+_FLAT_MOST = 4000
+
+
+def _flat_map(json_text: Column) -> Column:
+    """MAP of a record that is flat, else null; its keys stand in their order."""
+    short = F.length(json_text) <= _FLAT_MOST
+    record = F.from_json(F.when(short & json_text.rlike(_FLAT), json_text), "map<string,string>")
+    # A key written twice would count once.
+    return F.when(F.size(F.json_object_keys(json_text)) == F.size(F.array_distinct(F.map_keys(record))), record)
+
+
+def searchable_text(json_text: Column) -> Column:
+    """`key=value` text of a record. Flat records do not enter Python."""
+    flat = _flat_map(json_text)
+    parts = F.transform(F.map_entries(flat), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.coalesce(F.array_join(parts, " "), _searchable_udf(F.when(flat.isNull(), json_text)))
+
+
+def flat_values(json_text: Column) -> Column:
+    """MAP of path to value of a record. Flat records do not enter Python."""
+    flat = _flat_map(json_text)
+    return F.coalesce(flat, _flat_udf(F.when(flat.isNull(), json_text)))
+
+
+def nested_data(json_text: Column) -> Column:
+    """Objects inside strings. Flat records do not enter Python."""
+    flat = _flat_map(json_text)
+    return F.coalesce(F.when(flat.isNotNull(), F.array().cast("array<string>")), _nested_udf(F.when(flat.isNull(), json_text)))
 
 # A string value that itself starts like JSON.
 _STRING_HOLDS_JSON = r"""[:\[,]\s*"\s*(\{|\[|\\")"""

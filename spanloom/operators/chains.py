@@ -136,7 +136,7 @@ def component_counts(entries: DataFrame) -> DataFrame:
 def chain_spans(chained: DataFrame) -> DataFrame:
     """Chains as spans: each entry's parent is the entry before it. Needs the payload."""
     bridges = primary_bridges(bridge_values(chained))
-    ranked = rank_within(chained, ["chain_id"], [F.col("idx").asc()])
+    ranked = rank_within(chained, ["chain_id"], [F.col("idx")])
     chat = F.filter("correlation_values", lambda v: v["value_type"] == "slack_ts")
     thread = F.coalesce(F.get(F.transform(chat, lambda v: v["value"]), F.lit(0)), F.col("bridge"))
     at = entry_time("record")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import ratio, truthy, unreadable_time, with_times
-from spanloom.operators.ordering import rank_within
+from spanloom.operators.ordering import nulls_last, rank_within
 
 
 def path_steps(spans: DataFrame, by: str = "exec_id") -> DataFrame:
@@ -16,7 +16,7 @@ def path_steps(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     return rank_within(
         spans,
         [by],
-        [F.col("start_at").asc_nulls_last(), untimed.asc_nulls_first(), F.col("seq").asc()],
+        [*nulls_last("start_at"), untimed, F.col("seq")],
     )
 
 

@@ -15,7 +15,7 @@ from spanloom.functions.values import (
     with_times,
 )
 from spanloom.operators.lookups import with_callers
-from spanloom.operators.ordering import rank_within
+from spanloom.operators.ordering import nulls_last, rank_within
 
 RETRY_KEY = ["component", "operation", "parent_span_id"]
 
@@ -25,7 +25,7 @@ def trace_order(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     return rank_within(
         with_times(spans),
         [by],
-        [F.col("start_at").asc_nulls_last(), F.col("seq").asc()],
+        [*nulls_last("start_at"), F.col("seq")],
     )
 
 
@@ -131,10 +131,10 @@ def sequence_events(spans: DataFrame, by: str = "exec_id", payload_only: bool =
         rows,
         [by],
         [
-            F.col("at").asc_nulls_last(),
-            F.col("later").asc(),
-            F.col("start_at").asc_nulls_last(),
-            F.col("seq").asc(),
+            *nulls_last("at"),
+            F.col("later"),
+            *nulls_last("start_at"),
+            F.col("seq"),
         ],
     )
 

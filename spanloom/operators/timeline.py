@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import component_type, truthy, with_times
-from spanloom.operators.ordering import rank_within
+from spanloom.operators.ordering import nulls_last, rank_within
 
 MIN_RANGE_MS = 100.0
 MIN_BAR_MS = 1.0
@@ -36,7 +36,7 @@ def timeline_positions(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     ranked = rank_within(
         placed,
         [by],
-        [F.col("_at").asc_nulls_last(), F.col("start_at").isNull().asc(), F.col("seq").asc()],
+        [*nulls_last("_at"), F.col("start_at").isNull(), F.col("seq")],
     )
     row = F.col("pos") - 1
     timed = F.col("_min").isNotNull()

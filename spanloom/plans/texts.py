@@ -18,7 +18,7 @@ from spanloom.operators import normalise as nm
 from spanloom.operators import profile as pf
 from spanloom.operators import validate as vl
 from spanloom.plans.oracle import EV, LINES, sql
-from spanloom.sources.driver_tables import raw_logs, table
+from spanloom.sources.driver_tables import raw_logs, spread, table
 from spanloom.sources.logs import scan_log_lines, varied_counters
 
 
@@ -157,7 +157,7 @@ def inferred_components(spark, d):
 
 
 def redacted_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", redact_text(F.col("text")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", redact_text(F.col("text")).alias("text"))
 
 
 def redaction_counts(spark, d):

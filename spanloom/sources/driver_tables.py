@@ -35,6 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt into as many partitions as the setting `spanloom.partitions` states;
+    as it is where that is unset. For a few small files with much work on each row; large
+    inputs have parts enough."""
+    parts = df.sparkSession.conf.get("spanloom.partitions", None)
+    return df.repartition(int(parts)) if parts else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` with a zoned time, the number in `props`, and execution parts."""
     return numbered_events(table(spark, sf_dir, "events"))
@@ -143,7 +151,7 @@ REQUEST_UUID = (
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, timestamp, message): one log line per event."""
-    return log_lines_of(numbered_events(table(spark, sf_dir, "events")))
+    return log_lines_of(numbered_events(spread(table(spark, sf_dir, "events"))))
 
 
 def log_lines_of(ev: DataFrame) -> DataFrame:

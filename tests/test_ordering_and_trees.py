@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import tree as tr
 from spanloom.operators.compare import path_signatures, path_texts
-from spanloom.operators.ordering import in_ranges, rank_within, running_total
+from spanloom.operators import ordering
+from spanloom.operators.ordering import nulls_last, parted, rank_within, running_total
 from spanloom.operators.sequence import trace_order
 
 
@@ -18,7 +20,7 @@ def test_positions_across_many_buckets(spark):
     rows = [("hot", i, rnd.randrange(0, 10**6)) for i in range(400)] + [("cold", 1000 + i, i) for i in range(5)]
     df = spark.createDataFrame(rows, "g string, seq long, t long").withColumn("at", F.timestamp_seconds("t"))
     ranked = rank_within(
-        df, ["g"], [F.col("at").asc(), F.col("seq").asc()], previous=["seq"]
+        df, ["g"], [F.col("at"), F.col("seq")], previous=["seq"]
     ).collect()
     for g in ("hot", "cold"):
         want = sorted((t, s) for gg, s, t in rows if gg == g)
@@ -28,18 +30,25 @@ def test_positions_across_many_buckets(spark):
         assert [p for *_, p in got] == [None] + [s for _, s in want[:-1]]
 
 
-def test_a_busy_minute_is_shared_by_all_tasks(spark):
+@pytest.mark.parametrize("sent", [ordering.SENT_RANGES, 0])
+def test_a_busy_minute_is_shared_by_all_tasks(spark, monkeypatch, sent):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 10_000)
+    monkeypatch.setattr(ordering, "SENT_RANGES", sent)
     n = 200_000
     df = spark.range(n).select(
         F.when(F.col("id") % 50 == 0, F.concat(F.lit("x"), F.col("id") % 700)).otherwise("hot").alias("g"),
-        F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 7919 % 60_000_000).alias("at"),
+        F.col("id").alias("seq"),
+        # One moment holds a third of all rows, some have none.
+        F.when(F.col("id") % 97 > 0, F.timestamp_micros(F.when(F.col("id") % 3 > 0, F.col("id") * 7919 % 60_000_000).otherwise(5))).alias("at"),
     )
-    dealt = in_ranges(df, [F.col("g").asc(), F.col("at").asc(), F.col("seq").asc()])
-    sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
-    assert len(sizes) == 4 and max(sizes) < 1.3 * n / 4
-    ranked = rank_within(df, ["g"], [F.col("at").asc(), F.col("seq").asc()])
-    plain = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("at", "seq")))
-    assert ranked.join(plain.select("seq", "want"), "seq").filter("pos <> want").isEmpty() and ranked.count() == n
+    order = [*nulls_last("at"), F.col("seq")]
+    sizes = [r["count"] for r in parted(df, ["g"], order).filter("g = 'hot'").groupBy("_part").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 2 * 10_000
+    ranked = rank_within(df, ["g"], order, previous=["seq"])
+    w = Window.partitionBy("g").orderBy(F.col("at").asc_nulls_last(), "seq")
+    plain = df.select("seq", F.row_number().over(w).alias("want"), F.lag("seq").over(w).alias("want_prev"))
+    bad = ranked.join(plain, "seq").filter("pos <> want OR NOT (prev.seq <=> want_prev)")
+    assert bad.isEmpty() and ranked.count() == n
 
 
 def test_running_total(spark):
