@@ -5,9 +5,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before has
 ``run`` writes each stage's rows to the shared folder and reads them again. Columns
 that a stage does not know pass through all stages but the last.
 
-A stage's own intermediate tables are needed until its rows have been written. A stage
-that is given a table as it was written therefore drops those that earlier stages of
-this session have left; given anything else, it drops nothing.
+A stage that needs intermediate tables writes its own rows before it returns, and drops
+those tables then, and no others. The rows it wrote stay until the caller empties the
+folder; ``run`` drops those of a stage once the next one has written its own.
 """
 
 from __future__ import annotations
@@ -28,23 +28,16 @@ from spanloom.session import prepare
 LEAST_SCORE = 0.5
 
 
-#: Intermediate tables by application.
-_LEFT: dict[str, list[str]] = {}
-
-
 def _stage(work: Callable) -> Callable:
     @wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         prepared(spark)
-        left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
-        if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
-            drop(spark, left)
-            left.clear()
-        with noted() as paths:
-            try:
-                return work(spark, docs, sf_dir)
-            finally:
-                left += paths
+        with noted() as own:
+            rows = work(spark, docs, sf_dir)
+        if own:
+            rows = stored(rows, f"rows-{work.__name__}")
+            drop(spark, own)
+        return rows
 
     return run
 
@@ -125,7 +118,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     with noted() as tables:
         for name, stage in STAGES[:-1]:
-            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            had = len(tables)
+            docs = stage(spark, docs, sf_dir)
+            if len(tables) == had:
+                docs = stored(docs, f"pipeline-{name}")
             drop(spark, tables[:-1])
             del tables[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
