@@ -49,6 +49,16 @@ def test_stages_one_by_one(spark, tmp_path):
     assert all(list(five[i]["ids"]) == twin.encode_ordinary(four[i]["text"]) and five[i]["text"] == four[i]["text"] for i in four)
 
 
+def test_a_stage_keeps_its_hands_off_the_rows_of_another(spark, tmp_path):
+    texts = [sentence(i, 60) + " " + sentence(100, 60) for i in range(6)]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "docs"))
+    given = lambda: spark.read.parquet(str(tmp_path / "docs"))
+    first = cp.without_repeats(spark, given(), str(tmp_path))
+    copies = cp.without_copies(spark, given(), str(tmp_path))
+    cp.identified(spark, given(), str(tmp_path)).count()
+    assert first.count() == 6 and copies.count() == 6
+
+
 def test_empty_and_unlabelled(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = docs_of(spark, ["some words", None, "x 1"]).withColumn("lang", cp.F.lit(None).cast("string"))
