@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.hashing import Substrings, sliding_min
-from spanloom.llm.rows import KEY, as_bytes, packed, steps, stored
+from spanloom.llm.rows import KEY, as_bytes, drop, noted, packed, steps, stored
 
 GRAM = 41
 BLOCKS = (16, 4, 1)
@@ -205,9 +205,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, text_co
     be null and have any name.
     """
     given = packed(docs, text_col, id_col)
-    starts = repeated_starts(packed(docs, text_col, id_col, keep=False), length, gram)
+    with noted() as paths:
+        starts = repeated_starts(packed(docs, text_col, id_col, keep=False), length, gram)
     # Neighbouring runs of starts become one span; a text's own runs are sorted within it.
-    spans = starts.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    spans = stored(starts.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")), "spans")
+    # Before the texts are moved, what led to the spans goes.
+    drop(docs.sparkSession, paths)
     return _cut(given.join(spans, KEY, "left"), length)
 
 
