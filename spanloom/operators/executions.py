@@ -93,6 +93,11 @@ def view_totals(spans: DataFrame) -> DataFrame:
     )
 
 
+def rule_statistics(results: DataFrame) -> DataFrame:
+    """One row: rules checked over all executions (`run_invariants`) and rules passed."""
+    return results.agg(F.count_if("passed").alias("invariants_passed"), F.count(F.lit(1)).alias("invariants_total"))
+
+
 def run_statistics(spans: DataFrame) -> DataFrame:
     """Spans, distinct components and operations, error spans of a whole run."""
     pairs = spans.groupBy("component", "operation").agg(

@@ -64,6 +64,12 @@ def timeline_positions(spans: DataFrame, by: str = "exec_id") -> DataFrame:
     )
 
 
+def with_critical(positions: DataFrame, critical: DataFrame, by: str = "exec_id") -> DataFrame:
+    """Add `is_critical`: whether a bar lies on the critical path."""
+    path = critical.select(by, "span_id").distinct().withColumn("_on", F.lit(True))
+    return positions.join(path, [by, "span_id"], "left").withColumn("is_critical", F.coalesce("_on", F.lit(False))).drop("_on")
+
+
 def timeline_statistics(positions: DataFrame, critical: DataFrame, by: str = "exec_id") -> DataFrame:
     """Summed duration, spans on the critical path and failed spans per execution."""
     path = critical.groupBy(by).agg(F.count(F.lit(1)).alias("critical_spans"))

@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import graph, results, spans, streams, texts
+from spanloom.plans import files, graph, results, spans, streams, texts
 from spanloom.session import prepare
 
-MODULES = [spans, texts, graph, results, streams]
+MODULES = [spans, texts, graph, results, streams, files]
 
 
 def _prepared(query: Callable[[SparkSession, str], DataFrame]):

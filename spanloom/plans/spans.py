@@ -82,6 +82,16 @@ def timeline_positions(spark, d):
     )
 
 
+def timeline_bars(spark, d):
+    s = spans(spark, d)
+    bars = tl.with_critical(tl.timeline_positions(s), tr.critical_path(tr.resolve(s)))
+    return bars.select("exec_id", "span_id", "row", "is_critical")
+
+
+def rule_statistics(spark, d):
+    return ex.rule_statistics(inv.run_invariants(repeated_spans(spark, d), RULES))
+
+
 def timeline_statistics(spark, d):
     s = spans(spark, d)
     stats = tl.timeline_statistics(tl.timeline_positions(s), tr.critical_path(tr.resolve(s)))
@@ -249,7 +259,7 @@ QUERIES = {
         span_descendants, critical_path, orphan_spans, invariants_long, invariants_summary,
         invariant_violations, required_components, logging_gaps, gap_rollup, path_steps, path_texts, path_signatures,
         path_stats, compare_deltas, compare_verdict, window_scan, id_filter_scan, search_spans,
-        filtered_spans, span_payloads,
+        filtered_spans, span_payloads, timeline_bars, rule_statistics,
     )
 }
 
@@ -429,6 +439,12 @@ ORACLES = {
           round(a, 6) AS start_ms, round(b, 6) AS end_ms, round(greatest(b - a, 1.0), 6) AS duration_ms,
           round(greatest((epoch_us(hi) - epoch_us(lo)) / 1000.0, 100.0), 6) AS range_ms,
           lower(split_part(component, ':', 1)) AS component_type, {sql_truthy('error')} AS has_error FROM placed""", _BOUNDS),
+    "timeline_bars": on_spans(
+        """SELECT p.exec_id, p.span_id, row_number() OVER (PARTITION BY p.exec_id ORDER BY moment, start_at IS NULL, seq) - 1 AS row,
+          c.span_id IS NOT NULL AS is_critical FROM placed p LEFT JOIN critical c ON p.exec_id = c.exec_id AND p.span_id = c.span_id""",
+        _BOUNDS, _CRITICAL),
+    "rule_statistics": on_spans(
+        "SELECT count(*) FILTER (violations = 0) AS invariants_passed, count(*) AS invariants_total FROM long", REPEATED, _RULES.replace("{t}", "repeated")),
     "timeline_statistics": on_spans(
         f"""SELECT exec_id, round(sum(greatest(b - a, 1.0)), 6) AS total_duration_ms, count(*) FILTER ({sql_truthy('error')}) AS error_spans,
           coalesce(any_value(n), 0) AS critical_spans

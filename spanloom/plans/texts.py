@@ -101,7 +101,7 @@ def id_harvest(spark, d):
 def document_ids(spark, d):
     text = F.col("text")
     return table(spark, d, "documents").select(
-        "doc_id", *[F.array_join(pf.harvest(text, n), "|").alias(n) for n in ("session_ids", "slack_users", "uuids", "arns")]
+        "doc_id", *[F.array_join(pf.harvest(text, n), "|").alias(n) for n in pf.HARVEST]
     )
 
 
@@ -354,7 +354,7 @@ ORACLES = {
           CASE WHEN style IN (4, 5, 6) THEN thread_id END AS thread_id, CASE WHEN style = 6 THEN session_id END AS session_id FROM ids""", _IDS),
     "id_harvest": on_lines(f"SELECT seq, {', '.join(_joined(n, 'message') for n in pf.HARVEST)} FROM lines"),
     "document_ids": "SELECT doc_id, " + ", ".join(
-        _joined(n, "text") for n in ("session_ids", "slack_users", "uuids", "arns")) + " FROM documents",
+        _joined(n, "text") for n in pf.HARVEST) + " FROM documents",
     "fact_sheets": on_lines(
         f"""SELECT seq, level, CASE WHEN style = 4 THEN 'shop-orchestrator' END AS appname, CASE WHEN style = 4 THEN 'main' END AS logger_name,
           timestamp_parsed, inferred AS component, round(CASE WHEN best.s > 0 THEN least(best.s, 1.0) ELSE 0.0 END, 6) AS confidence,

@@ -271,14 +271,40 @@ def spans_by_id(
 def search_spans(spans: DataFrame, text: str, fuzzy: int | None = None) -> DataFrame:
     """Spans whose operation, component or id contains a text, ignoring case; with
     `fuzzy`, names within that edit distance count too."""
+    return spans.filter(_found(["operation", "component", "span_id"], text, fuzzy))
+
+
+def search_rows(rows: DataFrame, text: str, columns: list[str], fuzzy: int | None = None, sort: str | None = None, ascending: bool = True) -> DataFrame:
+    """Rows of any table (cases, iterations, executions) found by a text in `columns`,
+    sorted by a column if one is given; nulls come last, ties by `columns`."""
+    found = rows.filter(_found(columns, text, fuzzy))
+    if sort is None:
+        return found
+    first = F.col(sort).asc_nulls_last() if ascending else F.col(sort).desc_nulls_last()
+    return found.orderBy(first, *columns)
+
+
+def _found(columns: list[str], text: str, fuzzy: int | None) -> Column:
     low = text.lower()
-    names = ["operation", "component", "span_id"]
     match = F.lit(False)
-    for c in names:
-        match = match | F.contains(F.lower(c), F.lit(low))
+    for c in columns:
+        name = F.lower(F.col(c).cast("string"))
+        match = match | F.contains(name, F.lit(low))
         if fuzzy is not None:
-            match = match | (F.levenshtein(F.lower(c), F.lit(low), fuzzy) >= 0)
-    return spans.filter(match)
+            match = match | _within(name, low, fuzzy)
+    return match
+
+
+def _within(name: Column, text: str, most: int) -> Column:
+    """Edit distance of at most `most`, computed only for names that can be so near: each
+    edit changes the length by one at most and spoils two pairs of letters at most."""
+    pairs = sorted({text[i : i + 2] for i in range(len(text) - 1)})
+    near = F.abs(F.length(name) - len(text)) <= most
+    if len(pairs) > 2 * most:
+        # Equal pairs of the text count once; an edit spoils each place of them apart.
+        shared = sum((F.contains(name, F.lit(p)).cast("int") for p in pairs), F.lit(0))
+        near = near & (shared >= len(pairs) - 2 * most)
+    return near & (F.levenshtein(name, F.lit(text), most) >= 0)
 
 
 def filter_spans(spans: DataFrame, kind: str) -> DataFrame:
