@@ -174,10 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     """A model from ``docs`` (doc_id, text, lang, source) and ``labels`` (doc_id, quality).
 
     Of each label and of the unlabelled rows all are taken, or about ``sample`` and
-    ``pool`` picked by a hash of the id. None without rows of both labels. Rows with a
-    null id cannot have a label.
+    ``pool`` picked by a hash of the id, of the whole row where the id is null; never
+    more than twice as many in all, whatever ids and rows repeat (labelled rows first).
+    None without rows of both labels. Rows with a null id cannot have a label.
     """
-    order = F.xxhash64("doc_id")
+    order = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(F.lit(9), "text", "lang", "source"))
     known = labels.filter("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(n) < 2:
@@ -189,6 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     # Rows that no label could pick are gone before the join.
     most = max(min(1.0, sample / n[0]), min(1.0, sample / n[1]), min(1.0, pool / max(1, total)))
     rows = view.filter(chance < most).join(known, "doc_id", "left").filter(chance < part)
+    # Equal rows have equal hashes, so the shares above are no bound by themselves.
+    rows = rows.withColumn("_order", order).orderBy(F.col("label").isNull(), "_order").limit(4 * sample + 2 * pool)
     got = _features(rows.select("text", "lang", "source", order.alias("order"), "label")).toArrow().sort_by("order")
     if not got.num_rows:
         return None

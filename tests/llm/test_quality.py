@@ -28,6 +28,18 @@ def test_views_teach_each_other():
     assert (((model.logit(view(test), view(test))) > 0) == test).mean() > 0.95
 
 
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda *given: seen.append((len(given[0]), len(given[5][0]))))
+    known = [(i, f"text {i}", "en", "s") for i in range(200)]
+    empty = spark.range(100_000).selectExpr("CAST(null AS BIGINT) AS doc_id", "CASE WHEN id % 2 = 0 THEN 'same' END AS text", "CAST(null AS STRING) AS lang", "'s' AS source")
+    again = spark.range(30_000).selectExpr("7L AS doc_id", "concat('again ', id) AS text", "'en' AS lang", "'s' AS source")
+    docs = spark.createDataFrame(known, "doc_id long, text string, lang string, source string").unionByName(empty).unionByName(again)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    quality.train(docs, labels, sample=500, pool=400)
+    assert seen and sum(seen[0]) <= 4 * 500 + 2 * 400 and seen[0][0] > 0
+
+
 def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad bad bad", "en", "s") for i in range(80)] + [(None, None, None, None), (1, "", None, "s")], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (5, 1)], "doc_id long, quality int")
