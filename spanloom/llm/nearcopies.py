@@ -10,12 +10,18 @@ fill, most shingles are dismissed by their first arrival alone.
 
 Texts with equal bags are one class from the start. Classes that share a band are
 compared with a leader of the band first. Bands that this leaves in several components
-go on. There, shingles that only one class has bound what the class can share with any
-other, and a class that cannot reach the similarity with any bag of the band leaves it.
-The others are compared with the band's class that has the most common shingles. From
-then on leaders come out of a band's smallest components, in rounds with 32 times as
-many each, and only across components, until every band has been compared in full or
-lies in one component. No link is left out and no band is gathered in one place.
+go on; classes whose shared shingles cannot bring them to the similarity leave them, and
+what hangs together by bands is a group.
+
+A group is written as differences to its centre, the shingles that more than half of its
+bags have. With D the centre's shingles that a bag lacks, O those that it has besides, c =
+|D| + t |O| and s the number of differences that two bags share, their similarity is t or
+more exactly if (1 + t) s >= c + c' - (1 - t) |centre|. So bags that share no difference
+are linked only by way of the bag with the least c, and all others meet under a shared
+difference: under the rarest, only as many as the bound forces, and only where it can be
+met. Who meets under a frequent difference is a group again, of at most half the size,
+with a centre of its own. No link is left out, no group is gathered in one place and its
+pairs are not listed.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from spanloom.operators.components import connected_components
 
 BANDS, BAND_ROWS = 24, 4
 ENTRIES = BANDS * BAND_ROWS
+#: Classes that meet are paired as they are up to this many; larger groups get a centre.
+SMALL = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,14 +170,9 @@ def _links(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     ).select("a", "b")
 
 
-def _heads(rows: DataFrame, leaders: int) -> DataFrame:
-    """(band, a, a_n, a_label, a_order): the first ``leaders`` classes of each band."""
-    if leaders == 1:
-        first = F.min(F.struct("order", "node", "n", "label")).alias("h")
-        heads = rows.groupBy("band").agg(first).select("band", "h.*")
-    else:
-        place = F.row_number().over(Window.partitionBy("band").orderBy("order", "node")).alias("place")
-        heads = rows.select("*", place).filter(F.col("place") <= leaders)
+def _heads(rows: DataFrame) -> DataFrame:
+    """(band, a, a_n, a_label, a_order): the first class of each band."""
+    heads = rows.groupBy("band").agg(F.min(F.struct("order", "node", "n", "label")).alias("h")).select("band", "h.*")
     return heads.select("band", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "label", "order")])
 
 
@@ -180,8 +183,7 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def _within_reach(rows: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Rows of classes that could be similar enough to some class of their band, those
-    whose shingles are the most common ones first.
+    """Rows of classes that could be similar enough to some class of their band.
 
     Two bags have at most as much in common as the smaller number of shingles that
     either shares with anything; the smallest bag of a band bounds the sizes.
@@ -189,12 +191,93 @@ def _within_reach(rows: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     nodes = rows.select("node").distinct()
     each = bags.select(F.struct(*KEY).alias("node"), "bag").join(nodes, "node").select("node", F.explode("bag").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("classes")).filter("classes > 1")
-    shared = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"), F.sum("classes").alias("met"))
+    shared = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
     smallest = rows.groupBy("band").agg(F.min("n").alias("smallest"))
     reach = rows.join(smallest, "band").join(shared, "node").filter(
         F.col("shared") >= F.lit(least) * (F.col("n") + F.greatest("shared", "smallest") - F.col("shared")) - F.lit(1e-9)
     )
-    return reach.select("band", "node", "n", "label", (-F.col("met") / F.col("n")).alias("order"))
+    return reach.select("band", "node", "n", "label")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(g, node, n): the classes of bands that hang together, each once."""
+    heads = rows.groupBy("band").agg(F.min("node").alias("dst"))
+    star = rows.join(heads, "band").select(F.col("node").alias("src"), "dst").distinct()
+    together = connected_components(star)
+    return rows.select("node", "n").distinct().join(together, "node").select(F.xxhash64("label").alias("g"), "node", "n")
+
+
+def _differences(groups: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """(g, node, n, c, need, differences) of each class to the centre of its group.
+
+    A centre has at most twice as many shingles as the group's mean bag.
+    """
+    with_bag = groups.join(bags.select(F.struct(*KEY).alias("node"), "bag"), "node")
+    size = groups.groupBy("g").agg(F.count("*").alias("size"))
+    often = with_bag.select("g", F.explode("bag").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k"))
+    centre = often.join(size, "g").filter("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("centre"))
+    none = F.array().cast("array<bigint>")
+    both = with_bag.join(centre, "g", "left").withColumn("centre", F.coalesce("centre", none))
+    both = both.select("g", "node", "n", F.size("centre").alias("m"), F.array_except("centre", "bag").alias("d"), F.array_except("bag", "centre").alias("o"))
+    c = F.size("d") + F.lit(least) * F.size("o")
+    return both.select("g", "node", "n", c.alias("c"), (c - F.lit(1 - least) * F.col("m")).alias("need"), F.concat("d", "o").alias("differences"))
+
+
+def _by_centre(diffs: DataFrame) -> DataFrame:
+    """(a, b): links that need no shared difference, to the class nearest to the centre."""
+    nearest = diffs.groupBy("g").agg(F.min(F.struct("c", "node")).alias("a"))
+    linked = diffs.join(nearest, "g").filter((F.col("a.node") != F.col("node")) & (F.col("a.c") + F.col("need") <= F.lit(1e-9)))
+    return linked.select(F.col("a.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _meetings(diffs: DataFrame, least: float) -> DataFrame:
+    """(g, node, n, need, slack): under which differences, as new groups, classes have to
+    meet so that each pair that is similar enough and shares a difference meets once or more.
+
+    A pair shares ``need`` differences of either, at least, and either's ``need`` is at
+    most the other's ``slack``.
+    """
+    each = diffs.select("g", "node", "n", "c", "need", F.explode("differences").alias("e"))
+    often = each.groupBy("g", "e").agg(F.count("*").alias("f")).filter("f > 1")
+    own = Window.partitionBy("g", "node")
+    shared = each.join(often, ["g", "e"]).withColumn("slack", F.lit(1 + least) * F.count("*").over(own) - F.col("c"))
+    best = shared.groupBy("g", "e").agg(F.max("slack").alias("best"))
+    near = F.lit(1e-9)
+    able = shared.join(best, ["g", "e"]).filter(F.col("best") >= F.col("need") - near)
+    least_shared = F.greatest(F.lit(1), F.ceil(F.col("need") - near))
+    able = able.withColumn("place", F.row_number().over(own.orderBy("f", "e"))).withColumn("all", F.count("*").over(own))
+    able = able.filter(F.col("place") <= F.col("all") - least_shared + 1)
+    return able.select(F.xxhash64("g", "e").alias("g"), "node", "n", "need", "slack")
+
+
+def _pairs(met: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of small groups that may be similar enough and are not together yet."""
+    other = met.select("g", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "need", "slack")])
+    near = F.lit(1e-9)
+    pairs = met.join(other, "g").filter((F.col("a_node") < F.col("node")) & (F.col("a_label") != F.col("label")))
+    pairs = pairs.filter((F.col("a_slack") >= F.col("need") - near) & (F.col("slack") >= F.col("a_need") - near))
+    pairs = pairs.filter(F.least("n", "a_n") >= F.lit(least) * F.greatest("n", "a_n") - near)
+    return pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _components(links: list[DataFrame]) -> DataFrame:
+    edges = reduce(DataFrame.unionByName, links)
+    return stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+
+
+def _within_groups(groups: DataFrame, bags: DataFrame, least: float, links: list[DataFrame]) -> DataFrame:
+    """Adds what links the classes of groups to ``links``; the components of all links."""
+    while not groups.isEmpty():
+        diffs = stored(_differences(groups, bags, least), "differences")
+        links.append(stored(_by_centre(diffs), "links"))
+        label = _components(links)
+        met = _meetings(diffs, least).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        met = stored(met.distinct(), "met")
+        apart = met.groupBy("g").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("apart")).filter("apart")
+        met = met.join(apart.drop("apart"), "g")
+        links.append(stored(_links(_pairs(met.filter(F.col("size") <= SMALL), least), bags, least), "links"))
+        groups = stored(met.filter(F.col("size") > SMALL).select("g", "node", "n"), "groups")
+    return _components(links)
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -223,40 +306,25 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: s
     # Repeated rows have one bag.
     bags = stored(_bags(texts, width).groupBy(*KEY).agg(F.first("bag").alias("bag")), "shingles")
 
-    # At first one leader for each band, the same order everywhere.
+    # One leader for each band, the same order everywhere.
     rows = rows.select("band", "node", "n", F.col("node").alias("label"), F.xxhash64("node").alias("order"))
-    leaders, links, label = 1, [], None
-    while True:
-        heads = _heads(rows, leaders)
-        pairs = (
-            rows.join(heads, "band")
-            .filter((F.col("label") != F.col("a_label")) & (F.struct("a_order", "a") < F.struct("order", "node")))
-            .filter(F.least("n", "a_n") >= F.lit(least) * F.greatest("n", "a_n") - F.lit(1e-9))
-            .select("a", F.col("node").alias("b"))
-            .distinct()
-        )
-        links.append(stored(_links(pairs, bags, least), "links"))
-        edges = reduce(DataFrame.unionByName, links)
-        if len(links) == 1:
-            # A leader's name is label enough to see who is together; one each.
-            label = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-        else:
-            label = stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
-        # Leaders have met all others of their band. A band in one component is done.
-        met = heads.select("band", F.col("a").alias("node"))
-        rest = rows.drop("label").join(met, ["band", "node"], "left_anti").join(label, "node", "left")
-        rows = stored(_apart(rest.withColumn("label", F.coalesce("label", "node"))), "rest")
-        if len(links) == 1 and not rows.isEmpty():
-            rows = stored(_apart(_within_reach(rows, bags, least)), "reach")
-        if rows.isEmpty():
-            break
-        if len(links) > 1:
-            # Any two components have a member outside of the largest one.
-            size = rows.groupBy("band", "label").agg(F.count("*").alias("order"))
-            rows = rows.drop("order").join(size, ["band", "label"])
-            leaders *= 32
-    if len(links) == 1:
-        label = stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    heads = _heads(rows)
+    pairs = (
+        rows.join(heads, "band")
+        .filter((F.col("label") != F.col("a_label")) & (F.struct("a_order", "a") < F.struct("order", "node")))
+        .filter(F.least("n", "a_n") >= F.lit(least) * F.greatest("n", "a_n") - F.lit(1e-9))
+        .select("a", F.col("node").alias("b"))
+        .distinct()
+    )
+    links = [stored(_links(pairs, bags, least), "links")]
+    # A leader's name is label enough to see who is together; one each.
+    label = links[0].groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    # Leaders have met all others of their band. A band in one component is done.
+    met = heads.select("band", F.col("a").alias("node"))
+    rest = rows.drop("label").join(met, ["band", "node"], "left_anti").join(label, "node", "left")
+    rows = stored(_apart(rest.withColumn("label", F.coalesce("label", "node"))), "rest")
+    rows = stored(_apart(_within_reach(rows, bags, least)), "reach")
+    label = _within_groups(stored(_groups(rows), "groups"), bags, least, links)
 
     of_class = classes.select("s1", "s2", "node").join(label, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("class"))
     own = F.struct(*KEY)

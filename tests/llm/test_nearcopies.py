@@ -56,6 +56,37 @@ def test_classes_are_those_of_all_pairs(spark):
     assert all(got[i]["stays"] == (want[i] == i) and got[i]["n_class"] == want.count(want[i]) for i in got)
 
 
+def test_one_template_near_the_bound(spark, monkeypatch):
+    """Many texts of one template, most at 0.75 to 0.85 of each other; edits repeat."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base)]
+    for _ in range(900):
+        copy = list(base)
+        for _ in range(rnd.choice([1, 2, 2, 3, 3, 4])):
+            copy[rnd.choice([rnd.randrange(80), 7, 40, 41, 63])] = rnd.choice(["x", "y", f"z{rnd.randrange(9999)}"])
+        texts.append(" ".join(copy))
+    for i in range(300):  # a second template, only distantly the first
+        copy = base[:50] + [f"v{j}" for j in range(30)]
+        for _ in range(i % 5):
+            copy[rnd.randrange(80)] = f"u{rnd.randrange(40)}"
+        texts.append(" ".join(copy))
+    compared, true_links = [], nearcopies._links
+
+    def counted(pairs, bags, least):
+        compared.append(pairs.count())
+        return true_links(pairs, bags, least)
+
+    monkeypatch.setattr(nearcopies, "_links", counted)
+    monkeypatch.setattr(nearcopies, "SMALL", 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in nearcopies.near_copies(docs).collect()}
+    want = brute(texts)
+    print("pairs compared", compared, "of", len(texts) * (len(texts) - 1) // 2, "classes", len(set(want)))
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(compared) < 30 * len(texts)
+
+
 def test_signatures_estimate_the_similarity():
     rnd = random.Random(5)
     texts = []
