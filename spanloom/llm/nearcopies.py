@@ -41,7 +41,9 @@ from spanloom.operators.components import connected_components
 BANDS, BAND_ROWS = 24, 4
 ENTRIES = BANDS * BAND_ROWS
 #: Classes that meet are paired as they are up to this many; larger groups get a centre.
-SMALL = 32
+SMALL = 64
+#: How often classes that cannot meet anyone any more are left out before the rest meets.
+PASSES = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -239,11 +241,13 @@ def _meetings(diffs: DataFrame, least: float) -> DataFrame:
     """
     each = diffs.select("g", "node", "n", "c", "need", F.explode("differences").alias("e"))
     often = each.groupBy("g", "e").agg(F.count("*").alias("f")).filter("f > 1")
-    own = Window.partitionBy("g", "node")
-    shared = each.join(often, ["g", "e"]).withColumn("slack", F.lit(1 + least) * F.count("*").over(own) - F.col("c"))
-    best = shared.groupBy("g", "e").agg(F.max("slack").alias("best"))
-    near = F.lit(1e-9)
-    able = shared.join(best, ["g", "e"]).filter(F.col("best") >= F.col("need") - near)
+    own, near = Window.partitionBy("g", "node"), F.lit(1e-9)
+    able = each.join(often.drop("f"), ["g", "e"])
+    for _ in range(PASSES):
+        # What leaves makes less of the differences that others share.
+        able = stored(able.withColumn("slack", F.lit(1 + least) * F.count("*").over(own) - F.col("c")), "shared")
+        met = able.groupBy("g", "e").agg(F.max("slack").alias("best"), F.count("*").alias("f")).filter("f > 1")
+        able = able.drop("f").join(met, ["g", "e"]).filter(F.col("best") >= F.col("need") - near).drop("best")
     least_shared = F.greatest(F.lit(1), F.ceil(F.col("need") - near))
     able = able.withColumn("place", F.row_number().over(own.orderBy("f", "e"))).withColumn("all", F.count("*").over(own))
     able = able.filter(F.col("place") <= F.col("all") - least_shared + 1)
