@@ -104,16 +104,19 @@ def _hashed(given: DataFrame, probes: float | None, tables: int) -> DataFrame:
     return given.select("id", "dim", "v").mapInArrow(work, "id long, dim int, places array<long>")
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    keep = ids != own
-    ids, scores = ids[keep], scores[keep]
-    if len(ids) > k:
-        # All that tie with the last one, so that the smaller ids win.
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = scores >= least
-        ids, scores = ids[some], scores[some]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _best(ids: np.ndarray, x: np.ndarray, longest: float, query: np.ndarray, scores: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ids and their scores. ``scores`` of a block are exact but for their last
+    bits, which depend on the block; what is chosen by them is summed up again row by row."""
+    some = np.flatnonzero(ids != own)
+    if len(some) > k:
+        # All that could tie with the last one, so that the smaller ids win.
+        least = np.partition(scores[some], len(some) - k)[len(some) - k]
+        lengths = np.sqrt((query * query).sum()) * longest
+        margin = 4 * x.shape[1] * np.finfo(np.float64).eps * lengths
+        some = some[~(scores[some] < least - margin)]
+    exact = (x[some] * query).sum(axis=1)
+    order = np.lexsort((ids[some], -exact))[:k]
+    return ids[some][order], exact[order]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, probes: float = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -140,12 +143,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         ids, x = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
+        longest = np.sqrt((x * x).sum(axis=1).max())
         out = []
         for a in range(0, len(right), 256):
             some = right.iloc[a : a + 256]
-            scores = np.stack(some["v"].to_numpy()) @ x.T
-            for own, row in zip(some["id"].to_numpy(), scores, strict=True):
-                best, score = _best(ids, row, k, own)
+            queries_ = np.stack(some["v"].to_numpy())
+            scores = queries_ @ x.T
+            for own, query, row in zip(some["id"].to_numpy(), queries_, scores, strict=True):
+                best, score = _best(ids, x, longest, query, row, k, own)
                 out.append((np.full(len(best), own), best, score))
         q, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})

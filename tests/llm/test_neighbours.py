@@ -101,3 +101,19 @@ def test_groups_are_bounded_on_both_sides(spark, monkeypatch):
     print("largest groups", sizes)
     assert got == want
     assert len(sizes) >= 2 and max(sizes) <= 48
+
+
+def test_equal_vectors_come_in_the_order_of_their_ids():
+    rng = np.random.default_rng(6)
+    wrong = 0
+    for n in (21, 203, 333, 1000):
+        for dim in (7, 64, 100):
+            v, q = rng.normal(size=dim), rng.normal(size=dim)
+            x = np.repeat(v[None], n, axis=0)
+            ids, longest = np.arange(n), np.sqrt((x * x).sum(axis=1).max())
+            best, score = neighbours._best(ids, x, longest, q, (q[None] @ x.T)[0], 20, -1)
+            wrong += best.tolist() != list(range(20)) or len(set(score)) > 1
+            # The same scores out of any block.
+            alone = [neighbours._best(ids[i : i + 3], x[i : i + 3], longest, q, (q[None] @ x[i : i + 3].T)[0], 20, -1)[1] for i in (0, 5)]
+            wrong += set(np.concatenate(alone)) != set(score)
+    assert wrong == 0
