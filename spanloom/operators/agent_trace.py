@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import truthy
 from spanloom.operators.ordering import rank_within
-from spanloom.session import checkpoint
+from spanloom.session import checkpoint, stored
 
 PAIRS = {"model": ("model_in", "model_out"), "action": ("action_in", "action_out")}
 
@@ -146,7 +146,11 @@ def _operation_class() -> Column:
     return F.when(F.contains("operation", F.lit("Model")), "Model").otherwise(F.col("operation"))
 
 
-_MATCH = "session string, class string, log_id struct<seq:long,row:long>, trace_id struct<seq:long,row:long>"
+#: Spans in need, of one session and operation with differing offers, for one task.
+BLOCK = 100_000
+#: What an offer has: a request, a response, or both. Each kind is a queue.
+KINDS = ((True, False), (False, True), (True, True))
+_HEADS = ["h0", "h1", "h2"]
 
 
 def _identity(df: DataFrame) -> Column:
@@ -155,43 +159,166 @@ def _identity(df: DataFrame) -> Column:
     return F.struct("seq", F.xxhash64(*[F.col(c) for c in df.columns]).alias("row"))
 
 
-def _match_mixed(group: pd.DataFrame) -> pd.DataFrame:
-    """First-fit matching for one (session, operation) whose trace spans differ in
-    what they offer; rows carry flags only, no payload."""
-    group = group.assign(id=[(i["seq"], i["row"]) for i in group.id])
-    offers = group[group.side == "trace"].sort_values("id")
-    queues = {
-        (r, s): list(reversed(offers[(offers.r == r) & (offers.s == s)].id.tolist()))
-        for r in (True, False)
-        for s in (True, False)
-    }
-    out = []
-    for want in group[group.side == "log"].sort_values("id").itertuples():
-        usable = [
-            q for (r, s), q in queues.items() if q and ((want.r and r) or (want.s and s))
-        ]
-        if usable:
-            best = min(usable, key=lambda q: q[-1])
-            seq, row = best.pop()
-            out.append((want.session, want.cls, {"seq": want.id[0], "row": want.id[1]}, {"seq": seq, "row": row}))
-    return pd.DataFrame(out, columns=["session", "class", "log_id", "trace_id"])
-
-
-def _mixed_matches(wants: DataFrame, offers: DataFrame, uneven: DataFrame, key: list[str]) -> DataFrame:
-    flags = wants.filter(~F.col("even")).select(*key, "id", "r", "s", F.lit("log").alias("side")).unionByName(
-        offers.join(uneven, key, "left_semi").select(*key, "id", "r", "s", F.lit("trace").alias("side"))
+def _first_fit(wants: pd.DataFrame, offers: pd.DataFrame, heads: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """First fit over some spans in need in a row: each takes the earliest offer that has
+    something it lacks. ``heads`` is how many offers of each kind are gone before.
+    Returns how many are gone after, and the (place in need, place of offer) pairs."""
+    queues, pairs, taken = [], [], [0, 0, 0]
+    for kind, head in enumerate(heads):
+        own = offers[(offers.kind == kind) & (offers.nth > head)].sort_values("nth")
+        queues.append([*own.pos.tolist(), float("inf")])
+    ahead = [q[0] for q in queues]
+    wants = wants.sort_values("pos")
+    for pos, r, s in zip(wants.pos.tolist(), wants.r.tolist(), wants.s.tolist(), strict=True):
+        place, kind = min((ahead[k], k) for k, (has_r, has_s) in enumerate(KINDS) if (r and has_r) or (s and has_s))
+        if place < float("inf"):
+            pairs.append((pos, place))
+            taken[kind] += 1
+            ahead[kind] = queues[kind][taken[kind]]
+    return [h + t for h, t in zip(heads, taken, strict=True)], pairs
+
+
+def _at_blocks(wants: DataFrame, offers: DataFrame, blocks: DataFrame, key: list[str], size: int) -> DataFrame:
+    """The rows that the given blocks need: their spans in need, and of each kind of offer
+    the two chunks from the head on, which hold as many offers as a block can take."""
+    heads = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(h).alias("head")) for k, h in enumerate(_HEADS)])
+    chunks = blocks.withColumn("_head", F.explode(heads)).select(
+        *key, "block", *_HEADS, "_head.kind",
+        F.explode(F.array(F.expr(f"_head.head div {size}"), F.expr(f"_head.head div {size} + 1"))).alias("chunk"),
+    )
+    lit, no = F.lit, F.lit(False)
+    return wants.join(blocks, [*key, "block"]).select(
+        *key, "block", *_HEADS, lit(-1).alias("kind"), "pos", lit(0).cast("long").alias("nth"), "r", "s"
+    ).unionByName(
+        offers.join(chunks, [*key, "kind", "chunk"]).select(
+            *key, "block", *_HEADS, "kind", "pos", "nth", no.alias("r"), no.alias("s")
+        )
+    )
+
+
+def _heads_after(group: pd.DataFrame) -> pd.DataFrame:
+    first = group.iloc[[0]][["session", "class", "block", *_HEADS]]
+    after, _ = _first_fit(group[group.kind < 0], group[group.kind >= 0], first[_HEADS].iloc[0].tolist())
+    return first.assign(**{f"after{k}": [x] for k, x in enumerate(after)})
+
+
+def _pairs(group: pd.DataFrame) -> pd.DataFrame:
+    heads = group[_HEADS].iloc[0].tolist()
+    _, pairs = _first_fit(group[group.kind < 0], group[group.kind >= 0], heads)
+    at = {c: group[c].iloc[0] for c in ("session", "class")}
+    return pd.DataFrame(pairs, columns=["pos", "offer"]).astype("int64").assign(**at)
+
+
+def _carried(group: pd.DataFrame) -> pd.DataFrame:
+    """One row for each block of a (session, operation): new heads of the blocks from what
+    each of them took. A block seen with the heads it now gets leads to what it led to;
+    one seen with others takes as much as then, or ends where it ended if it did so from
+    two different heads before. Only the first is certain, so all heads are right when
+    they no longer change, and at least one more block is right after each round."""
+    group = group.sort_values("block")
+    ends = group[["n0", "n1", "n2"]].iloc[0].tolist()
+    heads, out = [0, 0, 0], []
+    for row in group.itertuples(index=False):
+        out.append(tuple(heads))
+        seen, after = (row.h0, row.h1, row.h2), (row.after0, row.after1, row.after2)
+        met = (row.was0, row.was1, row.was2) == after and (row.from0, row.from1, row.from2) != seen
+        if met or tuple(heads) == seen:
+            heads = list(after)
+        else:
+            heads = [max(h, min(h + a - x, n)) for h, a, x, n in zip(heads, after, seen, ends, strict=True)]
+    new = pd.DataFrame(out, columns=["to0", "to1", "to2"], index=group.index)
+    return pd.concat([group[[*_STATE]], new], axis=1)
+
+
+_STATE = [
+    "session", "class", "block", "h0", "h1", "h2", "after0", "after1", "after2",
+    "from0", "from1", "from2", "was0", "was1", "was2", "n0", "n1", "n2",
+]
+
+
+def _typed(names: list[str]) -> str:
+    return ", ".join(f"`{c}` {'string' if c in ('session', 'class') else 'long'}" for c in names)
+
+
+def _settled_heads(wants: DataFrame, offers: DataFrame, blocks: DataFrame, key: list[str], size: int) -> DataFrame:
+    """(key, block, heads): how many offers of each kind are gone before each block.
+
+    The first guess is that offers go in order whatever they have. Each round runs the
+    blocks whose heads have changed, side by side, and carries what they took along the
+    blocks of their group, a few numbers each.
+    """
+    by_kind = [F.count_if(F.col("kind") == k) for k in range(3)]
+    cut = Window.partitionBy(*key).orderBy("block")
+    gone = offers.groupBy(*key, F.expr(f"(pos - 1) div {size} + 1").alias("block")).agg(*[c.alias(h) for c, h in zip(by_kind, _HEADS, strict=True)])
+    totals = offers.groupBy(*key).agg(*[c.alias(f"n{k}") for k, c in enumerate(by_kind)])
+    # Where offers are used up there are blocks of need alone, where they are left over, of offers alone.
+    guess = (
+        blocks.join(gone, [*key, "block"], "full")
+        .select(*key, "block", *[F.coalesce(F.sum(h).over(cut), F.lit(0)).alias(h) for h in _HEADS])
+        .join(blocks, [*key, "block"], "left_semi")
+        .join(totals, key)
+    )
+    empty = [F.lit(-1).cast("long").alias(c) for c in _STATE if c[:3] in ("aft", "fro", "was")]
+    state = checkpoint(guess.select("*", *empty).select(*_STATE))
+    due = state.select(*key, "block", *_HEADS)
+    while not due.isEmpty():
+        ran = _at_blocks(wants, offers, due, key, size).groupBy(*key, "block").applyInPandas(
+            _heads_after, _typed([*key, "block", *_HEADS, "after0", "after1", "after2"])
+        )
+        ran = ran.select(*key, "block", *[F.col(f"after{k}").alias(f"end{k}") for k in range(3)])
+        anew = F.col("end0").isNotNull()
+        state = state.join(ran, [*key, "block"], "left").select(
+            *key, "block", *_HEADS, *[F.coalesce(f"end{k}", f"after{k}").alias(f"after{k}") for k in range(3)],
+            *[c for c in _STATE if c[:3] in ("fro", "was")], "n0", "n1", "n2",
+        )
+        carried = checkpoint(state.select(*_STATE).groupBy(*key).applyInPandas(_carried, _typed([*_STATE, "to0", "to1", "to2"])))
+        changed = F.struct("to0", "to1", "to2") != F.struct(*_HEADS)
+
+        def turned(new: str, old: str, changed: Column = changed) -> list[Column]:
+            return [F.when(changed, F.col(f"{new}{k}")).otherwise(F.col(f"{old}{k}")).alias(f"{old}{k}") for k in range(3)]
+
+        # What a changed block was seen with last becomes what it was seen with before.
+        state = carried.select(
+            *key, "block", *turned("to", "h"), "after0", "after1", "after2", *turned("h", "from"), *turned("after", "was"), "n0", "n1", "n2"
+        )
+        due = carried.filter(changed).select(*key, "block", *[F.col(f"to{k}").alias(f"h{k}") for k in range(3)])
+    return state.select(*key, "block", *_HEADS)
+
+
+def _mixed_matches(wants: DataFrame, offers: DataFrame, uneven: DataFrame, key: list[str], size: int) -> DataFrame:
+    """(log_id, trace_id) where the offers of a (session, operation) differ: first fit in
+    blocks of ``size`` spans in need, each in a task of its own, on places and flags only."""
+    kind = F.when(~F.col("s"), 0).when(~F.col("r"), 1).otherwise(2)
+    placed = rank_within(wants.filter(~F.col("even")).select(*key, "id", "r", "s"), key, [F.col("id")])
+    wants = stored(placed.withColumn("block", F.expr(f"(pos - 1) div {size}")), "in-need")
+    placed = rank_within(offers.join(uneven, key, "left_semi").select(*key, "id", kind.alias("kind")), key, [F.col("id")])
+    placed = rank_within(placed, [*key, "kind"], [F.col("pos")], pos="nth")
+    offers = stored(placed.withColumn("chunk", F.expr(f"(nth - 1) div {size}")), "offers")
+    blocks = wants.select(*key, "block").distinct()
+    large = blocks.filter("block > 0").select(*key).distinct()
+    zero = [F.lit(0).cast("long").alias(h) for h in _HEADS]
+    heads = blocks.join(large, key, "left_anti").select(*key, "block", *zero)
+    if not large.isEmpty():
+        several = [x.join(large, key, "left_semi") for x in (wants, offers, blocks)]
+        heads = heads.unionByName(_settled_heads(*several, key, size))
+    pairs = _at_blocks(wants, offers, heads, key, size).groupBy(*key, "block").applyInPandas(_pairs, "pos long, offer long, session string, class string")
+    return (
+        pairs.join(wants.select(*key, "pos", F.col("id").alias("log_id")), [*key, "pos"])
+        .join(offers.select(*key, F.col("pos").alias("offer"), F.col("id").alias("trace_id")), [*key, "offer"])
+        .select("log_id", "trace_id")
     )
-    return flags.withColumn("cls", F.col("class")).groupBy(*key).applyInPandas(_match_mixed, _MATCH)
 
 
-def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
+def enrich(log_spans: DataFrame, trace_spans: DataFrame, block: int = BLOCK) -> DataFrame:
     """Fill missing requests and responses of log spans from agent trace spans of
     the same session and operation, one-to-one and in order; add the unused ones.
 
     Within a (session, operation) group whose trace spans all offer the same fields
     the n-th span in need gets the n-th offer: two rankings and a join on unique
-    keys. A row is known by its place and contents; rows alike in both are one. Groups with differing offers follow first-fit order row by row, on flags
-    only. An enriched span keeps neither thread nor session id.
+    keys. A row is known by its place and contents; rows alike in both are one. Groups
+    with differing offers follow first-fit order in blocks of ``block`` spans in need,
+    each from the offers left by those before. An enriched span keeps neither thread
+    nor session id.
     """
     key = ["session", "class"]
     log_spans = log_spans.withColumn("_id", _identity(log_spans))
@@ -230,8 +357,7 @@ def enrich(log_spans: DataFrame, trace_spans: DataFrame) -> DataFrame:
     uneven = kinds.filter(~F.col("even")).select(*key)
     matches = even.select("log_id", "trace_id")
     if not uneven.isEmpty():
-        mixed = _mixed_matches(wants, offers, uneven, key)
-        matches = matches.unionByName(mixed.select("log_id", "trace_id"))
+        matches = matches.unionByName(_mixed_matches(wants, offers, uneven, key, block))
     matches = checkpoint(matches)
     given = offers_all.select(
         F.col("_id").alias("trace_id"),

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -119,6 +120,40 @@ def test_enrich_is_first_fit(spark):
     assert {s for s in got if s.startswith("t")} == {f"t{s}" for s in by_seq if s not in want.values()}
 
 
+def _in_turn(wants, offers):
+    """First fit, one span in need after the other; {place in need: place of offer}."""
+    queues = {k: sorted(p for p, has in offers if has == k) for k in ag.KINDS}
+    out = {}
+    for pos, (r, s) in wants:
+        usable = [q for (has_r, has_s), q in queues.items() if q and ((r and has_r) or (s and has_s))]
+        if usable:
+            out[pos] = min(usable, key=lambda q: q[0]).pop(0)
+    return out
+
+
+@pytest.mark.parametrize("shares", [(1, 1, 1, 1, 1, 1), (5, 1, 0, 1, 5, 1), (1, 4, 1, 6, 1, 1), (3, 3, 0, 5, 1, 1)])
+def test_enrich_cuts_a_busy_session_into_blocks(spark, shares):
+    rnd = random.Random(sum(shares))
+    kinds = list(ag.KINDS)
+    wants = [(i, rnd.choices(kinds, shares[:3])[0]) for i in range(500)]
+    # The kinds that are offered change on the way.
+    offers = [(i, rnd.choices(kinds, shares[3:] if i % 200 < 120 else shares[:3][::-1])[0]) for i in range(460)]
+    schema = "seq long, span_id string, operation string, request string, response string, agent_session_id string, thread_id string, session_id string, start_at timestamp, end_at timestamp"
+    logs = [(i, f"l{i}", "Run", None if r else "own", None if s else "own", "s", "th", None, None, None) for i, (r, s) in wants]
+    traces = [(i, f"t{i}", "Run", f"q{i}" if r else None, f"r{i}" if s else None, "s", None, None, None, None) for i, (r, s) in offers]
+    want = _in_turn(wants, offers)
+    flags = dict(offers)
+    got = {r["span_id"]: r for r in ag.enrich(spark.createDataFrame(logs, schema), spark.createDataFrame(traces, schema), block=60).collect()}
+    for i, (r, s) in wants:
+        hit = want.get(i)
+        has = flags.get(hit, (False, False))
+        row = got[f"l{i}"]
+        assert row["request"] == ("own" if not r else f"q{hit}" if has[0] else None)
+        assert row["response"] == ("own" if not s else f"r{hit}" if has[1] else None)
+        assert row["thread_id"] == ("th" if hit is None else None)
+    assert {x for x in got if x[0] == "t"} == {f"t{i}" for i, _ in offers} - {f"t{i}" for i in want.values()}
+
+
 def test_enrich_tells_rows_of_one_place_apart(spark):
     schema = "seq long, span_id string, operation string, request string, response string, agent_session_id string, thread_id string, session_id string, start_at timestamp, end_at timestamp"
     logs = [(1, "log-1", "InvokeAgent", None, None, "s", "th", None, None, None)]
