@@ -1,24 +1,27 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are laid over each other. A node of the tree is a path of elements
-with their classes and roles; it knows in how many presentations it comes (sequences of
-children) and in how many contents. Its importance is entropy: how evenly the pages
-that have it spread over its presentations and contents. A menu or a notice that is the
-same on all pages has none; an article differs everywhere. Counts are Spark
-aggregations, pre-aggregated by task, over (host, path, hash), so that a host with a
-third of all pages is a few rows for each task and path.
-
-Entropy alone cannot see a menu that differs on each page, nor an article on the only
-page of its host. Elements whose name, role or class says what they are (menus, adverts,
-comments, forms ...) are worth nothing at any entropy, and so are nodes that are links
-for the most part over the whole host. Where an element says that it is the article,
-only what is in it counts, and its headings and paragraphs stay at any entropy, since
-pages may be copies of each other.
+The pages of a host are laid over each other, whole: articles, menus, comments and notices
+alike. A node of the tree is a path of elements with their classes and roles (elements
+without any are told apart by their places); it knows in how many presentations it comes
+(sequences of children) and in how many contents. Both have an entropy: how evenly the
+pages that have the node spread over them. A node's own importance is the mean of the two,
+less the share of its text that is links; its importance weighs its children in. Counts
+are Spark aggregations over (host, path, hash), with one row for each page and path, and
+copies of a page count once.
+
+What the tree finds low is removed first: what is the same on all pages, what is links,
+and whole branches that are far less important than the one beside them (a slot that is
+always built alike, next to an article that is not). Entropy cannot see reader comments,
+nor anything on a host of few pages. What elements say of themselves is a prior for that:
+menus, adverts, comments or forms by name, role or class are worth nothing at any
+entropy. Where an element says that it is the article, only what is in it counts, and
+its headings and paragraphs stay at any entropy, since pages may be copies of each other.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -50,7 +53,6 @@ NAMES = set(
     "newsletter subscribe subscription signup login share sharing social related recommended comment comments respond "
     "disqus replies reply tags tagcloud skip search".split()
 )
-ARTICLE_NAMES = set("article post entry content story main".split())
 _WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -138,19 +140,6 @@ def tree(html: str) -> Node:
     return parser.root
 
 
-def _text(node: Node, out: list[str]) -> None:
-    """All text below, also of what is worth nothing (but not of what is silent)."""
-    todo: list[Node | str] = [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.worth > -2:
-            if x.tag in BLOCK or x.tag == "br":
-                out.append(" ")
-            todo.extend(reversed(x.children))
-
-
 def blocks(root: Node, removed: set[int]) -> list[str]:
     """The text of the nodes that stay, one entry for each block, in page order."""
     out, open_ = [], []
@@ -180,66 +169,93 @@ def blocks(root: Node, removed: set[int]) -> list[str]:
     return out
 
 
-def branches(root: Node) -> list[tuple[Node, int]]:
-    """The block nodes with a hash of their paths."""
-    out, todo = [], [(root, 0)]
-    while todo:
-        node, path = todo.pop()
-        for c in reversed(node.children):
-            if isinstance(c, Node):
-                below = _hash(f"{path}/{c.label}")
-                todo.append((c, below))
-        if node.tag in BLOCK and node.tag not in ("html", "body"):
-            out.append((node, path))
-    return out
-
-
 def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 #: Stay inside of what says that it is the article.
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "article", "main", "section"}
+#: Hold parts of a page; without a name they are told apart by their places.
+CONTAINERS = {"div", "section", "article", "main", "nav", "header", "footer", "aside", "ul", "ol", "table", "form", "center", "dl"}
 
 
-def _facts(root: Node) -> Iterator[tuple[int, int, int, int, int]]:
-    """(path, presentation, content, characters, characters in links) of each branch that
-    could go or stay."""
-    for node, path in branches(root):
-        if _settled(node):
+def branches(root: Node) -> list[tuple[Node, int, int]]:
+    """(node, its path, the path of the branch around it) in page order; the path of what
+    is no block is that of the branch around it."""
+    out: list[tuple[Node, int, int]] = []
+    todo = [(root, 0, 0)]
+    while todo:
+        node, path, around = todo.pop()
+        out.append((node, path, around))
+        below = [c for c in node.children if isinstance(c, Node)]
+        alike = Counter(c.label for c in below)
+        place: Counter[str] = Counter()
+        named = []
+        for c in below:
+            if c.tag not in BLOCK or c.tag in ("html", "body"):
+                named.append((c, path, around))
+                continue
+            place[c.label] += 1
+            own = f"{c.label}#{place[c.label]}/{alike[c.label]}" if c.label == c.tag and c.tag in CONTAINERS else c.label
+            named.append((c, _hash(f"{path}/{own}"), path))
+        todo.extend(reversed(named))
+    return out
+
+
+def _facts(root: Node) -> Iterator[tuple[int, int, bool, int, int, int, int]]:
+    """(path, path around, whether it is a container, presentation, content, characters,
+    characters in links) of each path of a page. Nodes of one path are taken together."""
+    nodes = branches(root)
+    # From the leaves up: (hash of the text below, its characters, those in links).
+    sums: dict[int, tuple[int, int, int]] = {}
+    for node, _, _ in reversed(nodes):
+        if node.worth == -2:
+            sums[id(node)] = (0, 0, 0)
             continue
-        text: list[str] = []
-        _text(node, text)
-        plain = _SPACE.sub(" ", "".join(text)).strip()
-        linked, todo = 0, [node]
-        while todo:
-            x = todo.pop()
-            for c in x.children:
-                if isinstance(c, Node):
-                    if c.tag == "a":
-                        own: list[str] = []
-                        _text(c, own)
-                        linked += len("".join(own).strip())
-                    else:
-                        todo.append(c)
-        shape = " ".join(c.label for c in node.children if isinstance(c, Node))
-        yield path, _hash(shape), _hash(plain), len(plain), linked
-
-
-def _settled(node: Node) -> bool:
-    """Worth nothing anyhow, or prose in an article."""
-    prose = node.tag in PROSE
-    while node is not None:
-        if node.worth < 0 or (prose and node.worth > 0):
-            return True
-        node = node.parent
-    return False
+        parts, n, linked = [], 0, 0
+        for c in node.children:
+            if isinstance(c, str):
+                plain = _SPACE.sub(" ", c).strip()
+                parts.append(plain)
+                n += len(plain)
+            else:
+                content, own, own_linked = sums[id(c)]
+                parts.append(str(content))
+                n += own
+                linked += own_linked
+        sums[id(node)] = (_hash("\0".join(parts)) if n else 0, n, n if node.tag == "a" else linked)
+    found: dict[int, list] = {}
+    for node, path, around in nodes:
+        if node.tag in BLOCK and node.tag not in ("html", "body") and node.worth > -2:
+            at = found.setdefault(path, [around, node.tag in CONTAINERS, [], [], 0, 0])
+            content, n, linked = sums[id(node)]
+            at[2].append(" ".join(c.label for c in node.children if isinstance(c, Node) and c.tag in BLOCK))
+            at[3].append(str(content))
+            at[4] += n
+            at[5] += linked
+    for path, (around, container, shapes, contents, n, linked) in found.items():
+        yield path, around, container, _hash("|".join(shapes)), _hash("|".join(contents)), n, linked
+
+
+def tree_removes(root: Node, low: set[int], slots: set[int]) -> list[Node]:
+    """The nodes that go by the tree alone. Inside of what says that it is the article,
+    prose stays, and so does what is only less important than its neighbours."""
+    inside: dict[int, bool] = {}
+    out = []
+    for node, path, _ in branches(root):
+        article = node.worth > 0 or (node.parent is not None and inside[id(node.parent)])
+        inside[id(node)] = article and node is not root
+        block = node.tag in BLOCK and node.tag not in ("html", "body")
+        declared = inside[id(node)]
+        if block and (path in low and not (declared and (node.tag in PROSE or node.worth > 0)) or path in slots and not declared):
+            out.append(node)
+    return out
 
 
-def _kept(root: Node, low: set[int]) -> list[str]:
+def _kept(root: Node, low: set[int], slots: set[int]) -> list[str]:
     """Blocks of a page without the branches of low importance."""
+    some = {id(node) for node in tree_removes(root, low, slots)} if low or slots else set()
     removed, todo, articles = set(), [root], []
-    some = {id(node) for node, path in branches(root) if low and not _settled(node) and path in low}
     while todo:
         node = todo.pop()
         for c in node.children:
@@ -273,40 +289,74 @@ def _place(node: Node) -> tuple[int, ...]:
     return tuple(reversed(at))
 
 
-def low_branches(pages: DataFrame, least_pages: int = 3, least_importance: float = 0.3, most_linked: float = 0.6) -> DataFrame:
-    """(host, path): branches of a host's style tree that are not important.
+#: Nats of variety (four presentations, equally often) from which on presentations count in full.
+FULL_VARIETY = 1.3863
+
+
+def importances(pages: DataFrame) -> DataFrame:
+    """(host, path, around, container, pages, chars, linked, repeated, importance) of each
+    node of the style trees of ``pages`` (host, html).
 
-    Importance is the greater one of the entropies of presentations and of contents over
-    the pages that have the branch, each divided by its greatest possible value. A
-    branch on fewer than ``least_pages`` pages is not judged.
+    ``repeated`` is one less the greater entropy, contents' or presentations'. Entropies are
+    divided by their greatest possible values; that of presentations counts in full from
+    ``FULL_VARIETY`` on. ``importance`` is half the node's own and half the mean of its
+    children's own, weighted by their characters; without children it is the node's own.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("path", pa.int64()), ("around", pa.int64()), ("container", pa.bool_()), ("shape", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("linked", pa.int64())]))
+        names = [f.name for f in kind.value_type]
         for batch in batches:
-            hosts, rows = batch.column("host").to_pylist(), []
-            for host, html in zip(hosts, batch.column("html").to_pylist(), strict=True):
-                page = _hash(html)
-                rows += [(host, page, *x) for x in _facts(tree(html))]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.string(), *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "page", "path", "shape", "content", "n", "linked"])
-
-    found = pages.select("host", "html").mapInArrow(work, "host string, page long, path long, shape long, content long, n long, linked long")
+            htmls = batch.column("html").to_pylist()
+            facts = [[dict(zip(names, x, strict=True)) for x in _facts(tree(h))] for h in htmls]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([_hash(h) for h in htmls], pa.int64()), pa.array(facts, kind)], names=["host", "page", "facts"])
+
+    fact = "struct<path: long, around: long, container: boolean, shape: long, content: long, n: long, linked: long>"
+    found = pages.select("host", "html").mapInArrow(work, f"host string, page long, facts array<{fact}>")
     # Copies of a page say nothing about its host.
-    facts = stored(found.distinct(), "branches")
+    once = found.groupBy("host", "page").agg(F.first("facts").alias("facts"))
+    facts = stored(once.select("host", F.inline("facts")), "branches")
+
+    def spread(what: str) -> DataFrame:
+        """Entropy H = log N - (sum n log n) / N over the pages of a path."""
+        each = facts.groupBy("host", "path", "around", "container", what).agg(F.count("*").alias("k"), F.sum("n").alias("chars"), F.sum("linked").alias("linked"))
+        return each.groupBy("host", "path").agg(
+            F.first("around").alias("around"), F.bool_or("container").alias("container"),
+            F.sum("k").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+            (F.log(F.sum("k")) - F.sum(F.col("k") * F.log("k")) / F.sum("k")).alias(what),
+        )
+
+    most = F.log(F.greatest("pages", F.lit(2)))
+    both = spread("content").join(spread("shape").select("host", "path", "shape"), ["host", "path"])
+    own = both.select(
+        "host", "path", "around", "container", "pages", "chars", "linked",
+        (F.col("content") / most).alias("content"), (F.col("shape") / most).alias("even_shape"),
+        F.least(F.lit(1.0), F.col("shape") / F.least(most, F.lit(FULL_VARIETY))).alias("shape"),
+    ).withColumn("own", (F.col("content") + F.col("shape")) / 2 * (1 - F.coalesce(F.try_divide("linked", "chars"), F.lit(0.0))))
+    own = stored(own, "importances")
+    children = own.filter("path <> around").groupBy("host", F.col("around").alias("path")).agg(
+        F.try_divide(F.sum(F.col("own") * F.col("chars")), F.sum("chars")).alias("below")
+    )
+    return own.join(children, ["host", "path"], "left").select(
+        "host", "path", "around", "container", "pages", "chars", "linked", (1 - F.greatest("content", "even_shape")).alias("repeated"),
+        F.when(F.col("below").isNull(), F.col("own")).otherwise((F.col("own") + F.col("below")) / 2).alias("importance"),
+    )
 
-    def entropy(what: str) -> DataFrame:
-        each = facts.groupBy("host", "path", what).agg(F.count("*").alias("n"), F.sum("n").alias("chars"), F.sum("linked").alias("linked"))
-        total = each.groupBy("host", "path").agg(
-            F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
-        )
-        # H = log N - (sum n log n) / N, of at most log N
-        return total.select("host", "path", "pages", "chars", "linked", (1 - F.col("n_log_n") / F.col("pages") / F.log(F.greatest("pages", F.lit(2)))).alias(f"{what}_entropy"))
 
-    both = entropy("content").join(entropy("shape").select("host", "path", "shape_entropy"), ["host", "path"])
-    return both.filter(F.col("pages") >= least_pages).filter(
-        (F.greatest("content_entropy", "shape_entropy") < least_importance) | (F.col("linked") > most_linked * F.col("chars"))
-    ).select("host", "path")
+def low_branches(pages: DataFrame, least_pages: int = 3, least_importance: float = 0.3, most_linked: float = 0.6, least_share: float = 0.7) -> DataFrame:
+    """(host, path, slot): branches of a host's style tree that are not important.
+
+    These have entropies below ``least_importance``, or are links for the most part, or
+    (``slot``) are containers of less than ``least_share`` of the importance of the
+    most important container beside them, which also has more text. A branch on fewer
+    than ``least_pages`` pages is not judged.
+    """
+    found = importances(pages).filter(F.col("pages") >= least_pages)
+    top = found.filter("container").groupBy("host", "around").agg(F.max(F.struct("importance", "chars")).alias("top"))
+    judged = found.join(top, ["host", "around"], "left")
+    low = (F.col("repeated") > 1 - least_importance) | (F.col("linked") > most_linked * F.col("chars"))
+    slot = F.col("container") & (F.col("importance") < least_share * F.col("top.importance")) & (F.col("chars") < F.col("top.chars"))
+    return judged.filter(low | slot).select("host", "path", (~low).alias("slot"))
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -322,13 +372,15 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
     )
     # One row for each host, with the hashes of branches that templates repeat.
-    low = low_branches(given).groupBy("host").agg(F.collect_set("path").alias("low"))
+    paths = low_branches(given).groupBy("host").agg(
+        F.collect_set(F.when(~F.col("slot"), F.col("path"))).alias("low"), F.collect_set(F.when(F.col("slot"), F.col("path"))).alias("slots")
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low_ = batch.column("low").to_pylist()
-            text = ["\n".join(_kept(tree(h), set(x or ()))) for h, x in zip(batch.column("html").to_pylist(), low_, strict=True)]
+            html, low, slots = (batch.column(c).to_pylist() for c in ("html", "low", "slots"))
+            text = ["\n".join(_kept(tree(h), set(x or ()), set(y or ()))) for h, x, y in zip(html, low, slots, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string())], names=["row", "text"])
 
     schema = T.StructType([given.schema["row"], T.StructField("text", T.StringType())])
-    return given.join(low, "host", "left").select("row", "html", "low").mapInArrow(work, schema)
+    return given.join(paths, "host", "left").select("row", "html", "low", "slots").mapInArrow(work, schema)

@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 
 from spanloom.llm import extract
 from spanloom.llm.queries import QUERIES
@@ -35,6 +36,29 @@ def test_branches_that_a_site_repeats_are_removed(spark):
     assert got[12].startswith("Site of everything") and got[12].endswith("All rights")
 
 
+def _one_site(spark, pages):
+    return spark.createDataFrame([(i, f"http://a.org/{i}", h) for i, h in pages.items()], "page_id long, url string, html string")
+
+
+def test_the_tree_alone_finds_the_articles(spark):
+    """Names are taken away: no class, no id, no role, and every block container a div."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    bare = {k: re.sub(r"<(/?)(?:nav|article|footer|aside|header|main|section|div)\b[^>]*>", r"<\1div>", v) for k, v in pages.items()}
+    got = {r["row"]["page_id"]: r["text"] for r in extract.main_text(_one_site(spark, bare)).collect()}
+    right = [got[k] == article(v) for k, v in pages.items()]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def test_the_tree_removes_nodes_of_the_test_pages(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    site = _one_site(spark, pages).selectExpr("'a.org' AS host", "html")
+    found = extract.low_branches(site).collect()
+    low, slots = ({r["path"] for r in found if r["slot"] is x} for x in (False, True))
+    tags = Counter(n.tag if n.label == n.tag else n.label for h in pages.values() for n in extract.tree_removes(extract.tree(h), low, slots))
+    assert min(tags["nav"], tags["div.ad"], tags["footer"]) == len(pages)
+    assert not tags.keys() & {"article", "p", "h1"}
+
+
 def test_what_elements_say_of_themselves(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>H</header><div class="cookie-notice">We use</div>
     <div id=main><h1>A &amp; B</h1><p>One <i>two</i>three<br>four
