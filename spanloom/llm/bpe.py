@@ -124,6 +124,8 @@ class Coder:
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        #: Pieces of this generation with white space at an edge, and the empty one.
+        self.odd: set[str] = set()
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -154,7 +156,8 @@ class Coder:
         out = []
         for first, end in _runs(words, SLICE if query == SHORT else LONG_SLICE):
             w, tok = self.merge(words[first:end], query)
-            out += np.split(tok, np.cumsum(np.bincount(w, minlength=end - first))[:-1])
+            ends = np.bincount(w, minlength=end - first).cumsum().tolist()
+            out += [tok[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
     def encode(self, words: list[str]) -> list[np.ndarray]:
@@ -245,9 +248,8 @@ class Coder:
         parts[1:] = [" " + x for x in parts[1:]]
         return parts
 
-    def unknown(self, words: list[list[str]]) -> set[str]:
-        """The pieces that are new; those of the generation before are taken over."""
-        fresh = set().union(*words).difference(self.ids)
+    def unknown(self, fresh: set[str]) -> set[str]:
+        """Which of these have no ids yet; those of the generation before are taken over."""
         ids, decoded = self.old
         for x in fresh & ids.keys():
             self.ids[x], self.decoded[x] = ids[x], decoded[x]
@@ -256,20 +258,27 @@ class Coder:
     def learn(self, texts: list[str]) -> list[list[str]]:
         """Make sure that all words of these texts are known; their words."""
         if len(self.ids) > CACHE_WORDS // 2:
-            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+            self.old, self.ids, self.decoded, self.odd = (self.ids, self.decoded), {}, {}, set()
         words = [self.pieces(x) for x in texts]
+        seen = set().union(*words)
+        fresh = seen.difference(self.ids)
         edge = self.edge
         # Known pieces too: that ' ' is known says nothing of a text with three in a row.
-        odd = {x for x in set().union(*words) if not (x[-1:].isalnum() and x[1:2].isalnum()) and edge(x.removeprefix(" "))}
+        # Each is looked at when it first comes in a generation.
+        self.odd |= {x for x in fresh if not (x[-1:].isalnum() and x[1:2].isalnum()) and edge(x.removeprefix(" "))}
+        odd = seen & self.odd
         if odd:
-            words = [part if odd.isdisjoint(part) else grouped(part, odd) for part in words]
-        fresh = self.unknown(words)
+            put = {i: grouped(part, odd) for i, part in enumerate(words) if not odd.isdisjoint(part)}
+            for i, part in put.items():
+                words[i] = part
+            fresh = (fresh - odd).union(*put.values()).difference(self.ids)
+        fresh = self.unknown(fresh)
         if fresh:
             parts = {x: self.split(x) for x in fresh}
             tokens = list({p for part in parts.values() for p in part})
             ids = self.encode(tokens)
             decoded = dict(zip(tokens, self.decode(ids), strict=True))
-            ids = {p: x.astype(np.int32).tobytes() for p, x in zip(tokens, ids, strict=True)}
+            ids = {p: x.tobytes() for p, x in zip(tokens, ids, strict=True)}
             for x, part in parts.items():
                 if len(part) == 1:
                     self.ids[x], self.decoded[x] = ids[part[0]], decoded[part[0]]
