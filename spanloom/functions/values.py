@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,12 @@ def contains_any(c: str | Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(col(c), F.lit(w)) for w in words])
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, where the value is computed once for all places that `use` has for it.
+    Spark computes a costly expression anew wherever it is written below a condition."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_time(c: str | Column) -> Column:
     """ISO text to TIMESTAMP; zone-less text is UTC, unreadable text is null. A text
     that does not begin with a whole date (a time of day, a year) is unreadable."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text_udfs import embedded_dict, unpacked_json
-from spanloom.functions.values import contains_any, first_truthy, truthy, with_times
+from spanloom.functions.values import bound, contains_any, first_truthy, truthy, with_times
 from spanloom.functions.entries import message_text
 from spanloom.schema import SPAN_COLUMNS
 
@@ -100,7 +100,7 @@ def extract_field(layered: Column, names: list[str]) -> Column:
         ),
     )
     hit = F.get(F.filter(hits, lambda h: h["name"].isNotNull()), F.lit(0))
-    return F.struct(hit.isNotNull().alias("found"), F.element_at(hit["m"], hit["name"]).alias("value"))
+    return bound(hit, lambda h: F.struct(h.isNotNull().alias("found"), F.element_at(h["m"], h["name"]).alias("value")))
 
 
 def flatten_wrappers(record: Column) -> Column:
@@ -132,11 +132,19 @@ def normalise_records(records: DataFrame, house_prefix: str | None = None) -> Da
     opened = records.select("seq", unpacked_json(F.col("json")).alias("json"))
     mapped = opened.select("seq", json_map(F.col("json")).alias("rec"))
     layered = mapped.select("seq", "rec", layers(F.col("rec")).alias("layers"))
+    # Rows out of a generator: a filter of the caller, on an id that is put together from
+    # several fields, stays above it. Moved below, it would look all fields up again.
     fields = layered.select(
         "seq",
         "rec",
-        message_text("rec").alias("message"),
-        *[extract_field(F.col("layers"), names).alias(f"f_{c}") for c, names in table.items()],
+        F.inline(
+            F.array(
+                F.struct(
+                    message_text("rec").alias("message"),
+                    *[extract_field(F.col("layers"), names).alias(f"f_{c}") for c, names in table.items()],
+                )
+            )
+        ),
     )
     app = F.lower(F.coalesce(F.col("rec")["appname"], F.lit("")))
     logger = F.lower(F.coalesce(F.col("rec")["logger_name"], F.lit("")))
