@@ -11,7 +11,7 @@ from spanloom.operators import profile as pf
 from spanloom.operators.chains import chain_entries, with_payload
 from spanloom.plans.graph import _chains, on_entries
 from spanloom.plans.oracle import EV, LINES, on_spans, sql
-from spanloom.session import scratch_path
+from spanloom.session import scratch_path, stored
 from spanloom.sources import bundles, sinks, tables
 from spanloom.sources.arrays import array_elements
 from spanloom.sources.driver_tables import raw_logs, spans, table
@@ -82,7 +82,7 @@ def chain_bundle(spark: SparkSession, d: str) -> DataFrame:
     """Raw lines of chains, out of a bundle of spans, lines and facts."""
     path = scratch_path(spark, "chain-bundle")
     lines = raw_logs(spark, d).select("seq", F.col("message").alias("line"))
-    entries = pf.log_entries(scan_log_lines(lines).select("seq", "json"))
+    entries = stored(pf.log_entries(scan_log_lines(lines).select("seq", "json")), "entries")
     bundles.write_chains(with_payload(chain_entries(entries), entries), lines, path)
     raw, spans_, chains = (bundles.read_bundle(spark, path, n) for n in ("lines", "spans", "chains"))
     per = raw.groupBy("chain_id").agg(F.count(F.lit(1)).alias("lines"), F.min("seq").alias("first_line"))

@@ -12,16 +12,18 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.redaction import RedactionConfig, redact_text
 from spanloom.operators.chains import bridge_values, chain_spans, chain_summary
-from spanloom.session import checkpoint
+from spanloom.session import stored
 from spanloom.sources.sinks import redact_spans
 
 _CURRENT = "_current"
 _STAGING = "_staging-"
+#: Folders that the chains of a bundle are dealt over.
+CHAIN_FOLDERS = 32
 
 
 class _Folder:
@@ -119,19 +121,34 @@ def read_bundle(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write_chains(chained: DataFrame, lines: DataFrame, path: str, config: RedactionConfig = RedactionConfig()) -> str:
-    """Chains with their spans, raw lines and facts, a folder for each chain.
+    """Chains with their spans, raw lines and facts. All rows of a chain lie in one of
+    `CHAIN_FOLDERS` folders, which `read_chain` knows: a folder for each chain would be as
+    many folders and files as there are chains.
 
     `chained` comes from `with_payload`, `lines` has (seq, line) and `seq` is the place an
     entry came from. Spans and lines are redacted. Outputs: `spans`, `lines` and
     `chains`; the manifest counts chains and entries.
     """
     spark = chained.sparkSession
-    chained = checkpoint(chained)
+    chained = stored(chained, "chained")
     spans = redact_spans(chain_spans(chained), config)
     raw = lines.join(chained.select(F.col("idx").alias("seq"), "chain_id"), "seq").select("seq", "chain_id", redact_text(F.col("line"), config).alias("line"))
-    totals = chained.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("chain_id").alias("chains"), F.count_distinct("component").alias("components")).first()
-    bridges = bridge_values(chained).select("value").distinct().count()
+    summary = stored(chain_summary(chained), "chain-summary")
+    totals = summary.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.count(F.lit(1)).alias("chains")).first()
+    components = chained.select("component").distinct().count()
+    bridges = summary.select(F.explode("bridges").alias("value")).distinct().count()
+    outputs = {"spans": spans, "lines": raw, "chains": summary}
     return write_bundle(
-        spark, path, {"spans": spans, "lines": raw, "chains": chain_summary(chained)}, "chain_id",
-        {"entries": totals["entries"], "chains": totals["chains"], "components": totals["components"], "bridges": bridges},
+        spark, path, {name: rows.withColumn("folder", _chain_folder(F.col("chain_id"))) for name, rows in outputs.items()}, "folder",
+        {"entries": totals["entries"], "chains": totals["chains"], "components": components, "bridges": bridges},
     )
+
+
+def _chain_folder(chain_id: Column) -> Column:
+    return F.pmod(F.xxhash64(chain_id), F.lit(CHAIN_FOLDERS)).cast("int")
+
+
+def read_chain(spark: SparkSession, path: str, name: str, chain_id: str) -> DataFrame:
+    """One output of one chain; reads that chain's folder only."""
+    rows = read_bundle(spark, path, name)
+    return rows.filter((F.col("folder") == _chain_folder(F.lit(chain_id))) & (F.col("chain_id") == chain_id)).drop("folder")
