@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.functions.values import contains_any, first_truthy, truthy
+from spanloom.functions.values import bound, contains_any, first_truthy, truthy
 
 # Words that hint at a component, in order of preference on ties.
 COMPONENT_WORDS = {
@@ -56,16 +56,22 @@ def written_message(json: str | Column, record: str | Column) -> Column:
 
 def words_score(text: Column) -> Column:
     """Component whose words occur most often in a lower-case text, else null."""
-    scored = [
-        F.struct(
-            sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("score"),
-            F.lit(-rank).alias("rank"),
-            F.lit(name).alias("name"),
+
+    def scored(low: Column) -> Column:
+        return F.array_max(
+            F.array(
+                *[
+                    F.struct(
+                        sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("score"),
+                        F.lit(-rank).alias("rank"),
+                        F.lit(name).alias("name"),
+                    )
+                    for rank, (name, words) in enumerate(COMPONENT_WORDS.items())
+                ]
+            )
         )
-        for rank, (name, words) in enumerate(COMPONENT_WORDS.items())
-    ]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["score"] > 0, best["name"])
+
+    return bound(bound(text, scored), lambda best: F.when(best["score"] > 0, best["name"]))
 
 
 def detect_component(record: str | Column, inferred: Column, text: Column) -> Column:

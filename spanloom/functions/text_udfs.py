@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.functions.values import bound
+
 # Where a Python dict starts in free text.
 DICT_IN_TEXT = r"""\{['"][\w_]+['"]\s*:\s*.+\}"""
 BRACES_JSON = r"(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})"
@@ -176,32 +178,35 @@ _FLAT = r"""^\s*\{\s*("(?:[^"\\{}\[\]]++|\\[^u])*+"\s*:\s*("(?:[^"\\{}\[\]]++|\\
 _FLAT_MOST = 4000
 
 
-def _flat_map(json_text: Column) -> Column:
-    """MAP of a record that is flat, else null; its keys stand in their order."""
+def flat_record(json_text: Column) -> Column:
+    """MAP of a record that is flat, else null; its keys stand in their order. Costly: to
+    be a column of its own, which the functions below take."""
     short = F.length(json_text) <= _FLAT_MOST
     record = F.from_json(F.when(short & json_text.rlike(_FLAT), json_text), "map<string,string>")
     # A key written twice would count once.
-    return F.when(F.size(F.json_object_keys(json_text)) == F.size(F.array_distinct(F.map_keys(record))), record)
+    once = lambda r: F.when(F.size(F.json_object_keys(json_text)) == F.size(F.array_distinct(F.map_keys(r))), r)
+    return bound(record, lambda r: F.when(r.isNotNull(), once(r)))
 
 
-def searchable_text(json_text: Column) -> Column:
-    """`key=value` text of a record. Flat records do not enter Python."""
-    flat = _flat_map(json_text)
+def searchable_text(json_text: Column, flat: Column | None = None) -> Column:
+    """`key=value` text of a record. Flat records (see `flat_record`) do not enter Python."""
+    flat = flat_record(json_text) if flat is None else flat
     parts = F.transform(F.map_entries(flat), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.coalesce(F.array_join(parts, " "), _searchable_udf(F.when(flat.isNull(), json_text)))
 
 
-def flat_values(json_text: Column) -> Column:
+def flat_values(json_text: Column, flat: Column | None = None) -> Column:
     """MAP of path to value of a record. Flat records do not enter Python."""
-    flat = _flat_map(json_text)
+    flat = flat_record(json_text) if flat is None else flat
     return F.coalesce(flat, _flat_udf(F.when(flat.isNull(), json_text)))
 
 
-def nested_data(json_text: Column) -> Column:
+def nested_data(json_text: Column, flat: Column | None = None) -> Column:
     """Objects inside strings. Flat records do not enter Python."""
-    flat = _flat_map(json_text)
+    flat = flat_record(json_text) if flat is None else flat
     return F.coalesce(F.when(flat.isNotNull(), F.array().cast("array<string>")), _nested_udf(F.when(flat.isNull(), json_text)))
 
+
 # A string value that itself starts like JSON.
 _STRING_HOLDS_JSON = r"""[:\[,]\s*"\s*(\{|\[|\\")"""
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.entries import detect_component, written_message
-from spanloom.functions.text_udfs import embedded_dict, flat_values, nested_data, searchable_text
-from spanloom.functions.values import first_truthy, parse_time
+from spanloom.functions.text_udfs import embedded_dict, flat_record, flat_values, nested_data, searchable_text
+from spanloom.functions.values import bound, contains_any, first_truthy, parse_time
 from spanloom.operators.normalise import json_map
 
 # What each identifier looks like in text; the first group is its value.
@@ -30,6 +32,22 @@ HARVEST = {
     "arns": [r"(arn:aws:[a-z0-9-]+:[a-z0-9-]*:\d{12}:[a-zA-Z0-9/:_-]+)"],
     "uuids": [r"(?i)\b(" + _UUID + r")\b"],
 }
+# Words without one of which, in lower case, no text can match: most texts are spared the
+# patterns.
+HARVEST_WORDS = {
+    "agent_ids": ["agent"],
+    "alias_ids": ["alias"],
+    "session_ids": ["session"],
+    "trace_ids": ["trace"],
+    "request_ids": ["request"],
+    "correlation_ids": ["correlation"],
+    "message_ids": ["message"],
+    "slack_channels": ["channel"],
+    "slack_thread_ts": ["ts", "thread"],
+    "slack_users": ["user"],
+    "arns": ["arn:aws:"],
+    "uuids": ["-"],
+}
 # Shorter values of these are noise.
 LONGER_THAN = {"session_ids": 5, "message_ids": 3}
 
@@ -49,6 +67,16 @@ COMPONENT_PATTERNS = {
     "s3": [r"s3://", r"(?i)bucket[_\s]?name"],
 }
 
+# A word, in lower case, that each of these patterns needs.
+_PATTERN_WORDS = {
+    "bedrock": ["bedrock", "agent", "invokeagent", "orchestrationtrace", "knowledgebase"],
+    "slack": ["slack", "slackmessage", "thread_ts", "channel"],
+    "lambda": ["lambda", "handler", "lambda_", "request"],
+    "sqs": ["sqs", "message", "receipt"],
+    "dynamodb": ["dynamodb", "table", "item"],
+    "s3": ["s3://", "bucket"],
+}
+
 TIME_KEYS = ["timestamp", "@timestamp", "time", "eventTime", "ts"]
 LEVEL_KEYS = ["level", "severity", "log_level", "@level"]
 
@@ -66,8 +94,10 @@ KEY_TYPES = {
 NOISY_TYPES = {"slack_users": "user", "uuids": "uuid"}
 
 
-def harvest(text: Column, name: str) -> Column:
-    """Distinct identifiers of one kind, in order of appearance."""
+def harvest(text: Column, name: str, low: Column | None = None) -> Column:
+    """Distinct identifiers of one kind, in order of appearance. `low` is the text in lower
+    case, where that is a column already."""
+    low = F.lower(text) if low is None else low
     parts = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in HARVEST[name]]
     values = parts[0] if len(parts) == 1 else F.concat(*parts)
     if name == "uuids":
@@ -75,7 +105,8 @@ def harvest(text: Column, name: str) -> Column:
     if name in LONGER_THAN:
         least = LONGER_THAN[name]
         values = F.filter(values, lambda v: F.length(v) > least)
-    return F.array_distinct(values)
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(contains_any(low, HARVEST_WORDS[name]), F.array_distinct(values)).otherwise(none)
 
 
 def _first_key(record: Column, keys: list[str]) -> Column:
@@ -94,12 +125,12 @@ def wall_time(text: Column) -> Column:
     return parse_time(F.regexp_replace(text, r"(Z|[+-]\d{2}:\d{2})$", ""))
 
 
-def _component(text: Column, logger: Column) -> Column:
-    """STRUCT(name, confidence): share of matching patterns plus evidence."""
+def _component(text: Column, logger: Column, words: Column) -> Column:
+    """STRUCT(name, confidence): share of matching patterns plus evidence. `words` is the
+    text in lower case."""
     low = F.lower(F.coalesce(logger, F.lit("")))
-    scored = []
-    for rank, (name, patterns) in enumerate(COMPONENT_PATTERNS.items()):
-        hits = sum((text.rlike(p).cast("double") for p in patterns), F.lit(0.0)) / float(len(patterns))
+
+    def score(rank: int, name: str, hits: Column) -> Column:
         extra = F.lit(0.0)
         if name == "bedrock":
             extra = F.when(F.size("agent_ids") > 0, 0.5).otherwise(0.0)
@@ -109,40 +140,56 @@ def _component(text: Column, logger: Column) -> Column:
         named = F.when(F.contains(low, F.lit(name)), 0.3).otherwise(0.0)
         # A component only known from evidence ranks behind those that patterns found.
         order = F.when(hits > 0, -rank).otherwise(-rank - 100)
-        scored.append(
-            F.struct((hits + extra + named).alias("score"), order.alias("order"), F.lit(name).alias("name"))
-        )
-    best = F.array_max(F.array(*scored))
-    return F.when(
-        best["score"] > 0,
-        F.struct(best["name"].alias("name"), F.least(best["score"], F.lit(1.0)).alias("confidence")),
+        return F.struct((hits + extra + named).alias("score"), order.alias("order"), F.lit(name).alias("name"))
+
+    scored = []
+    for rank, (name, patterns) in enumerate(COMPONENT_PATTERNS.items()):
+        found = [F.contains(words, F.lit(w)) & text.rlike(p) for w, p in zip(_PATTERN_WORDS[name], patterns, strict=True)]
+        hits = sum((f.cast("double") for f in found), F.lit(0.0)) / float(len(patterns))
+        scored.append(bound(hits, partial(score, rank, name)))
+    return bound(
+        F.array_max(F.array(*scored)),
+        lambda best: F.when(
+            best["score"] > 0,
+            F.struct(best["name"].alias("name"), F.least(best["score"], F.lit(1.0)).alias("confidence")),
+        ),
     )
 
 
-def unwrap_envelope(record: Column, inner: Column) -> Column:
-    """Record inside `message` with the outer times, for records that are a bare
-    envelope; `inner` is the MAP read from the message, or null."""
+def _bare_envelope(record: Column, inner: Column) -> Column:
     marked = F.lit(False)
     for key in ("appname", "level", "logger_name", "component"):
         marked = marked | F.map_contains_key(record, key)
+    return F.coalesce(~marked & (F.size(inner) > 0), F.lit(False))
+
+
+def unwrap_envelope(record: Column, inner: Column) -> Column:
+    """Record inside `message` with the outer times, for records that are a bare
+    envelope; `inner` is the MAP read from the message, or null."""
     times = F.map_filter(record, lambda k, _: k.isin("timestamp", "@timestamp"))
-    use = ~marked & (F.size(inner) > 0)
-    return F.when(F.coalesce(use, F.lit(False)), F.map_concat(times, inner)).otherwise(record)
+    return F.when(_bare_envelope(record, inner), F.map_concat(times, inner)).otherwise(record)
 
 
 def read_records(records: DataFrame) -> DataFrame:
     """(idx, record, json, embedded) out of (seq, json): envelopes removed, and the
-    Python dict inside the message as JSON text."""
+    Python dict inside the message as JSON text.
+
+    What several columns need is a column of an earlier step, so that each text is parsed
+    once.
+    """
     base = records.select(F.col("seq").alias("idx"), "json", json_map(F.col("json")).alias("outer"))
     # A message that is an object itself is no envelope.
-    message = F.nullif(written_message("json", "outer"), F.lit(""))
-    base = base.withColumn("_dict", embedded_dict(message))
+    base = base.withColumn("_message", F.nullif(written_message("json", "outer"), F.lit("")))
+    message = F.col("_message")
+    base = base.withColumn("_dict", embedded_dict(message)).withColumn("_own", json_map(message))
     # Merging would put the text of nested values through a string map; the JSON
     # text of an unwrapped record is rebuilt only where something was unwrapped.
-    inner_json = F.coalesce(F.when(json_map(message).isNotNull(), message), F.col("_dict"))
-    base = base.withColumn("_inner", json_map(inner_json)).withColumn("_inner_json", inner_json)
+    base = base.withColumn("_inner_json", F.coalesce(F.when(F.col("_own").isNotNull(), message), F.col("_dict")))
+    base = base.withColumn("_inner", F.coalesce("_own", json_map(F.col("_dict"))))
     base = base.withColumn("record", unwrap_envelope(F.col("outer"), F.col("_inner")))
-    unwrapped = F.to_json("record") != F.to_json("outer")
+    differs = F.to_json("record") != F.to_json("outer")
+    base = base.withColumn("_unwrapped", _bare_envelope(F.col("outer"), F.col("_inner")) & differs)
+    unwrapped = F.col("_unwrapped")
     again = F.when(unwrapped, embedded_dict(F.when(unwrapped, F.col("record")["message"]))).otherwise(F.col("_dict"))
     return base.select(
         "idx",
@@ -168,33 +215,37 @@ def _with_times_in(inner_json: Column, inner: Column, outer: Column) -> Column:
 def fact_sheets(records: DataFrame) -> DataFrame:
     """One wide row per record of `read_records`."""
     rec = F.col("record")
-    base = records.select(
-        "*",
-        searchable_text(F.col("json")).alias("text"),
+    base = records.withColumn("_flat", flat_record(F.col("json"))).select(
+        *records.columns,
+        searchable_text(F.col("json"), F.col("_flat")).alias("text"),
         record_time(rec).alias("timestamp"),
         F.upper(_first_key(rec, LEVEL_KEYS)).alias("level"),
         first_truthy(rec["logger_name"], rec["logger"]).alias("logger_name"),
         first_truthy(rec["appname"], rec["app"]).alias("appname"),
         rec["message"].alias("message"),
     )
+    base = base.withColumn("_low", F.lower("text"))
     sheets = base.select(
         "*",
         wall_time(F.col("timestamp")).alias("timestamp_parsed"),
-        *[harvest(F.col("text"), name).alias(name) for name in HARVEST],
+        *[harvest(F.col("text"), name, F.col("_low")).alias(name) for name in HARVEST],
     )
-    inferred = _component(F.col("text"), F.col("logger_name"))
+    inferred = _component(F.col("text"), F.col("logger_name"), F.col("_low"))
     return (
         sheets.withColumn("_c", inferred)
         .withColumn("component", F.col("_c.name"))
         .withColumn("confidence", F.coalesce("_c.confidence", F.lit(0.0)))
-        .drop("_c")
+        .drop("_c", "_low")
     )
 
 
 def with_nested_values(sheets: DataFrame) -> DataFrame:
     """Add `extracted_kvs` (path to value) and `nested_data` (objects in strings)."""
-    return sheets.withColumn("extracted_kvs", flat_values(F.col("json"))).withColumn(
-        "nested_data", nested_data(F.col("json"))
+    json, flat = F.col("json"), F.col("_flat")
+    return (
+        sheets.withColumn("_flat", flat_record(json))
+        .withColumns({"extracted_kvs": flat_values(json, flat), "nested_data": nested_data(json, flat)})
+        .drop("_flat")
     )
 
 

@@ -12,6 +12,7 @@ from spanloom.operators import profile as pf
 from spanloom.operators import stitch as st
 from spanloom.plans.oracle import EV, LINES, on_spans, sql
 from spanloom.plans.texts import _SEARCH, _SHEETS, _UNWRAPPED
+from spanloom.session import stored
 from spanloom.sources.driver_tables import raw_logs, spans
 from spanloom.sources.logs import scan_log_lines
 
@@ -70,7 +71,8 @@ def chain_summary(spark, d):
 
 
 def chain_spans(spark, d):
-    entries = _entries(spark, d)
+    # Read twice below; lines are parsed once.
+    entries = stored(_entries(spark, d), "entries")
     return ch.chain_spans(ch.with_payload(ch.chain_entries(entries), entries)).select(
         "seq", "span_id", "parent_span_id", "component", "operation", "attempt", "trace_id", "thread_id",
         F.col("error").isNotNull().alias("failed"), F.col("response").isNotNull().alias("answered"),
@@ -78,7 +80,7 @@ def chain_spans(spark, d):
 
 
 def derived_chain_cases(spark, d):
-    entries = _entries(spark, d)
+    entries = stored(_entries(spark, d), "entries")
     chained = ch.chain_entries(entries)
     facts = ch.with_min_components(ch.chain_facts(chained))
     cases = dv.cases_from_chains(ch.with_payload(chained, entries), facts, ch.primary_bridges(ch.bridge_values(chained)))

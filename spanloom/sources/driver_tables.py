@@ -35,12 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Input tasks for each core below which a table is dealt out before heavy work.
+_TASKS_PER_CORE = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` dealt into as many partitions as the setting `spanloom.partitions` states;
-    as it is where that is unset. For a few small files with much work on each row; large
-    inputs have parts enough."""
-    parts = df.sparkSession.conf.get("spanloom.partitions", None)
-    return df.repartition(int(parts)) if parts else df
+    where that is unset, into some for each core if its files give fewer: a file is cut at
+    its row groups only, so few large ones keep few cores busy. For much work on each
+    row; large inputs have parts enough."""
+    spark = df.sparkSession
+    parts = spark.conf.get("spanloom.partitions", None)
+    if parts:
+        return df.repartition(int(parts))
+    wanted = _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
