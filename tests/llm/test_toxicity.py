@@ -1,6 +1,7 @@
 """Held-out accuracy, tables against plain convolution, and odd rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spanloom.llm import toxicity
 from spanloom.llm.queries import QUERIES
@@ -41,3 +42,18 @@ def test_nulls_and_empty_tables(spark):
     assert toxicity.train(docs, docs.filter("toxic = 0")) is None
     assert {r["score"] for r in toxicity.score(docs.select("id", "text"), None).collect()} == {0.0}
     assert toxicity.score(docs.select("id", "text").limit(0), model).collect() == []
+
+
+def test_thresholds_count_all_labelled_rows(spark):
+    rows = [(i, f"{'awful' if i % 5 == 0 else 'fine'} words {'bad' * (i % 7 == 0)} number {i}", "en", int(i % 5 == 0 or i % 7 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string, toxic int").repartition(5)
+    model = toxicity.train(docs, docs, sample=20)
+    model.shift = np.zeros(1)
+    texts = [r[1].encode() for r in rows]
+    ids, n = toxicity.word_ids(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    raw = np.rint(toxicity.logits(model, ids, n) * toxicity.BINS) / toxicity.BINS
+    toxic = np.array([r[3] for r in rows])
+    toxicity.set_thresholds(model, docs, docs.select("id", "toxic"), F.lit(False))
+    limit = np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD)) - model.shift[0]
+    f1 = lambda cut: 2 * (toxic * (raw > cut)).sum() / ((raw > cut).sum() + toxic.sum())
+    assert np.isclose(f1(limit), max(f1(c) for c in np.append(raw - 1e-6, raw.min() - 1)))
