@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.hashing import Substrings, mixed, words
@@ -209,8 +209,15 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.select("node", "n").distinct().join(together, "node").select(F.xxhash64("label").alias("g"), "node", "n")
 
 
+def _as_differences(both: DataFrame, least: float) -> DataFrame:
+    """(g, node, n, m, d, o, c, need) of rows with a centre's size ``m``, what a bag lacks of
+    it (``d``) and has besides (``o``)."""
+    c = F.size("d") + F.lit(least) * F.size("o")
+    return both.select("g", "node", "n", "m", "d", "o", c.alias("c"), (c - F.lit(1 - least) * F.col("m")).alias("need"))
+
+
 def _differences(groups: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """(g, node, n, c, need, differences) of each class to the centre of its group.
+    """The differences of each class to the centre of its group.
 
     A centre has at most twice as many shingles as the group's mean bag.
     """
@@ -218,11 +225,33 @@ def _differences(groups: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     size = groups.groupBy("g").agg(F.count("*").alias("size"))
     often = with_bag.select("g", F.explode("bag").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k"))
     centre = often.join(size, "g").filter("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("centre"))
-    none = F.array().cast("array<bigint>")
-    both = with_bag.join(centre, "g", "left").withColumn("centre", F.coalesce("centre", none))
+    both = with_bag.join(centre, "g", "left").withColumn("centre", F.coalesce("centre", _none()))
     both = both.select("g", "node", "n", F.size("centre").alias("m"), F.array_except("centre", "bag").alias("d"), F.array_except("bag", "centre").alias("o"))
-    c = F.size("d") + F.lit(least) * F.size("o")
-    return both.select("g", "node", "n", c.alias("c"), (c - F.lit(1 - least) * F.col("m")).alias("need"), F.concat("d", "o").alias("differences"))
+    return _as_differences(both, least)
+
+
+def _inner_differences(groups: DataFrame, diffs: DataFrame, least: float) -> DataFrame:
+    """The same for groups within a group ``p``, out of the differences to its centre alone:
+    the new centre is the old one but for the differences that more than half of the
+    classes have, so bags are not unfolded again."""
+    given = groups.join(diffs.select(F.col("g").alias("p"), "node", "m", "d", "o"), ["p", "node"])
+    size = groups.groupBy("g").agg(F.count("*").alias("size"))
+    signed = lambda c, lacks: F.transform(c, lambda e: F.struct(e.alias("e"), F.lit(lacks).alias("lacks")))
+    each = given.select("g", F.explode(F.concat(signed("d", True), signed("o", False))).alias("x")).select("g", "x.e", "x.lacks")
+    often = each.groupBy("g", "e").agg(F.count("*").alias("k"), F.first("lacks").alias("lacks")).join(size, "g").filter("2 * k > size")
+    side = lambda lacks: F.collect_list(F.when(lacks, F.col("e")))
+    moved = often.groupBy("g").agg(side(F.col("lacks")).alias("out"), side(~F.col("lacks")).alias("in"))
+    both = given.join(moved, "g", "left").withColumns({c: F.coalesce(c, _none()) for c in ("out", "in")})
+    both = both.select(
+        "g", "node", "n", (F.col("m") - F.size("out") + F.size("in")).alias("m"),
+        F.concat(F.array_except("d", "out"), F.array_except("in", "o")).alias("d"),
+        F.concat(F.array_except("o", "in"), F.array_except("out", "d")).alias("o"),
+    )
+    return _as_differences(both, least)
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def _by_centre(diffs: DataFrame) -> DataFrame:
@@ -232,26 +261,33 @@ def _by_centre(diffs: DataFrame) -> DataFrame:
     return linked.select(F.col("a.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _meetings(diffs: DataFrame, least: float) -> DataFrame:
-    """(g, node, n, need, slack): under which differences, as new groups, classes have to
-    meet so that each pair that is similar enough and shares a difference meets once or more.
+def _meetings(diffs: DataFrame, label: DataFrame, least: float) -> DataFrame:
+    """(g, p, node, n, label, need, slack): under which differences, as new groups within
+    ``p``, classes have to meet so that each pair that is similar enough, shares a difference
+    and is not together yet meets once or more.
 
     A pair shares ``need`` differences of either, at least, and either's ``need`` is at
-    most the other's ``slack``.
+    most the other's ``slack``. It also shares (c + the other's ``need``) / (1 + t), and the
+    other's is at least the least that any difference is met with.
     """
-    each = diffs.select("g", "node", "n", "c", "need", F.explode("differences").alias("e"))
-    often = each.groupBy("g", "e").agg(F.count("*").alias("f")).filter("f > 1")
+    named = diffs.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    each = named.select("g", "node", "n", "label", "c", "need", F.explode(F.concat("d", "o")).alias("e"))
+    apart = (F.min("label") != F.max("label")).alias("apart")
+    often = each.groupBy("g", "e").agg(F.count("*").alias("f"), apart).filter("f > 1 AND apart").select("g", "e")
     own, near = Window.partitionBy("g", "node"), F.lit(1e-9)
-    able = each.join(often.drop("f"), ["g", "e"])
+    able = each.join(often, ["g", "e"])
     for _ in range(PASSES):
         # What leaves makes less of the differences that others share.
         able = stored(able.withColumn("slack", F.lit(1 + least) * F.count("*").over(own) - F.col("c")), "shared")
-        met = able.groupBy("g", "e").agg(F.max("slack").alias("best"), F.count("*").alias("f")).filter("f > 1")
-        able = able.drop("f").join(met, ["g", "e"]).filter(F.col("best") >= F.col("need") - near).drop("best")
-    least_shared = F.greatest(F.lit(1), F.ceil(F.col("need") - near))
+        met = able.groupBy("g", "e").agg(F.max("slack").alias("best"), F.min("need").alias("lowest"), F.count("*").alias("f"), apart)
+        met = met.filter("f > 1 AND apart").drop("apart")
+        able = able.drop("f", "lowest").join(met, ["g", "e"]).drop("apart")
+        able = able.filter((F.col("best") >= F.col("need") - near) & (F.col("slack") >= F.col("lowest") - near)).drop("best")
+    both = (F.col("c") + F.min("lowest").over(own)) / F.lit(1 + least)
+    able = able.withColumn("least_shared", F.greatest(F.lit(1), F.ceil(F.col("need") - near), F.ceil(both - near)))
     able = able.withColumn("place", F.row_number().over(own.orderBy("f", "e"))).withColumn("all", F.count("*").over(own))
-    able = able.filter(F.col("place") <= F.col("all") - least_shared + 1)
-    return able.select(F.xxhash64("g", "e").alias("g"), "node", "n", "need", "slack")
+    able = able.filter(F.col("place") <= F.col("all") - F.col("least_shared") + 1)
+    return able.select(F.xxhash64("g", "e").alias("g"), F.col("g").alias("p"), "node", "n", "label", "need", "slack")
 
 
 def _pairs(met: DataFrame, least: float) -> DataFrame:
@@ -270,18 +306,20 @@ def _components(links: list[DataFrame]) -> DataFrame:
 
 
 def _within_groups(groups: DataFrame, bags: DataFrame, least: float, links: list[DataFrame]) -> DataFrame:
-    """Adds what links the classes of groups to ``links``; the components of all links."""
+    """The components of ``links`` and of all that links the classes of groups."""
+    label, diffs = None, None
     while not groups.isEmpty():
-        diffs = stored(_differences(groups, bags, least), "differences")
-        links.append(stored(_by_centre(diffs), "links"))
-        label = _components(links)
-        met = _meetings(diffs, least).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        met = stored(met.distinct(), "met")
+        diffs = stored(_differences(groups, bags, least) if diffs is None else _inner_differences(groups, diffs, least), "differences")
+        label = _components([*links, stored(_by_centre(diffs), "links")])
+        links = [label.select(F.col("node").alias("a"), F.col("label").alias("b"))]
+        met = stored(_meetings(diffs, label, least), "met")
         apart = met.groupBy("g").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("apart")).filter("apart")
         met = met.join(apart.drop("apart"), "g")
-        links.append(stored(_links(_pairs(met.filter(F.col("size") <= SMALL), least), bags, least), "links"))
-        groups = stored(met.filter(F.col("size") > SMALL).select("g", "node", "n"), "groups")
-    return _components(links)
+        found = stored(_links(_pairs(met.filter(F.col("size") <= SMALL), least), bags, least), "links")
+        if not found.isEmpty():
+            label, links = None, [*links, found]
+        groups = stored(met.filter(F.col("size") > SMALL).select("g", "p", "node", "n"), "groups")
+    return _components(links) if label is None else label
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -87,6 +87,46 @@ def test_one_template_near_the_bound(spark, monkeypatch):
     assert sum(compared) < 30 * len(texts)
 
 
+def test_bags_of_inner_groups_are_not_unfolded_again(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for _ in range(rnd.choice([2, 3, 3])):
+            copy[rnd.choice([7, 20, 33, 46, rnd.randrange(60)])] = rnd.choice(["x", "y", f"z{rnd.randrange(9999)}"])
+        texts.append(" ".join(copy))
+    unfolded, inner, first, within = [], [], nearcopies._differences, nearcopies._inner_differences
+
+    def counted(groups, bags, least):
+        unfolded.append(1)
+        return first(groups, bags, least)
+
+    def checked(groups, diffs, least):
+        got = within(groups, diffs, least)
+        inner.append((groups.collect(), diffs.collect(), got.collect()))
+        return got
+
+    monkeypatch.setattr(nearcopies, "_differences", counted)
+    monkeypatch.setattr(nearcopies, "_inner_differences", checked)
+    monkeypatch.setattr(nearcopies, "SMALL", 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in nearcopies.near_copies(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    assert len(unfolded) == 1 and inner
+    for groups, before, after in inner:
+        old = {(r["g"], r["node"]): r for r in before}
+        up = {(r["g"], r["node"]): r["p"] for r in groups}
+        assert len(after) == len(up)
+        centre = {}
+        for r in after:
+            was = old[up[r["g"], r["node"]], r["node"]]
+            # Either centre less what a bag lacks, and what it has besides, is the bag.
+            assert r["m"] - len(r["d"]) + len(r["o"]) == was["m"] - len(was["d"]) + len(was["o"])
+            moved = (set(r["d"]) | set(r["o"])) ^ (set(was["d"]) | set(was["o"]))
+            assert centre.setdefault(r["g"], moved) == moved
+
+
 def test_signatures_estimate_the_similarity():
     rnd = random.Random(5)
     texts = []
