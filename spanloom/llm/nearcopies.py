@@ -41,7 +41,7 @@ from spanloom.operators.components import connected_components
 BANDS, BAND_ROWS = 24, 4
 ENTRIES = BANDS * BAND_ROWS
 #: Classes that meet are paired as they are up to this many; larger groups get a centre.
-SMALL = 64
+SMALL = 256
 #: How often classes that cannot meet anyone any more are left out before the rest meets.
 PASSES = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
