@@ -4,7 +4,8 @@ A task collects the distinct pre-tokens of a run of documents and hands them to
 DuckDB as token-position rows, one per byte. A recursive query joins neighbours with
 the merge table and contracts the leftmost pair of minimum rank in each word until no
 pair of any word is in the table. Decoding joins the ids with the vocabulary and puts
-the bytes together by an ordered aggregation. Documents are then made of their words.
+the bytes together in the order of the ids. Documents are then made of their words:
+words are numbers, and ids and bytes of all known words two arrays.
 
 Memory is bounded by the run of documents and by ``CACHE_WORDS`` known words, which
 only save work. DuckDB gets words in slices of bounded size, however many are new.
@@ -36,12 +37,13 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.rows import others
+from spanloom.llm.rows import as_bytes, others
 
 RUN_BYTES = 4 << 20
 CACHE_WORDS = 600_000
@@ -51,6 +53,8 @@ ROUNDS = 48
 SLICE, LONG_SLICE = 256 << 10, 64 << 10
 #: Longer words are cut into parts of so many bytes, each with the first of the next one.
 PART, OVERLAP = 256, 64
+#: Pieces whose ids are put together at once.
+STEP = 1 << 15
 
 #: Each round contracts the leftmost pair of minimum rank of every word: the smallest
 #: (rank, place) in one number. A word without a pair in the table is done.
@@ -95,8 +99,55 @@ WITH RECURSIVE t(step, g, w, tok, live) AS (
     FROM eaten WHERE NOT gone))
 SELECT g, w, tok, live FROM t WHERE NOT live OR step = {ROUNDS} ORDER BY g"""
 
-DECODE = """
-SELECT w, string_agg(hex, '' ORDER BY g) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY w ORDER BY w"""
+#: The bytes of each id, in order.
+DECODE = "SELECT raw FROM ids JOIN vocabulary USING (tok) ORDER BY g"
+
+
+class Runs:
+    """Lists of numbers, end to end."""
+
+    def __init__(self, lists: Sequence[np.ndarray] = (), kind: type = np.int32):
+        self.flat = np.concatenate(lists) if len(lists) else np.zeros(0, kind)
+        self.at = np.cumsum([0, *map(len, lists)])
+
+    def take(self, which: np.ndarray) -> Runs:
+        """The lists of these numbers."""
+        size = self.at[which + 1] - self.at[which]
+        out, parts = Runs(kind=self.flat.dtype), []
+        for a in range(0, len(which), STEP):
+            n = size[a : a + STEP]
+            end = n.cumsum()
+            parts.append(self.flat[np.repeat(self.at[which[a : a + STEP]] - end + n, n) + np.arange(end[-1])])
+        if parts:
+            out.flat, out.at = np.concatenate(parts), np.append(0, size.cumsum())
+        return out
+
+    def together(self, at: np.ndarray) -> Runs:
+        """Those from each of these numbers up to the next as one list."""
+        self.at = self.at[at]
+        return self
+
+    def add(self, more: Runs) -> None:
+        self.at = np.append(self.at, more.at[1:] + len(self.flat))
+        self.flat = np.append(self.flat, more.flat)
+
+    def bytes(self) -> list[bytes]:
+        return [self.flat[a:b].tobytes() for a, b in zip(self.at, self.at[1:])]
+
+
+class Known:
+    """Pieces by number, with their ids and decoded bytes."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.raw = Runs(), Runs(kind=np.uint8)
+        #: Pieces with white space at an edge, and the empty one.
+        self.odd: set[str] = set()
+
+    def add(self, pieces: list[str], ids: Runs, raw: Runs) -> None:
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+        self.ids.add(ids)
+        self.raw.add(raw)
 
 
 class Coder:
@@ -115,17 +166,13 @@ class Coder:
         ]
         l, r, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self._table("merges", l=l, r=r, merged=merged)
-        self._table("vocabulary", tok=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks], pa.string()))
+        self._table("vocabulary", tok=pa.array(ranks.values(), pa.int32()), raw=pa.array(ranks, pa.binary()))
         self.token = {rank: token for token, rank in ranks.items()}
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(self.token)] = [len(t) for t in self.token.values()]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        #: Each known piece's ids and decoded bytes; ``old`` has those of the generation before.
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        #: Pieces of this generation with white space at an edge, and the empty one.
-        self.odd: set[str] = set()
+        #: Known pieces; ``old`` are those of the generation before.
+        self.known, self.old = Known(), Known()
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -222,75 +269,89 @@ class Coder:
             end.extend(more_end[new].tolist())
         return np.array(tok, np.int32)
 
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+    def decode(self, ids: Runs) -> Runs:
         """The bytes of each list of ids."""
-        cut = [(i, x[a : a + SLICE]) for i, x in enumerate(ids) for a in range(0, len(x), SLICE)]
-        out: list[list[bytes]] = [[] for _ in ids]
-        for first, end in _runs([x for _, x in cut], SLICE):
-            some = [x for _, x in cut[first:end]]
-            flat = np.concatenate(some).astype(np.int32)
-            n = np.fromiter(map(len, some), np.int64, len(some))
-            self._table("ids", g=np.arange(len(flat), dtype=np.int32), w=np.repeat(np.arange(len(some), dtype=np.int32), n), tok=flat)
-            got = dict(self.db.execute(DECODE).fetchall())
-            for k, (i, _) in enumerate(cut[first:end]):
-                out[i].append(bytes.fromhex(got.get(k, "")))
-        return [b"".join(x) for x in out]
-
-    def pieces(self, text: str) -> list[str]:
-        """Parts of a text that the pattern never matches across.
-
-        A single space between two other characters always begins a match, and no
-        match reaches over it, so a text without other white space at the ends of
-        its parts falls apart at its spaces. Other parts are put together with their
-        neighbours (``grouped``).
+        raw, size = [np.zeros(0, np.uint8)], [[0]]
+        for a in range(0, len(ids.flat), SLICE):
+            tok = ids.flat[a : a + SLICE]
+            self._table("ids", g=np.arange(len(tok), dtype=np.int32), tok=tok)
+            data, at = as_bytes(self.db.sql(DECODE).to_arrow_table().column("raw"))
+            raw.append(data)
+            size.append(np.diff(at))
+        out = Runs()
+        out.flat, out.at = np.concatenate(raw), np.concatenate(size).cumsum()
+        return out.together(ids.at)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Make these pieces known; those of the generation before are taken over."""
+        old = self.old.number
+        again = [x for x in fresh if x in old]
+        if again:
+            which = np.array([old[x] for x in again])
+            self.known.add(again, self.old.ids.take(which), self.old.raw.take(which))
+        fresh = [x for x in fresh if x not in old]
+        if fresh:
+            parts = [self.split(x) for x in fresh]
+            tokens: dict[str, int] = {}
+            which = np.array([tokens.setdefault(p, len(tokens)) for part in parts for p in part], np.int64)
+            at = np.cumsum([0, *map(len, parts)])
+            ids = Runs(self.encode(list(tokens)))
+            self.known.add(fresh, *(x.take(which).together(at) for x in (ids, self.decode(ids))))
+
+    def coded(self, texts: pa.Array) -> tuple[Runs, Runs]:
+        """Ids and decoded bytes of each text.
+
+        Texts are cut into parts that the pattern never matches across. A single space
+        between two other characters always begins a match, and no match reaches over it,
+        so a text without other white space at the ends of its parts falls apart at its
+        spaces. Parts with white space at an edge, and empty ones, are one part with those
+        before and after.
         """
-        parts = text.split(" ")
-        parts[1:] = [" " + x for x in parts[1:]]
-        return parts
-
-    def unknown(self, fresh: set[str]) -> set[str]:
-        """Which of these have no ids yet; those of the generation before are taken over."""
-        ids, decoded = self.old
-        for x in fresh & ids.keys():
-            self.ids[x], self.decoded[x] = ids[x], decoded[x]
-        return fresh - ids.keys()
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Make sure that all words of these texts are known; their words."""
-        if len(self.ids) > CACHE_WORDS // 2:
-            self.old, self.ids, self.decoded, self.odd = (self.ids, self.decoded), {}, {}, set()
-        words = [self.pieces(x) for x in texts]
-        seen = set().union(*words)
-        fresh = seen.difference(self.ids)
-        edge = self.edge
+        if len(self.known.number) > CACHE_WORDS // 2:
+            self.old, self.known = self.known, Known()
+        known = self.known.number
+        words = pc.split_pattern(texts, " ")
+        begin = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        word = coded.dictionary.to_pylist()
+        # Twice the word's number, and one more if a space is before it.
+        code = 2 * coded.indices.to_numpy().astype(np.int64) + 1
+        code[begin[:-1]] -= 1
+        seen = np.zeros(2 * len(word), bool)
+        seen[code] = True
+        seen = np.flatnonzero(seen)
+        piece = {c: " " + word[c >> 1] if c & 1 else word[c >> 1] for c in seen.tolist()}
         # Known pieces too: that ' ' is known says nothing of a text with three in a row.
         # Each is looked at when it first comes in a generation.
-        self.odd |= {x for x in fresh if not (x[-1:].isalnum() and x[1:2].isalnum()) and edge(x.removeprefix(" "))}
-        odd = seen & self.odd
+        odd, edge = self.known.odd, self.edge
+        odd.update(x for x in piece.values() if x not in known and not (x[-1:].isalnum() and x[1:2].isalnum()) and edge(x.removeprefix(" ")))
+        first = np.ones(len(code), bool)
         if odd:
-            put = {i: grouped(part, odd) for i, part in enumerate(words) if not odd.isdisjoint(part)}
-            for i, part in put.items():
-                words[i] = part
-            fresh = (fresh - odd).union(*put.values()).difference(self.ids)
-        fresh = self.unknown(fresh)
-        if fresh:
-            parts = {x: self.split(x) for x in fresh}
-            tokens = list({p for part in parts.values() for p in part})
-            ids = self.encode(tokens)
-            decoded = dict(zip(tokens, self.decode(ids), strict=True))
-            ids = {p: x.tobytes() for p, x in zip(tokens, ids, strict=True)}
-            for x, part in parts.items():
-                if len(part) == 1:
-                    self.ids[x], self.decoded[x] = ids[part[0]], decoded[part[0]]
-                else:
-                    self.ids[x] = b"".join([ids[p] for p in part])
-                    self.decoded[x] = b"".join([decoded[p] for p in part])
-        return words
+            bad = np.zeros(2 * len(word), bool)
+            bad[seen] = [x in odd for x in piece.values()]
+            bad = bad[code]
+            first[1:] = ~(bad[1:] | bad[:-1])
+            first[begin[:-1]] = True
+        at = np.flatnonzero(first)
+        size = np.diff(at, append=len(code))
+        several = np.flatnonzero(size > 1)
+        joined = ["".join([piece[c] for c in code[a : a + n].tolist()]) for a, n in zip(at[several].tolist(), size[several].tolist(), strict=True)]
+        alone = np.zeros(2 * len(word), bool)
+        alone[code[at[size == 1]]] = True
+        alone = np.flatnonzero(alone)
+        single = [piece[c] for c in alone.tolist()]
+        self.learn([x for x in dict.fromkeys([*single, *joined]) if x not in known])
+        number = np.zeros(2 * len(word), np.int64)
+        number[alone] = [known[x] for x in single]
+        which = number[code[at]]
+        which[several] = [known[x] for x in joined]
+        ends = np.searchsorted(at, begin)
+        return self.known.ids.take(which).together(ends), self.known.raw.take(which).together(ends)
 
     def code(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids as 32-bit numbers, and decoded bytes, of each text."""
-        words = self.learn(texts)
-        return [b"".join(map(self.ids.__getitem__, x)) for x in words], [b"".join(map(self.decoded.__getitem__, x)) for x in words]
+        ids, raw = self.coded(pa.array(texts, pa.string()))
+        return ids.bytes(), raw.bytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -318,14 +379,18 @@ def grouped(parts: list[str], odd: set[str]) -> list[str]:
 
 
 def _runs(texts: Sequence, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    return _sized([len(x) for x in texts], most)
+
+
+def _sized(sizes: Sequence[int], most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
+    for i, x in enumerate(sizes):
+        if size and size + x > most:
             yield first, i
             first, size = i, 0
-        size += len(x)
-    if first < len(texts):
-        yield first, len(texts)
+        size += x
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -341,16 +406,16 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             coder = coder or _coder(path, pattern)
-            for first, end in _runs(texts):
-                ids, decoded = coder.code(texts[first:end])
-                starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+            for first, end in _sized(pc.binary_length(texts).to_pylist()):
+                ids, decoded = coder.coded(texts.slice(first, end - first))
+                starts = [pa.array(x.at, pa.int32()) for x in (ids, decoded)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row").slice(first, end - first),
-                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))),
-                        pa.array(decoded, pa.binary()),
+                        pa.ListArray.from_arrays(starts[0], pa.array(ids.flat)),
+                        pa.Array.from_buffers(pa.binary(), end - first, [None, starts[1].buffers()[1], pa.py_buffer(decoded.flat)]),
                     ],
                     names=["row", "ids", "decoded"],
                 )

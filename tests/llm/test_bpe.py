@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,6 +79,18 @@ def test_runs_of_spaces_whatever_was_seen_before():
         assert ids(coder.code([text])[0][0]) == twin.encode_ordinary(text)
 
 
+def test_texts_out_of_known_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "STEP", 3)
+    texts = ["", "the end of it", "  é  x ", "", " ", "the end", "\n the\tend \n", ""]
+    coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
+    for given in ([""], texts, texts[::-1]):
+        # A slice of a longer column, as runs of a batch are.
+        coded, decoded = coder.coded(pa.array(["before", *given, "after"]).slice(1, len(given)))
+        assert [ids(x) for x in coded.bytes()] == [TWIN.encode_ordinary(t) for t in given]
+        assert decoded.bytes() == [t.encode() for t in given]
+        assert (coded.flat.dtype, decoded.flat.dtype) == ("int32", "uint8")
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (None, "two words", "c"), (None, "two words", "c")], "doc_id long, text string, ids string")
     got = bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect()
