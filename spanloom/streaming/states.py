@@ -26,6 +26,10 @@ from pyspark.sql.streaming import StatefulProcessor
 PART = "key string, start long, last long, sums array<long>, low long, high long"
 PARTS = f"kind string, version long, {PART}"
 
+#: Ids that share a hash share a state: many ids cost few calls, and a state stays small
+#: (some thousand ids where a billion are remembered).
+BUCKETS = 1 << 18
+
 # Set by Spark for each micro-batch.
 _BATCH = "streaming.sql.batchId"
 
@@ -159,33 +163,59 @@ def whole(parts: DataFrame, gap: int) -> DataFrame:
 
 
 class SeenIds(StatefulProcessor):
-    """Whether an id was seen before, for as long as rows may come late."""
+    """Whether an id was seen before, for as long as rows may come late. The ids of a bucket
+    are one state, read and written once for all its rows of a micro-batch, with one timer
+    for those that end first."""
 
     def __init__(self, keep_ms: int, names: list[str]):
         self.keep_ms, self.names = keep_ms, names
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("seen", "at long")
+        self.state = handle.getValueState("seen", "packed string")
+        self.row = Row(*self.names, "kind")
+
+    def _seen(self) -> dict[str | None, int]:
+        kept = self.state.get()
+        return dict(json.loads(kept[0])) if kept else {}
+
+    def _keep(self, seen: dict[str | None, int]) -> None:
+        self.state.update((json.dumps(list(seen.items()), ensure_ascii=False),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        seen = self.state.exists()
+        seen, least, fresh = None, None, None
         for r in rows:
-            late = passed > 0 and r["_at"] is not None and r["_at"] < passed * 1000
-            if late:
+            at = r["_at"]
+            if passed > 0 and at is not None and at < passed * 1000:
                 kind = "late"
-            elif r["_again"] or seen:
+            elif r["_again"]:
                 kind = "repeat"
             else:
-                kind, seen = "first", True
-                at = r["_at"] // 1000 if r["_at"] is not None else passed
-                self.state.update((at,))
-                self.handle.registerTimer(at + self.keep_ms)
-            yield Row(**{n: r[n] for n in self.names}, kind=kind)
+                if seen is None:
+                    seen = self._seen()
+                    least = min(seen.values(), default=None)
+                if r["_id"] in seen:
+                    kind = "repeat"
+                else:
+                    kind = "first"
+                    seen[r["_id"]] = at // 1000 if at is not None else passed
+                    fresh = _least(fresh, seen[r["_id"]])
+            yield self.row(*r[: len(self.names)], kind)
+        if fresh is not None:
+            self._keep(seen)
+            if least is None or fresh < least:
+                self.handle.registerTimer(fresh + self.keep_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.state.clear()
+        ended = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1) - self.keep_ms
+        seen = self._seen()
+        left = {i: at for i, at in seen.items() if at > ended}
+        if left and len(left) < len(seen):
+            self._keep(left)
+            self.handle.registerTimer(min(left.values()) + self.keep_ms)
+        elif not left:
+            self.state.clear()
         return iter(())
 
     def close(self) -> None:
@@ -208,7 +238,7 @@ def sorted_out(rows: DataFrame, id_col: str, at: str, keep_ms: int) -> DataFrame
 
     # What a batch of rows has twice is known to be a repeat and needs no state, so it
     # need not meet the others of its id.
-    key = F.when(F.col("_again"), F.concat(F.lit("again "), F.uuid())).otherwise(F.coalesce(F.concat(F.lit("id "), "_id"), F.lit("none")))
+    key = F.when(F.col("_again"), (F.rand() * BUCKETS).cast("long")).otherwise(F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)))
     keyed = given.mapInPandas(mark, marked).withColumn("_key", key)
     out = T.StructType([*plain[: len(names)], T.StructField("kind", T.StringType())])
     return keyed.groupBy("_key").transformWithState(SeenIds(keep_ms, names), out, "append", "eventTime")

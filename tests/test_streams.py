@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanloom.streaming import jobs, states
@@ -93,3 +94,66 @@ def test_parts_meet_what_they_touch():
         parts = states.merged(parts, [start, last, [1], None, last], 5)
     assert parts == [[0, 10, [1], None, 10], [15, 95, [2], None, 95], [100, 110, [1], None, 110]]
     assert states.merged(parts, [14, 15, [1], 3, None], 5) == [[0, 95, [4], 3, 95], [100, 110, [1], None, 110]]
+
+
+class Calls:
+    """A bucket's state, with the calls it gets."""
+
+    def __init__(self):
+        self.kept, self.writes, self.timers = None, 0, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.kept
+
+    def exists(self):
+        return self.kept is not None
+
+    def update(self, value):
+        self.kept, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.kept = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+    def getExpiryTimeInMs(self):
+        return self.timers[-1]
+
+
+def test_ids_of_a_bucket_are_one_state():
+    calls = Calls()
+    ids = states.SeenIds(100, ["span_id"])
+    ids.init(calls)
+
+    def kinds(passed, *rows):
+        calls.passed = passed
+        given = [Row(span_id=i, _at=at * 1000 if at is not None else None, _id=i, _again=False) for i, at in rows]
+        return [r["kind"] for r in ids.handleInputRows((1,), iter(given), calls)]
+
+    many = [(f"s{i}", 500 + i) for i in range(1000)]
+    assert kinds(0, *many, (None, None), ("null", 7)) == ["first"] * 1002
+    assert calls.writes == 1 and calls.timers == [100]
+    assert kinds(600, ("s3", 700), ("s3", 3), ("null", 800), (None, 900), ("new", 450)) == ["repeat", "late", "repeat", "repeat", "late"]
+    assert calls.writes == 1
+    list(ids.handleExpiredTimer((1,), calls, calls))
+    assert calls.timers == [100, 600]
+    assert kinds(700, (None, 900), ("s0", 900), ("null", 800)) == ["first", "repeat", "first"]
+    calls.passed = 10_000
+    list(ids.handleExpiredTimer((1,), calls, calls))
+    assert calls.kept is None
+
+
+def test_rows_of_shared_buckets_come_out_once(spark, tmp_path, given, monkeypatch):
+    monkeypatch.setattr(states, "BUCKETS", 3)
+    rows = given.select("span_id", "logged_at").unionByName(given.select("span_id", "logged_at").limit(50))
+    once = jobs.run_available(jobs.repeats_sorted_out(read_as(spark, tmp_path / "in", rows, 30, 10)), "t")
+    kinds = {r["kind"]: r["count"] for r in once.groupBy("kind").count().collect()}
+    ids = rows.select("span_id").distinct().count()
+    assert kinds == {"first": ids, "repeat": rows.count() - ids}
