@@ -8,8 +8,8 @@ the bytes together in the order of the ids. Documents are then made of their wor
 words are numbers, and ids and bytes of all known words two arrays.
 
 Memory is bounded by the run of documents and by ``CACHE_WORDS`` known words, which
-only save work. DuckDB gets words in slices of bounded size, however many are new.
-Long words go through the same query with all non-overlapping
+only save work and are forgotten when the task ends. DuckDB gets words in slices of
+bounded size, however many are new. Long words go through the same query with all non-overlapping
 occurrences of the minimum pair contracted at once, and a bounded number of rounds for
 each query, so that a text without spaces needs neither as many rounds as it has bytes
 nor all the rounds in memory. Contracting several occurrences of one pair at once is
@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from spanloom.llm.rows import as_bytes, others
 
 RUN_BYTES = 4 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 LONG_WORD = 64
 ROUNDS = 48
 #: Bytes of short words, and of long ones (whose rounds are all in memory), for a query.
@@ -172,6 +172,10 @@ class Coder:
         self.size[list(self.token)] = [len(t) for t in self.token.values()]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         #: Known pieces; ``old`` are those of the generation before.
+        self.forget()
+
+    def forget(self) -> None:
+        """Know no pieces, which only saves work."""
         self.known, self.old = Known(), Known()
 
     def _table(self, name: str, **columns) -> None:
@@ -406,8 +410,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            texts = batch.column("text")
             coder = coder or _coder(path, pattern)
+            texts = batch.column("text")
             for first, end in _sized(pc.binary_length(texts).to_pylist()):
                 ids, decoded = coder.coded(texts.slice(first, end - first))
                 starts = [pa.array(x.at, pa.int32()) for x in (ids, decoded)]
@@ -419,6 +423,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
                     ],
                     names=["row", "ids", "decoded"],
                 )
+        # The process stays for tasks of other stages, which need its memory.
+        if coder:
+            coder.forget()
 
     schema = T.StructType([
         given.schema["row"],

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.hashing import WORD_BYTES, Substrings, sliding_min, words
-from spanloom.llm.rows import KEY, as_bytes, packed, steps, stored
+from spanloom.llm.rows import KEY, SMALL_STEP, as_bytes, packed, steps, stored
 
 GRAM = 5
 #: log2 of the size of the bit table.
@@ -65,7 +65,7 @@ def _item_windows(items: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             data, at = as_bytes(batch.column("text"))
             ids = batch.column("item_id")
-            for row, _, part, starts in steps(data, at):
+            for row, _, part, starts in steps(data, at, SMALL_STEP):
                 spell, text, hashes, n = _words(part, starts)
                 begin = np.cumsum(n) - n
                 of, length, window, prints = [], [], [], []
@@ -96,7 +96,7 @@ def _scanned(docs: DataFrame, lengths: list[int], tables: dict[int, np.ndarray],
         hit_type = pa.struct([("t", pa.int32()), ("fp", pa.int64()), ("first", pa.int64()), ("words", pa.list_(pa.binary()))])
         for batch in batches:
             data, at = as_bytes(batch.column("text"))
-            for row, end, part, starts in steps(data, at):
+            for row, end, part, starts in steps(data, at, SMALL_STEP):
                 spell, text, hashes, n = _words(part, starts)
                 begin = np.cumsum(n) - n
                 hits: list[list[dict]] = [[] for _ in range(end - row)]

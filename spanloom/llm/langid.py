@@ -22,7 +22,7 @@ BUCKET_BITS = 15
 #: Labelled rows learned from, for each language at most about so many.
 SAMPLE = 5000
 SMOOTHING = 0.5
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 18
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.hashing import Substrings, mixed, words
-from spanloom.llm.rows import KEY, as_bytes, lists, packed, steps, stored
+from spanloom.llm.rows import KEY, SMALL_STEP, as_bytes, lists, packed, steps, stored
 from spanloom.operators.components import connected_components
 
 BANDS, BAND_ROWS = 24, 4
@@ -110,7 +110,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = as_bytes(batch.column("text"))
-            for row, end, part, starts in steps(data, at):
+            for row, end, part, starts in steps(data, at, SMALL_STEP):
                 text, h, weight = shingles(part, starts, width)
                 m = end - row
                 s1, s2, n = np.zeros(m, np.uint64), np.zeros(m, np.uint64), np.bincount(text, weight, m).astype(np.int64)
@@ -148,7 +148,7 @@ def _bags(docs: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = as_bytes(batch.column("text"))
-            for row, end, part, starts in steps(data, at):
+            for row, end, part, starts in steps(data, at, SMALL_STEP):
                 text, h, weight = shingles(part, starts, width)
                 time = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 with np.errstate(over="ignore"):

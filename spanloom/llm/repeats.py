@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.hashing import Substrings, sliding_min
-from spanloom.llm.rows import KEY, as_bytes, drop, noted, packed, steps, stored
+from spanloom.llm.rows import KEY, SMALL_STEP, as_bytes, drop, noted, packed, steps, stored
 
 GRAM = 41
 BLOCKS = (16, 4, 1)
@@ -69,7 +69,7 @@ def anchors_of(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tupl
 
 def _segments(data: np.ndarray, at: np.ndarray, length: int):
     """Like ``steps``, with long texts in overlapping parts: row, byte offset within the row."""
-    for first, end, part, starts in steps(data, at):
+    for first, end, part, starts in steps(data, at, SMALL_STEP):
         if len(part) <= 2 * SEGMENT:
             yield first, 0, part, starts
         else:

@@ -22,6 +22,8 @@ KEY = ["k1", "k2"]
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
+#: The same where many numbers are held for each byte.
+SMALL_STEP = 1 << 19
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -91,6 +91,14 @@ def test_texts_out_of_known_pieces(monkeypatch):
         assert (coded.flat.dtype, decoded.flat.dtype) == ("int32", "uint8")
 
 
+def test_pieces_can_be_forgotten():
+    coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
+    coder.code(["some words"])
+    coder.forget()
+    assert not coder.known.number and not coder.old.number and not len(coder.known.ids.flat)
+    assert ids(coder.code(["some words"])[0][0]) == TWIN.encode_ordinary("some words")
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (None, "two words", "c"), (None, "two words", "c")], "doc_id long, text string, ids string")
     got = bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect()
