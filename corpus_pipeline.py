@@ -5,9 +5,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before has
 ``run`` writes each stage's rows to the shared folder and reads them again. Columns
 that a stage does not know pass through all stages but the last.
 
-A stage that needs intermediate tables writes its own rows before it returns, and drops
-those tables then, and no others. The rows it wrote stay until the caller empties the
-folder; ``run`` drops those of a stage once the next one has written its own.
+A stage that needs intermediate tables writes down what they lead to, keys or byte spans
+but no texts, and drops those tables then, and no others. Its rows read what it wrote,
+which stays until the caller empties the folder; ``run`` drops it, and the rows of the
+stage before, once it has written the rows of a stage.
 """
 
 from __future__ import annotations
@@ -31,17 +32,20 @@ LEAST_SCORE = 0.5
 def _stage(work: Callable) -> Callable:
     @wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        prepared(spark)
-        with noted() as own:
-            rows = work(spark, docs, sf_dir)
-        if own:
-            rows = stored(rows, f"rows-{work.__name__}")
-            drop(spark, own)
-        return rows
+        return work(prepared(spark), docs, sf_dir)
 
     return run
 
 
+def _settled(spark: SparkSession, name: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """What ``work`` returns, written down; the tables that led to it go."""
+    with noted() as own:
+        rows = work()
+    rows = stored(rows, name)
+    drop(spark, own)
+    return rows
+
+
 def _as_documents(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
     """The columns of ``docs`` out of ``row`` and ``text``, with some changed."""
     changed.setdefault("text", F.col("text"))
@@ -68,7 +72,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the least id. Of rows that are
     the same in id and text one stays."""
-    stay = nearcopies.near_copies(docs).filter("stays").select(*KEY).distinct()
+    stay = _settled(spark, "stay", lambda: nearcopies.near_copies(docs).filter("stays").select(*KEY).distinct())
     one = packed(docs).join(stay, KEY).groupBy(*KEY).agg(F.first("row").alias("row"), F.first("text").alias("text"))
     return _as_documents(one, docs)
 
@@ -85,8 +89,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter("n_hit > 0").select(*KEY).distinct()
+    items = table(spark, sf_dir, "benchmark")
+    hit = _settled(spark, "hit", lambda: decontaminate.contamination(docs, items).filter("n_hit > 0").select(*KEY).distinct())
     return _as_documents(packed(docs).join(hit, KEY, "left_anti"), docs)
 
 
@@ -118,10 +122,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     with noted() as tables:
         for name, stage in STAGES[:-1]:
-            had = len(tables)
-            docs = stage(spark, docs, sf_dir)
-            if len(tables) == had:
-                docs = stored(docs, f"pipeline-{name}")
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
             drop(spark, tables[:-1])
             del tables[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,13 +37,27 @@ def prepared(spark: SparkSession) -> SparkSession:
 _NOTES: list[list[str]] = []
 
 
+#: Shuffle files go at the end of a query, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again, which cuts the lineage."""
-    path = scratch_path(df.sparkSession, name)
+    """Written to the shared folder and read again, which cuts the lineage; shuffle files
+    of the write go with its end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     for notes in _NOTES[-1:]:
         notes.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

@@ -1,10 +1,14 @@
 """The pipeline against brute-force versions of its stages."""
 
+import os
+
 import public_tokenizers
+import pytest
 import tiktoken
 
 import corpus_pipeline as cp
 from spanloom.llm import bpe
+from spanloom.llm.rows import stored
 from .test_decontaminate import brute as contaminated
 from .test_nearcopies import brute as classes
 from .test_repeats import brute as cut
@@ -59,6 +63,38 @@ def test_a_stage_keeps_its_hands_off_the_rows_of_another(spark, tmp_path):
     assert first.count() == 6 and copies.count() == 6
 
 
+@pytest.mark.parametrize("stage", [cp.without_copies, cp.without_repeats, cp.decontaminated])
+def test_no_texts_are_left_behind(spark, tmp_path, stage):
+    leak = sentence(2, 30)
+    texts = [sentence(i, 60) + " " + sentence(100, 60) for i in range(5)] + [sentence(1, 60)] * 2 + [leak]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    tables = lambda: {d for d in os.listdir(shared) if os.path.exists(f"{shared}/{d}/_SUCCESS")}
+    had = tables()
+    rows = stage(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path))
+    (left,) = tables() - had
+    kinds = dict(spark.read.parquet(f"{shared}/{left}").dtypes)
+    assert {kinds.pop("k1"), kinds.pop("k2")} == {"bigint"} and kinds in ({}, {"runs": "array<struct<first:bigint,last:bigint>>"})
+    want = {"without_copies": 7, "without_repeats": sum(1 for *_, kept in cut(texts, 200) if kept)}
+    want["decontaminated"] = sum(1 for _, _, n, _ in contaminated(list(enumerate(texts)), [(1, leak)]) if not n)
+    assert rows.count() == want[stage.__name__]
+
+
+def test_shuffle_files_of_a_stored_table_go(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    sums = lambda: spark.range(1000).groupBy((cp.F.col("id") % 7).alias("k")).count()
+    had = shuffled()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(setting, None)
+    assert stored(sums(), "sums").count() == 7
+    made = shuffled() - had
+    assert len(sums().collect()) == 7
+    # Only the count's own shuffle is left, and the caller's setting is as it was.
+    assert len(made) <= 1 and shuffled() - had - made and spark.conf.get(setting, None) == own
+
+
 def test_empty_and_unlabelled(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = docs_of(spark, ["some words", None, "x 1"]).withColumn("lang", cp.F.lit(None).cast("string"))
